@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from twinsieve.llm.grams import SIMILAR, comparable, gram_set, similarities
+from twinsieve.functions.grams import gram_set
+from twinsieve.llm.grams import SIMILAR, comparable, similarities
 from twinsieve.runtime import filesystem, materialize, new_path
 
 AVERAGE, WINDOW, LONGEST = 16, 3, 1024

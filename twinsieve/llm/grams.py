@@ -1,4 +1,4 @@
-"""Sets of 3-character sequences of plain texts, and the exact similarity of pairs of texts."""
+"""Comparable documents, and the exact similarity of pairs of texts over their 3-character sequences."""
 
 from __future__ import annotations
 
@@ -9,26 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from twinsieve.functions.grams import gram_set
 from twinsieve.functions.text import plain
 
 MIN_BYTES = 500
 SIMILAR = 0.8
 
 
-def code_points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-
-
-def gram_set(text: str) -> np.ndarray:
-    """Sorted distinct 3-character sequences as numbers; a text of one or two characters is one sequence."""
-    c = code_points(text)
-    if len(c) == 0:
-        return c
-    if len(c) < 3:
-        c = np.concatenate([np.zeros(3 - len(c), np.uint64), c])
-    return np.unique((c[:-2] << np.uint64(42)) | (c[1:-1] << np.uint64(21)) | c[2:])
-
-
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Shared over all; two empty sets share nothing."""
     both = np.concatenate([a, b])

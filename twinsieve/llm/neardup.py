@@ -19,9 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinsieve.llm.grams import SIMILAR, comparable, exact_pairs, gram_set
+from twinsieve.functions.grams import gram_set
+from twinsieve.llm.grams import SIMILAR, comparable, exact_pairs
 from twinsieve.operators.graph import connected_components
-from twinsieve.runtime import materialize, spread
+from twinsieve.runtime import materialize
 
 BANDS, ROWS, SEED = 56, 9, 20240229
 WORDS = 8  # 64-bit words of the one-bit signature; 512 bits hold the 504 minima
@@ -168,5 +169,3 @@ def near_duplicate_groups(corpus: DataFrame, threshold: float = SIMILAR) -> Data
     first = tagged.groupBy("root").agg(F.min("id").alias("group_id"))
     return tagged.join(first, "root").select("id", "group_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")).distinct()
 
-
-__all__ = ["near_duplicate_groups", "near_duplicate_pairs", "sign_classes", "class_pairs", "spread"]
