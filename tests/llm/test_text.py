@@ -184,6 +184,8 @@ CASES = [
     ("Lake Berkel rose; the Berkel case; Mira Bridge and Tolan Hall; Mira went", []),
     ("Berkel & Partners Ltd and Tolan Haldor Institute and the marsh", []),
     ("Contact: Quen Zavor, 212-555-0144", ["name:Quen Zavor", "phone:212-555-0144"]),
+    ("Zavor, Quen of Tri & Hol Partners Ltd came.\nQuen de la Zavor of Tri Board went.\nQuay Works of Tri Board\nQuen Zavor 治疗了", ["name:Zavor, Quen", "name:Quen de la Zavor", "name:Quen Zavor"]),
+    ("cron: exit 110 Foo Street was closed, page 54 Bar Lane", []),
     ("İstanbul İİ Mira Berkel", ["name:Mira Berkel"]),
 ]
 

@@ -33,12 +33,12 @@ ID_CUES = (
 )
 PHONE_CUES = (
     "phone", "tel", "tél", "telefon", "telephone", "teléfono", "téléphone", "call", "call me on", "mobil", "mobile",
-    "cell", "fax", "ring", "whatsapp", " au", "en el", "电话", "手机", "contact", "handy", "móvil", "portable",
+    "cell", "fax", "ring", "whatsapp", "au", "en el", "电话", "手机", "contact", "handy", "móvil", "portable",
 )
 #: Words right before a number that name a thing, not a person's line.
 THING = re.compile(
     r"(?:part|order|parcel|form|docket|drawing|isbn|ticket|invoice|version|port|address|volume|case|run|no\.|sku|item"
-    r"|step|note|serial|model|lot|ref|reference|sum|total|rev\.|revision|dossier|vorgang|lauf|expediente|paket|colis|paquete|订单|编号|版本)"
+    r"|step|note|serial|model|lot|ref|reference|sum|total|rev\.|revision|page|exit|bus|node|dossier|vorgang|lauf|expediente|paket|colis|paquete|订单|编号|版本)"
     r"[\s:#№=.]*$",
     re.I,
 )
@@ -105,6 +105,7 @@ ID_BETWEEN = re.compile(
 PHONE = re.compile(
     rf"(?<![\p{{L}}\p{{N}}.,#_/@+-])(?:(?P<plus>\(?\+\d{{1,3}}\)?|00\d{{2}}(?=[ (])){_SIGN}?)?(?P<body>(?:\(\d{{1,4}}\){_SIGN}?)?\d(?:{_SIGN}?\(?\d\)?)*)"
 )
+PHONE_BEFORE = re.compile(rf"(?<![\p{{L}}])(?:{'|'.join(re.escape(c) for c in PHONE_CUES)})[ :=.(\u00a0]*$", re.I)
 PHONE_AFTER = re.compile(r",? ?(?:x\d+|ext\.? ?\d+)?,? (?:/ )?(?:correo|courriel|e-?mail|mail)\b", re.I)
 NATIONAL = re.compile(
     r"(?:1[ .-])?(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .-])\d{3}[ .-]\d{4}$"  # 3-3-4
@@ -137,9 +138,21 @@ LOWER_AFTER = re.compile(rf"(?:{_B}\p{{L}}\.)*{_B}{_PART}{{0,2}}(?P<f>\p{{L}}+(?
 BEFORE_FAMILY = re.compile(rf"(?P<g>{_W}|{_INIT})(?:{_B}{_INIT})*{_B}{_PART}{{0,2}}$")
 FAMILY_BEFORE = re.compile(rf"(?:(?<![\p{{L}}]){_PART}{{0,2}})(?P<f>{_W}),{_B}$")
 GIVEN_AFTER = re.compile(rf",{_B}(?P<g>{_W})(?:{_B}{_INIT})*")
+ORGANISATION = (
+    r"(?:Institute|Archive|Trust|Guild|Agency|Works|Board|Cooperative|Union|Press|Lines|Laboratories|Laboratory|Partners"
+    r"|Foundation|Museum|Society|Council|Ministry|Department|University|College|School|Hospital|Bank|Group|Company"
+    r"|Corporation|Association|Ltd|Inc|GmbH|AG|Verein|Genossenschaft|Amt|Stiftung|Werke|Verlag|Fondation|SARL|Ateliers"
+    r"|Coopérative|Fundación|Talleres|Consejo|Cooperativa)"
+)
+#: A sentence that begins with a name: before the organisation of the person, or a verb in Chinese.
+SUBJECT = re.compile(
+    rf"(?<=^|[\n。]|[.!?。]{_B})(?:{_PART}{{0,2}}{_W},{_B}(?:{_W}|{_INIT})(?:{_B}{_INIT})*|(?:{_W}|{_INIT})(?:{_B}{_INIT})*{_B}{_PART}{{0,2}}{_W})"
+    rf"(?={_B}of{_B}(?:{_W}{_B}(?:&{_B})?){{1,3}}{ORGANISATION}\b|{_B}?\p{{Han}})"
+)
 NEXT_WORD = re.compile(rf"{_B}(?:&{_B})?([\p{{L}}]+)")
 LAST_WORD = re.compile(rf"([\p{{L}}.]+){_B}$")
 INITIAL_AFTER = re.compile(rf"(?:{_B}{_INIT})+")
+HAN = re.compile(r"\p{Han}")
 WORD_END = re.compile(r"[\p{L}\p{N}]")
 
 
@@ -189,8 +202,7 @@ class Finder:
         take("phone", self._phones(text, low))
         if hits["street"]:
             take("address", self._addresses(text, hits["street"]))
-        if hits["person"] or hits["known"]:
-            take("name", self._names(text, low, hits["person"], hits["known"]))
+        take("name", self._names(text, low, hits["person"], hits["known"]))
         return sorted(spans, key=lambda s: s[1])
 
     def _emails(self, text: str, hits: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
@@ -240,7 +252,7 @@ class Finder:
                 yield a, b
             elif NATIONAL.match(body):
                 yield a, b
-            elif any(before.rstrip(" :=.(").endswith(c.strip()) for c in PHONE_CUES) or PHONE_AFTER.match(text, b):
+            elif PHONE_BEFORE.search(before) or PHONE_AFTER.match(text, b):
                 yield a, b
 
     def _addresses(self, text: str, hits: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
@@ -282,6 +294,8 @@ class Finder:
                 m = GIVEN_FAMILY.match(text, b)
             if m and self._person(text, m):
                 found.append(m.span())
+        if " of " in text or HAN.search(text):
+            found += [m.span() for m in SUBJECT.finditer(text) if self._person(text, m)]
         for a, b in known:
             if (a and (text[a - 1].isalnum() or text[a - 1] in "_@＠.+-=" and not text[a - 1] == "=")) or (
                 b < len(text) and (text[b].isalnum() or text[b] in "_@＠+")
