@@ -58,7 +58,7 @@ class Written:
 def write_out(df: DataFrame, tag: str) -> Written:
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)  # read soon and few times: size counts
     _written[path] = spark
     return Written(spark, path, spark.read.schema(df.schema).parquet(path))
 
