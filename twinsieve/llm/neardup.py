@@ -42,14 +42,33 @@ def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
     return a, rng.integers(0, 2**63, n, dtype=np.uint64)
 
 
+#: Bytes of the table of hash values that is held at a time, and sequences of a text taken together.
+TABLE_BYTES, PIECE = 48_000_000, 4096
+
+
 def minima(sets: list[np.ndarray], n: int) -> np.ndarray:
-    """``len(sets) x n`` minima; no set may be empty."""
+    """``len(sets) x n`` minima; no set may be empty.
+
+    Each distinct sequence of the batch is hashed once, a row of values; a text's minima are those of its
+    rows. The functions are taken in blocks that keep the table small whatever the texts.
+    """
     all_grams, where = np.unique(np.concatenate(sets), return_inverse=True)
-    starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
+    ends = np.cumsum([len(s) for s in sets])
     mixed = _mix(all_grams)
+    functions = list(zip(*_functions(n)))
     out = np.empty((len(sets), n), np.uint32)
-    for k, (a, b) in enumerate(zip(*_functions(n))):
-        out[:, k] = np.minimum.reduceat(((mixed * a + b) >> np.uint64(32)).astype(np.uint32)[where], starts)
+    step = min(n, max(16, TABLE_BYTES // (4 * len(all_grams))))
+    for at in range(0, n, step):
+        block = functions[at : at + step]
+        table = np.empty((len(all_grams), len(block)), np.uint32)
+        for k, (a, b) in enumerate(block):
+            table[:, k] = (mixed * a + b) >> np.uint64(32)
+        for i, end in enumerate(ends):
+            start = end - len(sets[i])
+            low = table[where[start : min(end, start + PIECE)]].min(axis=0)
+            for more in range(start + PIECE, end, PIECE):
+                low = np.minimum(low, table[where[more : min(end, more + PIECE)]].min(axis=0))
+            out[i, at : at + len(block)] = low
     return out
 
 
@@ -135,7 +154,7 @@ def near_duplicate_pairs(corpus: DataFrame, threshold: float = SIMILAR) -> DataF
     digit pair only with identical ones. Ids are expected to be unique; a repeated row of one id gives
     no pair with itself. Very long texts are compared whole. An empty table gives no row.
     """
-    docs = comparable(corpus)
+    docs = materialize(comparable(corpus), "docs")
     classes = sign_classes(docs)
     near = class_pairs(classes, threshold)
     members = _members(docs, classes)
@@ -152,7 +171,7 @@ def near_duplicate_groups(corpus: DataFrame, threshold: float = SIMILAR) -> Data
     """``id, group_id, n_links``: the group of every comparable document and the number of different
     texts its own text is linked to. ``group_id`` is the smallest id of the group; documents of one
     text share a class, so a group of copies has no links. Nulls and short texts as in the pairs."""
-    docs = comparable(corpus)
+    docs = materialize(comparable(corpus), "docs")
     classes = sign_classes(docs)
     near = class_pairs(classes, threshold)
     roots = connected_components(near, "a", "b").select(F.col("node").alias("no"), "root")
