@@ -3,8 +3,9 @@
 A rolling hash over the last three characters of the plain text sets a boundary about every 16
 characters, so an insertion only changes the chunks around it. A chunk is one 64-bit number: 51 bits
 of its hash and, in the low 13, its length in bytes. :class:`ChunkIndex` keeps two tables under a
-folder, one directory for each accepted batch: ``chunks`` (chunk, no) and ``records`` (no, key, plain,
-grams, total). Appending a batch writes only that batch; appending it again replaces it.
+folder, one directory for each accepted batch: ``chunks`` (chunk, no, grams) and ``records`` (no, key,
+plain). A record is its batch's ordinal and its number ``no`` there. Appending a batch writes only that batch;
+appending it again replaces it under the same ordinal.
 
 A new record probes with its rarest chunks until those left over hold less than ``UNSEEN`` of its
 bytes, and shared bytes are summed for each accepted record met. A pair whose chunks cover ``COVERAGE``
@@ -17,6 +18,7 @@ similarity are dropped in the join. What is left is compared exactly.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,11 @@ _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 2**64)
 
 
+def fs_exists(spark: SparkSession, path: str) -> bool:
+    fs, at = filesystem(spark, path)
+    return fs.exists(at)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -85,7 +92,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 batch.column("key"),
                 batch.column("plain"),
                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
-                pa.array(totals, pa.int64()),
+                pa.array(totals, pa.int32()),
                 pa.array([len(gram_set(t)) for t in texts], pa.int32()),
             ],
             names=["key", "plain", "chunks", "total", "grams"],
@@ -94,7 +101,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def cut_records(texts: DataFrame) -> DataFrame:
     """``no, key, plain, chunks, total, grams`` of distinct texts (``key, plain``), written."""
-    cut = texts.mapInArrow(_cut, "key binary, plain string, chunks array<bigint>, total bigint, grams int")
+    cut = texts.mapInArrow(_cut, "key binary, plain string, chunks array<bigint>, total int, grams int")
     return materialize(cut.where("total > 0").withColumn("no", F.monotonically_increasing_id()), "cut")
 
 
@@ -105,26 +112,33 @@ class ChunkIndex:
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def batches(self) -> list[str]:
-        fs, at = filesystem(self.spark, self.folder)
-        if not fs.exists(at):
-            return []
-        names = sorted(s.getPath().getName() for s in fs.listStatus(at))
+        """Directories ``ordinal~name`` of whole batches."""
         # a batch counts once its second table was written whole
-        return [n for n in names if fs.exists(filesystem(self.spark, f"{self.folder}/{n}/records/_SUCCESS")[1])]
+        return [n for n in self._started() if fs_exists(self.spark, f"{self.folder}/{n}/records/_SUCCESS")]
+
+    def _started(self) -> list[str]:
+        fs, at = filesystem(self.spark, self.folder)
+        return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
 
     def _read(self, table: str) -> DataFrame | None:
-        paths = [f"{self.folder}/{n}/{table}" for n in self.batches()]
-        return self.spark.read.parquet(*paths) if paths else None
+        parts = [
+            self.spark.read.parquet(f"{self.folder}/{n}/{table}").withColumn("batch", F.lit(int(n.split("~")[0])))
+            for n in self.batches()
+        ]
+        return reduce(DataFrame.unionByName, parts) if parts else None
 
     def append(self, batch: str, texts: DataFrame) -> None:
         """Accept a batch of distinct texts (``key, plain``)."""
-        fs, at = filesystem(self.spark, f"{self.folder}/{batch}")
+        started = self._started()
+        same = [n for n in started if n.split("~", 1)[1] == batch]
+        last = int(started[-1].split("~")[0]) if started else -1
+        path = f"{self.folder}/{same[0] if same else f'{last + 1:09d}~{batch}'}"
+        fs, at = filesystem(self.spark, path)
         fs.delete(at, True)
-        cut = cut_records(texts).withColumn("no", F.concat(F.lit(batch + ":"), F.col("no").cast("string")))
-        cut.select(F.explode("chunks").alias("chunk"), "no", "total", "grams").write.parquet(
-            f"{self.folder}/{batch}/chunks"
-        )
-        cut.select("no", "key", "plain", "total", "grams").write.parquet(f"{self.folder}/{batch}/records")
+        cut = cut_records(texts)
+        write = lambda df, name: df.write.option("compression", "zstd").parquet(f"{path}/{name}")
+        write(cut.select(F.explode("chunks").alias("chunk"), "no", "grams"), "chunks")
+        write(cut.select("no", "key", "plain"), "records")
 
     def probe(self, texts: DataFrame, similarity: float = SIMILAR) -> DataFrame:
         """``key_a, key_b, similarity`` of new texts (``key, plain``) and accepted ones, keys differing."""
@@ -135,8 +149,13 @@ class ChunkIndex:
             )
         new = cut_records(texts)
         mine = new.select("no", F.explode("chunks").alias("chunk"), "total", "grams")
+        # one scan of history's chunks, cut to those of the new batch; a small batch is broadcast at run time
+        known = known.join(mine.select("chunk").distinct(), "chunk", "left_semi")
+        known = materialize(known.select("chunk", "batch", "no", "grams"), "met")
         spread = known.groupBy("chunk").agg(F.count("*").alias("df"))
-        mine = mine.join(spread, "chunk", "left").withColumn("bytes", F.col("chunk").bitwiseAND((1 << LENGTH_BITS) - 1))
+        mine = mine.join(spread, "chunk", "left").withColumn(
+            "bytes", F.col("chunk").bitwiseAND((1 << LENGTH_BITS) - 1).cast("int")
+        )
         rarest = Window.partitionBy("no").orderBy(F.coalesce("df", F.lit(0)), "chunk")
         before = F.coalesce(F.sum("bytes").over(rarest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         probes = (
@@ -144,18 +163,17 @@ class ChunkIndex:
             .where((F.col("total") - F.col("before") >= F.col("total") * UNSEEN) & F.col("df").isNotNull())
             .select("chunk", F.col("no").alias("a"), "bytes", "total", F.col("grams").alias("g"))
         )
-        met = known.select("chunk", F.col("no").alias("b"), F.col("grams").alias("h"))
+        met = known.select("chunk", "batch", F.col("no").alias("b"), F.col("grams").alias("h"))
         possible = (F.col("g") >= similarity * F.col("h")) & (F.col("h") >= similarity * F.col("g"))
         shared = (
             probes.join(met, "chunk")
             .where(possible)
-            .groupBy("a", "b")
+            .groupBy("a", "batch", "b")
             .agg(F.sum("bytes").alias("shared"), F.first("total").alias("total"))
             .where(F.col("shared") >= F.col("total") * (COVERAGE - UNSEEN))
-            .select("a", "b")
+            .select("a", "batch", "b")
         )
-        # both sides get numbers of one kind for the exact check
-        both = shared.join(kept.select(F.col("no").alias("b"), F.col("key").alias("key_b"), F.col("plain").alias("pb")), "b")
+        both = shared.join(kept.select("batch", F.col("no").alias("b"), F.col("key").alias("key_b"), F.col("plain").alias("pb")), ["batch", "b"])
         both = both.join(new.select(F.col("no").alias("a"), F.col("key").alias("key_a"), F.col("plain").alias("pa")), "a")
         return compare(both.where("key_a <> key_b"), similarity)
 
@@ -183,7 +201,7 @@ def accepted_duplicates(corpus: DataFrame, folder: str | None = None) -> DataFra
     """
     spark = corpus.sparkSession
     index = ChunkIndex(spark, folder or new_path(spark, "chunk-index"))
-    docs = comparable(corpus.where("is_parent is null or is_parent"), "is_parent")
+    docs = materialize(comparable(corpus.where("is_parent is null or is_parent"), "is_parent"), "docs")
     new, old = docs.where("is_parent is null"), docs.where("is_parent")
     distinct = lambda d: d.groupBy("key").agg(F.first("plain").alias("plain"))
     index.append("accepted", distinct(old))
