@@ -144,15 +144,15 @@ ORGANISATION = (
     r"|Corporation|Association|Ltd|Inc|GmbH|AG|Verein|Genossenschaft|Amt|Stiftung|Werke|Verlag|Fondation|SARL|Ateliers"
     r"|Coopérative|Fundación|Talleres|Consejo|Cooperativa)"
 )
-#: A sentence that begins with a name: before the organisation of the person, or a verb in Chinese.
+#: What follows a name that begins a sentence: the organisation of the person, or a verb in Chinese.
+OF_ORGANISATION = re.compile(rf"{_B}of{_B}(?:{_W}{_B}(?:&{_B})?){{1,3}}{ORGANISATION}\b")
+BEFORE_HAN = re.compile(rf"(?<=\p{{Latin}}){_B}?(?=\p{{Han}})")
 SUBJECT = re.compile(
-    rf"(?<=^|[\n。]|[.!?。]{_B})(?:{_PART}{{0,2}}{_W},{_B}(?:{_W}|{_INIT})(?:{_B}{_INIT})*|(?:{_W}|{_INIT})(?:{_B}{_INIT})*{_B}{_PART}{{0,2}}{_W})"
-    rf"(?={_B}of{_B}(?:{_W}{_B}(?:&{_B})?){{1,3}}{ORGANISATION}\b|{_B}?\p{{Han}})"
+    rf"(?<=^|[\n。]|[.!?。]{_B})(?:{_PART}{{0,2}}{_W},{_B}(?:{_W}|{_INIT})(?:{_B}{_INIT})*|(?:{_W}|{_INIT})(?:{_B}{_INIT})*{_B}{_PART}{{0,2}}{_W})$"
 )
 NEXT_WORD = re.compile(rf"{_B}(?:&{_B})?([\p{{L}}]+)")
 LAST_WORD = re.compile(rf"([\p{{L}}.]+){_B}$")
 INITIAL_AFTER = re.compile(rf"(?:{_B}{_INIT})+")
-HAN = re.compile(r"\p{Han}")
 WORD_END = re.compile(r"[\p{L}\p{N}]")
 
 
@@ -294,8 +294,12 @@ class Finder:
                 m = GIVEN_FAMILY.match(text, b)
             if m and self._person(text, m):
                 found.append(m.span())
-        if " of " in text or HAN.search(text):
-            found += [m.span() for m in SUBJECT.finditer(text) if self._person(text, m)]
+        ends = [m.start() for m in OF_ORGANISATION.finditer(text)] if " of " in text else []
+        ends += [m.start() for m in BEFORE_HAN.finditer(text)]
+        for end in ends:
+            line = max(text.rfind("\n", 0, end) + 1, end - 80)
+            if (m := SUBJECT.search(text, line, end)) and self._person(text, m):
+                found.append(m.span())
         for a, b in known:
             if (a and (text[a - 1].isalnum() or text[a - 1] in "_@＠.+-=" and not text[a - 1] == "=")) or (
                 b < len(text) and (text[b].isalnum() or text[b] in "_@＠+")
