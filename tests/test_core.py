@@ -67,7 +67,8 @@ def test_edge_store(spark):
     store.insert(edge_frame(spark, [("a", "b", 0.95)]), "two")  # again
     assert [r[:3] for r in rows(store.edges())] == [("a", "b", 0.95), ("c", "c", 1.0)]
     assert store.build_adjacency() and not store.build_adjacency()
-    assert store.index().count() == 2
+    assert store.index().count() == 4  # the edge of both batches from both ends; none of the self-edge
+    assert [r[:3] for r in rows(store.connected(spark.createDataFrame([("b",)], "id string"), "index"))] == [("a", "b", 0.95)]
     store.insert(edge_frame(spark, [("b", "d", 0.9)]), "three")
     assert store.index() is None  # it no longer covers everything
     assert {r[0] for r in rows(store.connected(spark.createDataFrame([("d",)], "id string")))} == {"a", "b"}

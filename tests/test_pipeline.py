@@ -2,16 +2,22 @@ import os
 import random
 
 import pytest
+
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from twinsieve import cli
 from twinsieve.config import DedupeConfig
-from twinsieve.operators.lsh import LshIndex, MetadataMismatch, candidate_pairs, sign
+from twinsieve.operators.edges import EdgeStore
+from twinsieve.operators.lock import Locked, RunLock
+from twinsieve.operators.lsh import LshIndex, MetadataMismatch, bands, candidate_pairs, sign
 from twinsieve.plans import inspect
-from twinsieve.plans.pipeline import DedupePipeline, dedupe_frame
+from twinsieve.plans.pipeline import DedupePipeline, dedupe_frame, run_datasets
 from twinsieve.runtime import new_path
-from twinsieve.sources.base import DocumentSource, NotSupported, datasets_with_unprocessed, scoped, upsert_documents, validate_table_name
+from twinsieve.sources.base import (
+    DocumentSource, NotSupported, dataset_id_of, dataset_name_of, datasets_with_unprocessed, scoped, upsert_documents,
+    validate_table_name,
+)
 from twinsieve.sources.files import FileConfig, FileSource
 from twinsieve.sources.postgres import PostgresConfig
 from twinsieve.sources.sqlite import SqliteSource
@@ -59,11 +65,11 @@ def test_incremental_bridge(spark):
     first = DedupePipeline(spark, source, f"{folder}/s", config).run("r1")
     assert (first.total, first.assignments, first.unique_parents) == (4, 2, 2)
     assert {r[0]: r[1] for r in source.dupes().collect()} == {"a2": "a1", "b2": "b1"}
-    source.docs.replace(upsert_documents(source.docs.read(), docs_frame(spark, [("c", A)])))
+    source.add(docs_frame(spark, [("c", A)]), "second")
     second = DedupePipeline(spark, source, f"{folder}/s", config).run("r2")
     assert second.total == 1
     assert {r[0]: r[1] for r in source.dupes().collect()} == {"a2": "a1", "b1": "a1", "b2": "a1", "c": "a1"}
-    states = {r["id"]: r["is_parent"] for r in source.docs.read().collect()}
+    states = {r["id"]: r["is_parent"] for r in source.states.read().collect()}
     assert states == {"a1": True, "a2": False, "b1": False, "b2": False, "c": False}
     third = DedupePipeline(spark, source, f"{folder}/s", config).run("r3")
     assert third.total == 0  # nothing is left to do
@@ -80,7 +86,7 @@ def test_run_again_after_a_crash(spark, monkeypatch):
     monkeypatch.undo()
     stats = DedupePipeline(spark, source, f"{folder}/s").run("r")
     assert stats.total == 3 and rows(source.dupes().select("child_id", "parent_id")) == [("2", "1")]
-    assert rows(source.docs.read().select("id", "is_parent")) == [("1", True), ("2", False), ("3", True)]
+    assert rows(source.states.read().select("id", "is_parent")) == [("1", True), ("2", False), ("3", True)]
 
 
 def test_from_index(spark):
@@ -118,7 +124,74 @@ def test_scopes_and_datasets(spark):
         DocumentSource().documents()
 
 
-def test_postgres_url():
+def test_table_source(spark):
+    old = docs_frame(spark, [("1", A), ("2", B)]).withColumn("is_parent", F.lit(True))
+    source = TableSource.create(spark, new_path(spark, "t"), old)
+    source.add(docs_frame(spark, [("2", "new text"), ("3", B)]), "more")
+    got = {r["id"]: (r["content"], r["is_parent"]) for r in source.documents().collect()}
+    assert got == {"1": (A, True), "2": ("new text", None), "3": (B, None)}
+    assert source.count_unprocessed() == 2 and rows(source.existing_parents(source.documents())) == [("1",)]
+    source.delete(spark.createDataFrame([("2",)], "id string"))
+    assert source.count_total() == 2 and [r[0] for r in source.page_after("1", 5).collect()] == ["3"]
+    merged = upsert_documents(old, docs_frame(spark, [("2", "x")]))
+    assert {(r["id"], r["is_parent"]) for r in merged.collect()} == {("1", True), ("2", None)}
+
+
+def test_lock(spark):
+    folder = new_path(spark, "lock")
+    with RunLock(spark, folder) as held:
+        assert not RunLock(spark, folder).acquire()
+        with pytest.raises(Locked):
+            RunLock(spark, folder).__enter__()
+        other = RunLock(spark, folder)
+        other.release()  # it is not the holder's
+        assert not other.acquire() and held.token
+        assert RunLock(spark, folder, stale_after=-1).acquire()
+    fresh = RunLock(spark, new_path(spark, "lock"))
+    assert fresh.acquire()
+    fresh.release()
+    assert fresh.acquire()
+
+
+def test_datasets_run_apart(spark):
+    folder = new_path(spark, "sets")
+    data = [("1", A, '["x"]'), ("2", A, '["x","y"]'), ("3", A, '["y"]'), ("4", B, None)]
+    docs = spark.createDataFrame([(i, c, None, None, None, d) for i, c, d in data], DOC + ", dataset_ids string")
+    names = spark.createDataFrame([("x", "X"), ("y", "Y")], "id string, name string")
+    source = TableSource.create(spark, f"{folder}/t", docs)
+    held = RunLock(spark, f"{folder}/s/y")
+    assert held.acquire()
+    open_source = lambda d: TableSource(spark, f"{folder}/t", dataset_id=d)
+    done = run_datasets(spark, source.documents(), names, open_source, f"{folder}/s")
+    assert list(done) == ["X"] and done["X"].total == 2
+    assert [r[:2] for r in rows(source.dupes())] == [("2", "1")]
+    assert (dataset_id_of(names, "X"), dataset_id_of(names, "Z"), dataset_name_of(names, "y")) == ("x", None, "Y")
+
+
+def test_index_reads(spark):
+    index = LshIndex(spark, new_path(spark, "index"))
+    asked = docs_frame(spark, [("q", A), ("1", A)])
+    assert index.count() == 0 and index.has(asked).where("present").count() == 0
+    index.insert(docs_frame(spark, [("1", A), ("2", A), ("3", B)]), "one")
+    assert rows(index.query(asked)) == [("1", "2"), ("q", "1"), ("q", "2")]
+    assert rows(index.has(asked)) == [("1", True), ("q", False)] and index.ids().count() == 3
+    found = bands(index.get(asked)).where("band = 3")
+    assert {r["id"] for r in index.bucket_docs(found).collect()} == {"1", "2"}
+    store = EdgeStore(spark, new_path(spark, "store"))
+    edge = "child_id string, parent_id string, jaccard_similarity double, size_difference int, size_difference_pct double"
+    store.insert(spark.createDataFrame([("2", "1", 0.9, 0, 0.0), ("2", "0", 0.95, 0, 0.0), ("2", "2", 1.0, 0, 0.0)], edge), "a")
+    assert store.count() == 3 and store.real_edges().count() == 2
+    assert [r[:2] for r in rows(store.best_of(spark.createDataFrame([("2",), ("1",)], "id string")))] == [("2", "0")]
+    pairs = spark.createDataFrame([("2", "1"), ("1", "2")], "child_id string, parent_id string")
+    assert rows(store.contains(pairs)) == [("2", "1")]
+
+
+def test_postgres_url(monkeypatch):
+    monkeypatch.setenv("DATABASE_URL", "postgres://me:x@host:99/base")
+    assert PostgresConfig.from_env().jdbc_url == "jdbc:postgresql://host:99/base"
+    monkeypatch.delenv("DATABASE_URL")
+    with pytest.raises(ValueError):
+        PostgresConfig.from_env()
     c = PostgresConfig.from_url("postgresql://u:p@[::1]/db")
     assert (c.port, c.jdbc_url) == (5432, "jdbc:postgresql://[::1]:5432/db")
     with pytest.raises(ValueError):
@@ -168,7 +241,7 @@ def test_stream(spark):
         stream = spark.readStream.schema("id string, content string, content_len int, filename string").parquet(f"{folder}/in")
         job.start(stream).awaitTermination()
     assert [r[:2] for r in rows(job.source.dupes())] == [("2", "1"), ("5", "3")]
-    states = dict(rows(job.source.docs.read().select("id", "is_parent")))
+    states = dict(rows(job.source.states.read().select("id", "is_parent")))
     assert states == {"1": True, "2": False, "3": True, "4": True, "5": False}
 
 
@@ -183,4 +256,3 @@ def test_reports(spark):
     pairs = spark.createDataFrame([("1", "2"), ("1", "3")], "id_a string, id_b string")
     assert [(r["shared_bands"], r["verdict"]) for r in inspect.compare_documents(signed, pairs).orderBy("id_b").collect()] == [(16, "duplicate"), (0, "not a candidate")]
     assert inspect.index_summary(signed).first()["documents"] == 3
-    assert F is not None

@@ -10,7 +10,7 @@ from dataclasses import asdict
 from pyspark.sql import SparkSession
 
 from twinsieve.config import DedupeConfig
-from twinsieve.operators.cleanup import CleanupAction, clean, cluster_report, pathological_clusters
+from twinsieve.operators.cleanup import CleanupAction, cluster_report, cluster_roots, pathological_clusters
 from twinsieve.plans.inspect import jaccard_histogram, samples
 from twinsieve.plans.pipeline import DedupePipeline
 
@@ -119,8 +119,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         clusters = pathological_clusters(signed, args.cleanup_min_bucket, args.cleanup_min_bands)
         print(json.dumps(cluster_report(clusters).first().asDict()))
         action = CleanupAction.parse(args.cleanup_action)
-        if action is not CleanupAction.REPORT and hasattr(pipeline.source, "docs"):
-            pipeline.source.docs.replace(clean(pipeline.source.docs.read(), clusters, action))
+        if action is CleanupAction.MARK_PARENT:
+            pipeline.source.mark(cluster_roots(clusters), clusters.select("id").limit(0))
+        elif action is CleanupAction.DELETE:
+            pipeline.source.delete(clusters.select("id").distinct().join(cluster_roots(clusters), "id", "left_anti"))
     return 0
 
 

@@ -30,16 +30,19 @@ class CleanupAction(Enum):
             raise ValueError(f"unknown cleanup action {text!r}") from None
 
 
-def pathological_clusters(signed: DataFrame, min_bucket: int = 1000, min_bands: int = 14) -> DataFrame:
+def pathological_clusters(
+    signed: DataFrame, min_bucket: int = 1000, min_bands: int = 14, batch: DataFrame | None = None
+) -> DataFrame:
     """``cluster, band_count, id``: members of each cluster, one row each.
 
     Starting from each large bucket, bands in ascending order take part when their largest overlap
     with the start holds at least nine tenths of it; a member must be in all of them. A cluster needs ``min_bands`` bands
     and still ``min_bucket`` members; one more than nine tenths similar to a larger one is that one.
-    Members stay in tables; only sizes of bucket pairs, at most 10,000 buckets, reach the driver.
+    With ``batch`` only buckets that hold one of its ids are looked at: a cluster's new member lies in all
+    its bands. Members stay in tables; only sizes of bucket pairs, at most 10,000 buckets, reach the driver.
     """
     spark = signed.sparkSession
-    big = large_buckets(signed, min_bucket)
+    big = large_buckets(signed, min_bucket, batch=batch)
     big = materialize(big.withColumn("bucket", F.concat_ws(":", "band", "key")).select("bucket", "band", "key", "size"), "big")
     members = materialize(bands(signed).join(big, ["band", "key"]).select("bucket", "band", "size", "id"), "members")
     a = members.select(F.col("bucket").alias("start"), F.col("band").alias("band_a"), F.col("size").alias("size_a"), "id")
@@ -75,6 +78,11 @@ def pathological_clusters(signed: DataFrame, min_bucket: int = 1000, min_bands:
     return inside.join(names, "start", "left_semi").select(F.col("start").alias("cluster"), "band_count", "id")
 
 
+def cluster_roots(clusters: DataFrame) -> DataFrame:
+    """``id``: the smallest member of each cluster."""
+    return clusters.groupBy("cluster").agg(F.min("id").alias("id")).select("id").distinct()
+
+
 def star_edges(clusters: DataFrame) -> DataFrame:
     """Edges of every member to its cluster's smallest id, with a fixed similarity of 0.99."""
     root = clusters.groupBy("cluster").agg(F.min("id").alias("parent_id"))
@@ -104,7 +112,7 @@ def clean(docs: DataFrame, clusters: DataFrame, action: CleanupAction) -> DataFr
     """The documents after the action: unchanged, roots marked as parents, or others deleted."""
     if action is CleanupAction.REPORT:
         return docs
-    roots = clusters.groupBy("cluster").agg(F.min("id").alias("id")).select("id").distinct()
+    roots = cluster_roots(clusters)
     if action is CleanupAction.MARK_PARENT:
         mark = roots.withColumn("_root", F.lit(True))
         state = F.when(F.col("_root").isNotNull(), F.lit(True)).otherwise(F.col("is_parent"))

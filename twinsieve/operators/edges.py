@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinsieve.operators.matching import EDGE, upsert_edges
+from twinsieve.operators.matching import EDGE, edge_of_child, upsert_edges
 from twinsieve.runtime import filesystem, write_out
 
 
@@ -66,9 +66,9 @@ def connected_edges(edges: DataFrame, seeds: DataFrame, lookup: str = "scan", in
     real = edges.where("child_id <> parent_id").select(*EDGE)
     if index is not None and lookup in ("index", "auto"):
         nodes = reachable(index.select("node", "other"), seeds)
-        # each edge is taken at its smaller end
+        # each edge is taken at its smaller end; several batches may hold it
         mine = index.where("node < other").join(nodes, "node", "left_semi")
-        return mine.select(*EDGE)
+        return upsert_edges(None, mine)
     nodes = reachable(adjacency(real).select("node", "other"), seeds)
     return real.join(nodes.withColumnRenamed("node", "child_id"), "child_id", "left_semi")
 
@@ -76,8 +76,9 @@ def connected_edges(edges: DataFrame, seeds: DataFrame, lookup: str = "scan", in
 class EdgeStore:
     """Edges under a folder: each batch a directory, replaced when written again.
 
-    Readers see one row per (child, parent), the most similar. The adjacency index is a copy of the
-    edges by node, rebuilt by ``build_adjacency`` and used only while it covers all batches.
+    Readers see one row per (child, parent), the most similar. The adjacency index holds the edges by
+    node, a directory for each batch too, so that indexing a new batch leaves the old ones alone; it is
+    used only while it covers all batches.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -94,30 +95,55 @@ class EdgeStore:
         return self._done("edges")
 
     def insert(self, edges: DataFrame, batch: str) -> None:
+        fs, at = filesystem(self.spark, f"{self.folder}/adjacency/{batch}")
+        fs.delete(at, True)  # it would no longer be the batch's
         edges.select(*EDGE).write.mode("overwrite").parquet(f"{self.folder}/edges/{batch}")
 
     def edges(self) -> DataFrame | None:
         paths = [f"{self.folder}/edges/{n}" for n in self.batches()]
         return upsert_edges(None, self.spark.read.parquet(*paths)) if paths else None
 
+    def count(self) -> int:
+        found = self.edges()
+        return 0 if found is None else found.count()
+
+    def real_edges(self) -> DataFrame | None:
+        found = self.edges()
+        return None if found is None else found.where("child_id <> parent_id")
+
+    def best_of(self, children: DataFrame) -> DataFrame | None:
+        """The best real edge of each of the given ``id`` rows."""
+        found = self.real_edges()
+        if found is None:
+            return None
+        return edge_of_child(found.join(children.select(F.col("id").alias("child_id")).distinct(), "child_id", "left_semi"))
+
+    def contains(self, pairs: DataFrame) -> DataFrame:
+        """``child_id, parent_id`` rows of ``pairs`` that are stored."""
+        found = self.edges()
+        wanted = pairs.select("child_id", "parent_id").distinct()
+        return wanted.limit(0) if found is None else wanted.join(found.select("child_id", "parent_id"), ["child_id", "parent_id"])
+
     def clear(self) -> None:
         for table in ("edges", "adjacency"):
             fs, at = filesystem(self.spark, f"{self.folder}/{table}")
             fs.delete(at, True)
 
     def build_adjacency(self) -> bool:
-        """Write the index; False where it is up to date already."""
-        name = f"upto-{len(self.batches()):09d}"
-        if not self.batches() or name in self._done("adjacency"):
-            return False
-        adjacency(self.edges()).repartition("node").sortWithinPartitions("node").write.mode("overwrite").parquet(
-            f"{self.folder}/adjacency/{name}"
-        )
-        return True
+        """Index the batches that are not yet; False where there are none."""
+        missing = sorted(set(self.batches()) - set(self._done("adjacency")))
+        for name in missing:
+            found = adjacency(self.spark.read.parquet(f"{self.folder}/edges/{name}"))
+            found.repartition("node").sortWithinPartitions("node").write.mode("overwrite").parquet(
+                f"{self.folder}/adjacency/{name}"
+            )
+        return bool(missing)
 
     def index(self) -> DataFrame | None:
-        name = f"upto-{len(self.batches()):09d}"
-        return self.spark.read.parquet(f"{self.folder}/adjacency/{name}") if name in self._done("adjacency") else None
+        names = self._done("adjacency")
+        if not names or names != self.batches():
+            return None
+        return self.spark.read.parquet(*(f"{self.folder}/adjacency/{n}" for n in names))
 
     def connected(self, seeds: DataFrame, lookup: str = "auto") -> DataFrame | None:
         found = self.edges()

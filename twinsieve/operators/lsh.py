@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from twinsieve.config import HASH_VERSION, NUM_BANDS, NUM_PERM, ROWS_PER_BAND, SEED, TOKENIZER_VERSION, DedupeConfig
 from twinsieve.functions.minhash import band_hashes, band_slices, signature_udf
-from twinsieve.functions.text import is_boilerplate, normalize_content
+from twinsieve.functions.text import is_boilerplate, normalize_content, size_within
 from twinsieve.runtime import filesystem, spread
 
 
@@ -43,9 +43,14 @@ def buckets(signed: DataFrame) -> DataFrame:
     return bands(signed).groupBy("band", "key").agg(F.sort_array(F.collect_set("id")).alias("doc_ids"))
 
 
-def large_buckets(signed: DataFrame, min_size: int, limit: int = 10_000) -> DataFrame:
-    """``band, key, size``: the ``limit`` largest buckets of at least ``min_size`` documents."""
-    sizes = bands(signed).groupBy("band", "key").agg(F.count("*").alias("size")).where(F.col("size") >= min_size)
+def large_buckets(signed: DataFrame, min_size: int, limit: int = 10_000, batch: DataFrame | None = None) -> DataFrame:
+    """``band, key, size``: the ``limit`` largest buckets of at least ``min_size`` documents; with
+    ``batch`` only of those that hold one of its ids."""
+    rows = bands(signed)
+    if batch is not None:
+        mine = bands(signed.join(batch.select("id").distinct(), "id", "left_semi")).select("band", "key").distinct()
+        rows = rows.join(mine, ["band", "key"], "left_semi")
+    sizes = rows.groupBy("band", "key").agg(F.count("*").alias("size")).where(F.col("size") >= min_size)
     return sizes.orderBy(F.col("size").desc(), "band", "key").limit(limit)
 
 
@@ -59,19 +64,18 @@ def candidate_pairs(signed: DataFrame, batch: DataFrame | None = None, size_diff
     batch belongs to its smaller id. Sizes are compared in the join where ``size_diff`` is given."""
     keys = _keys(signed)
     right = keys.select(F.col("id").alias("c"), F.col("content_len").alias("len_c"), "bucket")
-    if batch is None:
-        left = keys.select(F.col("id").alias("p"), F.col("content_len").alias("len_p"), "bucket")
-        pairs = left.join(right, "bucket").where("p < c")
-    else:
-        ids = batch.select("id").distinct()
-        left = keys.join(ids, "id", "left_semi").select(F.col("id").alias("p"), F.col("content_len").alias("len_p"), "bucket")
-        tagged = right.join(ids.select(F.col("id").alias("c"), F.lit(True).alias("in_batch")), "c", "left")
-        pairs = left.join(tagged, "bucket").where("p <> c and (in_batch is null or p < c)")
+    ids = None if batch is None else batch.select("id").distinct()
+    left = keys if ids is None else _keys(signed.join(ids, "id", "left_semi"))
+    left = left.select(F.col("id").alias("p"), F.col("content_len").alias("len_p"), "bucket")
+    # a small batch is broadcast at run time, and history is only scanned
+    pairs = left.join(right, "bucket").where("p < c" if ids is None else "p <> c")
     if size_diff is not None:
-        from twinsieve.functions.text import size_within
-
         pairs = pairs.where(size_within(F.col("len_p"), F.col("len_c"), size_diff))
-    return pairs.select("p", "c").distinct()
+    pairs = pairs.select("p", "c").distinct()
+    if ids is None:
+        return pairs
+    tagged = pairs.join(ids.select(F.col("id").alias("c"), F.lit(True).alias("in_batch")), "c", "left")
+    return tagged.where("in_batch is null or p < c").select("p", "c")
 
 
 class MetadataMismatch(RuntimeError):
@@ -144,6 +148,31 @@ class LshIndex:
         found = self.signatures()
         return None if found is None else found.join(ids.select("id"), "id", "left_semi")
 
+    def ids(self) -> DataFrame | None:
+        found = self.signatures()
+        return None if found is None else found.select("id")
+
+    def has(self, ids: DataFrame) -> DataFrame:
+        """``id, present`` of the given ids."""
+        found = self.ids()
+        if found is None:
+            return ids.select("id").withColumn("present", F.lit(False))
+        mark = found.withColumn("_in", F.lit(True))
+        return ids.select("id").join(mark, "id", "left").select("id", F.col("_in").isNotNull().alias("present"))
+
+    def bucket_docs(self, wanted: DataFrame) -> DataFrame:
+        """``band, key, id``: the members of the given ``band, key`` rows."""
+        return bands(self.signatures()).join(wanted.select("band", "key").distinct(), ["band", "key"], "left_semi")
+
+    def query(self, docs: DataFrame) -> DataFrame:
+        """``id, other``: indexed documents that share a band with the given ones, themselves left out.
+
+        The given documents need not be in the index.
+        """
+        asked = _keys(sign(docs, self.config.seed)).select("id", "bucket")
+        known = _keys(self.signatures()).select(F.col("id").alias("other"), "bucket")
+        return asked.join(known, "bucket").where("id <> other").select("id", "other").distinct()
+
     def compact(self, batch: str) -> None:
         """Rewrite all batches as one; the old ones go once the new one is whole."""
         found, old = self.signatures(), self.batches()

@@ -111,6 +111,9 @@ assigned AS (
 
 
 _NEW = "SELECT id FROM corpus_docs WHERE is_parent IS NULL"
+_NEW_CANDIDATES = f"""newc AS (
+  SELECT DISTINCT x.id AS p, y.id AS c FROM bands x JOIN bands y ON x.band = y.band AND x.key = y.key AND x.id <> y.id
+  WHERE x.id IN ({_NEW}) AND (y.id NOT IN ({_NEW}) OR x.id < y.id))"""
 _PARENTS = " UNION ALL SELECT id FROM corpus_docs WHERE is_parent"
 _ASSIGNED = f"{_EDGES},\n{_STORED},\n" + _resolved("e", _PARENTS, _NEW)
 _RAW = f"{_SIGNED},\n{_CANDIDATES},\n" + _SCORED.format(pairs="cand")
@@ -132,9 +135,7 @@ seen(node) AS ({_NEW} UNION SELECT links.v FROM seen JOIN links ON seen.node = l
     once = _with(_RAW, _resolved("raw"), recursive=True) + f"SELECT {_E} FROM assigned"
     new_only = _with(
         _SIGNED,
-        f"""newc AS (
-  SELECT DISTINCT x.id AS p, y.id AS c FROM bands x JOIN bands y ON x.band = y.band AND x.key = y.key AND x.id <> y.id
-  WHERE x.id IN ({_NEW}) AND (y.id NOT IN ({_NEW}) OR x.id < y.id))""",
+        _NEW_CANDIDATES,
         _SCORED.format(pairs="newc"),
     )
     return {
@@ -157,6 +158,11 @@ FROM (SELECT bucket_key, unnest(doc_ids) AS id FROM path_clusters) WHERE bucket_
         "lsh_buckets": signed + "SELECT band, key, string_agg(id, ',' ORDER BY id) AS doc_ids, count(*)::INTEGER AS n FROM bands GROUP BY band, key",
         "large_buckets": signed + "SELECT band, key, count(*) AS size FROM bands GROUP BY band, key HAVING count(*) >= 3 ORDER BY size DESC, band, key LIMIT 10000",
         "lsh_candidates": _with(_SIGNED, _CANDIDATES) + "SELECT p, c FROM cand",
+        "incremental_candidates": _with(_SIGNED, _NEW_CANDIDATES) + "SELECT p, c FROM newc",
+        "exact_ngram_jaccard": _with(_TEXT, _GRAMS.format(source="t"), _EDGES)
+        + """SELECT child_id, parent_id, CASE WHEN m + n - k > 0 THEN k / (m + n - k) ELSE 0.0 END::DOUBLE AS jaccard FROM (
+  SELECT child_id, parent_id, len(list_distinct(a.grams)) AS m, len(list_distinct(b.grams)) AS n, len(list_intersect(a.grams, b.grams)) AS k
+  FROM e JOIN g a ON a.id = child_id JOIN g b ON b.id = parent_id WHERE child_id <> parent_id)""",
         "boilerplate_filter": _with(_TEXT) + "SELECT id FROM v WHERE verdict = 'boilerplate' OR contains(content, '{{') OR contains(content, '${')",
         "document_verdicts": _with(_TEXT) + "SELECT id, verdict FROM v",
         "filtered_parents": _with(_TEXT) + "SELECT DISTINCT id FROM v WHERE verdict <> 'index'",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from twinsieve.config import DedupeConfig
 from twinsieve.operators.cleanup import pathological_clusters, star_edges
 from twinsieve.operators.edges import EdgeStore
+from twinsieve.operators.lock import RunLock
 from twinsieve.operators.lsh import LshIndex, classify, sign
 from twinsieve.operators.matching import EDGE, raw_edges
 from twinsieve.operators.resolve import parents_of, resolve
@@ -18,7 +20,7 @@ from twinsieve.operators.sync import (
     SyncProgress, assignments_requiring_write, best_parents, child_marks, parent_coverage, parent_marks,
 )
 from twinsieve.runtime import filesystem, materialize
-from twinsieve.sources.base import DocumentSource
+from twinsieve.sources.base import DocumentSource, datasets_with_unprocessed
 
 
 def dedupe_frame(docs: DataFrame, config: DedupeConfig = DedupeConfig(), patterns: tuple[str, ...] = ()) -> DataFrame:
@@ -77,7 +79,7 @@ class DedupePipeline:
         self.index.insert(batch, run_id)
         signed = self.index.signatures()
         new = batch.select("id")
-        clusters = pathological_clusters(signed, config.pathological_min_bucket, config.pathological_min_bands)
+        clusters = pathological_clusters(signed, config.pathological_min_bucket, config.pathological_min_bands, new)
         clusters = materialize(clusters, "clusters")
         stars = star_edges(clusters)
         todo = new.join(clusters.select("id").distinct(), "id", "left_anti")
@@ -115,7 +117,10 @@ class DedupePipeline:
         return touched.count(), assignments
 
     def replay(self, dry_run: bool = False) -> DataFrame:
-        """Resolve all stored edges again and write everything; the assignments come back."""
+        """Resolve all stored edges again and write everything; the assignments come back.
+
+        A replay that died is taken up where it stood: rows that were written whole are not written again.
+        """
         edges = self.store.edges()
         if edges is None:
             raise ValueError("there are no edges")
@@ -125,9 +130,10 @@ class DedupePipeline:
         covered = parent_coverage(self.index.signatures(), assignments, self._filtered())
         covered = covered.union(parents_of(edges, assignments)).distinct()
         promoted = assignments.select(F.col("parent_id").alias("id")).distinct()
-        self.progress.set("writing_dupes")
-        self.source.write_dupes(assignments, promoted)
-        self.progress.set("marking_parents")
+        if self.progress.get()["step"] != "marking_parents":
+            self.progress.set("writing_dupes")
+            self.source.write_dupes(assignments, promoted)
+            self.progress.set("marking_parents")
         self.source.mark(covered, assignments.select(F.col("child_id").alias("id")))
         self.progress.set("completed")
         return assignments
@@ -146,5 +152,24 @@ class DedupePipeline:
         return resolve(self.store.edges())
 
 
+def run_datasets(
+    spark: SparkSession, docs: DataFrame, datasets: DataFrame, open_source: Callable[[str], DocumentSource], data_dir: str, config: DedupeConfig = DedupeConfig()
+) -> dict[str, DedupeStats]:
+    """One run for each dataset with unprocessed documents, the largest first, each with an index of its own
+    and under a lock of its own; a dataset that another run holds is left out. The list of datasets is a
+    table of settings."""
+    done = {}
+    for row in datasets_with_unprocessed(docs, datasets).collect():
+        folder = f"{data_dir.rstrip('/')}/{row['dataset_id']}"
+        lock = RunLock(spark, folder)
+        if not lock.acquire():
+            continue
+        try:
+            done[row["name"]] = DedupePipeline(spark, open_source(row["dataset_id"]), folder, config).run()
+        finally:
+            lock.release()
+    return done
+
+
 def stats_frame(spark: SparkSession, stats: DedupeStats) -> DataFrame:
     return spark.createDataFrame([tuple(asdict(stats).values())], ", ".join(f"{k} long" for k in asdict(stats)))

@@ -129,6 +129,24 @@ def lsh_candidates(spark, sf_dir):
     return lsh.candidate_pairs(materialize(_signed(spark, sf_dir), "signed"))
 
 
+@query
+def incremental_candidates(spark, sf_dir):
+    return lsh.candidate_pairs(materialize(_signed(spark, sf_dir), "signed"), _new(spark, sf_dir))
+
+
+@query
+def exact_ngram_jaccard(spark, sf_dir):
+    """Exact similarity of all stored matches over their distinct 3-grams."""
+    grams = F.array_distinct(text.char_ngrams(text.normalize_content(F.coalesce("content", F.lit("")))))
+    docs = _docs(spark, sf_dir).select("id", grams.alias("g"))
+    rows = _edges(spark, sf_dir).where("child_id <> parent_id").select("child_id", "parent_id")
+    rows = rows.join(docs.select(F.col("id").alias("child_id"), F.col("g").alias("a")), "child_id")
+    rows = rows.join(docs.select(F.col("id").alias("parent_id"), F.col("g").alias("b")), "parent_id")
+    rows = rows.select("child_id", "parent_id", F.size("a").alias("m"), F.size("b").alias("n"), F.size(F.array_intersect("a", "b")).alias("k"))
+    union = F.col("m") + F.col("n") - F.col("k")
+    return rows.select("child_id", "parent_id", F.when(union > 0, F.col("k") / union).otherwise(F.lit(0.0)).alias("jaccard"))
+
+
 # --- filters -------------------------------------------------------------------------------------
 
 

@@ -106,6 +106,16 @@ def datasets_with_unprocessed(docs: DataFrame, datasets: DataFrame) -> DataFrame
     ).orderBy(F.col("unprocessed").desc(), "dataset_id")
 
 
+def dataset_id_of(datasets: DataFrame, name: str) -> str | None:
+    row = datasets.where(F.col("name") == name).select("id").first()
+    return row["id"] if row else None
+
+
+def dataset_name_of(datasets: DataFrame, dataset_id: str) -> str | None:
+    row = datasets.where(F.col("id") == dataset_id).select("name").first()
+    return row["name"] if row else None
+
+
 def upsert_documents(old: DataFrame, new: DataFrame) -> DataFrame:
     """New rows replace those of their ids and are unprocessed again."""
     fresh = new.dropDuplicates(["id"]).withColumn("is_parent", F.lit(None).cast("boolean"))

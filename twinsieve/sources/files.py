@@ -66,6 +66,10 @@ class FileSource(DocumentSource):
         plain_path = F.regexp_replace("path", r"^file:/+", "/")
         return files.select(path_id(plain_path).alias("id"), plain_path.alias("path"), "length", "content")
 
+    def path_of(self, ids: DataFrame) -> DataFrame:
+        """``id, path`` of the given ids."""
+        return self.paths().select("id", "path").join(ids.select("id").distinct(), "id", "left_semi")
+
     def documents(self) -> DataFrame:
         text = lossy_text(F.col("content"))
         return self.paths().select(

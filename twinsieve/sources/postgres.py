@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
 from urllib.parse import urlsplit
 
@@ -30,6 +31,13 @@ class PostgresConfig:
             validate_table_name(table),
         )
 
+    @classmethod
+    def from_env(cls, table: str = "documents") -> "PostgresConfig":
+        """The URL in ``DATABASE_URL``."""
+        if "DATABASE_URL" not in os.environ:
+            raise ValueError("DATABASE_URL is not set")
+        return cls.from_url(os.environ["DATABASE_URL"], table)
+
     @property
     def jdbc_url(self) -> str:
         host = f"[{self.host}]" if ":" in self.host else self.host

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from twinsieve.operators.resolve import ASSIGNMENT
 from twinsieve.operators.sync import check_single_parent, mark_states, upsert_dupes
@@ -45,39 +46,68 @@ class VersionedTable:
 
 
 class TableSource(DocumentSource):
-    """A read-write source over two versioned tables."""
+    """A read-write source that keeps contents and states apart.
+
+    Contents are written once, a directory for each part that was added, and never rewritten; the
+    states (``id, is_parent, part``) are a narrow table of their own, so marking or deleting documents
+    moves no text. A document counts with the part that its state names.
+    """
 
     name = "table"
     supports_write = True
     tracks_state = True
 
     def __init__(self, spark: SparkSession, folder: str, where: str | None = None, dataset_id: str | None = None):
-        self.spark, self.where, self.dataset_id = spark, where, dataset_id
-        self.docs = VersionedTable(spark, f"{folder}/documents")
-        self.matches = VersionedTable(spark, f"{folder}/dupes")
+        self.spark, self.folder, self.where, self.dataset_id = spark, folder.rstrip("/"), where, dataset_id
+        self.states = VersionedTable(spark, f"{self.folder}/states")
+        self.matches = VersionedTable(spark, f"{self.folder}/dupes")
 
     @classmethod
     def create(cls, spark: SparkSession, folder: str, docs: DataFrame, dupes: DataFrame | None = None, **scope) -> "TableSource":
         source = cls(spark, folder, **scope)
-        source.docs.replace(docs)
+        source.add(docs, "first", keep_state=True)
         source.matches.replace(dupes.select(*ASSIGNMENT) if dupes is not None else spark.createDataFrame([], DUPES))
         return source
 
+    @staticmethod
+    def part_name(part: str) -> str:
+        return f"p-{part}"  # never read back as a number
+
+    def add(self, docs: DataFrame, part: str, keep_state: bool = False) -> None:
+        """Add documents, or replace those of the same ids; they are unprocessed unless ``keep_state``."""
+        part = self.part_name(part)
+        path = f"{self.folder}/contents/part={part}"
+        docs.drop("is_parent", "part").dropDuplicates(["id"]).write.mode("overwrite").parquet(path)
+        ids = self.spark.read.parquet(path).select("id")
+        if keep_state:
+            ids = ids.join(docs.select("id", "is_parent").dropDuplicates(["id"]), "id")
+        else:
+            ids = ids.withColumn("is_parent", F.lit(None).cast("boolean"))
+        new, old = ids.withColumn("part", F.lit(part)), self.states.read()
+        if old is not None:
+            new = old.join(new.select("id"), "id", "left_anti").unionByName(new)
+        self.states.replace(new)
+
     def documents(self) -> DataFrame:
-        return scoped(self.docs.read(), self.where, self.dataset_id)
+        contents = self.spark.read.parquet(f"{self.folder}/contents")
+        return scoped(contents.join(self.states.read(), ["id", "part"]).drop("part"), self.where, self.dataset_id)
 
     def dupes(self) -> DataFrame:
-        return self.matches.read()
+        found = self.matches.read()
+        return found if found is not None else self.spark.createDataFrame([], DUPES)
 
     def write_dupes(self, assignments: DataFrame, promoted: DataFrame | None = None) -> None:
         check_single_parent(assignments)
         self.matches.replace(upsert_dupes(self.dupes(), assignments, promoted))
 
     def mark(self, parents: DataFrame, children: DataFrame) -> None:
-        self.docs.replace(mark_states(self.docs.read(), parents, children).drop("changed"))
+        self.states.replace(mark_states(self.states.read(), parents, children).drop("changed"))
+
+    def existing_parents(self, ids: DataFrame) -> DataFrame:
+        return self.states.read().where("is_parent").select("id").join(ids.select("id").distinct(), "id", "left_semi")
 
     def delete(self, ids: DataFrame) -> None:
-        self.docs.replace(self.docs.read().join(ids.select("id").distinct(), "id", "left_anti"))
+        self.states.replace(self.states.read().join(ids.select("id").distinct(), "id", "left_anti"))
 
 
 class FrameSource(DocumentSource):

@@ -13,7 +13,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from twinsieve.config import DedupeConfig
 from twinsieve.plans.pipeline import DedupePipeline
-from twinsieve.sources.base import upsert_documents
 from twinsieve.sources.table import TableSource
 
 
@@ -25,15 +24,17 @@ class StreamingDedupe:
         self.source = TableSource(spark, f"{self.folder}/tables")
 
     def batch(self, docs: DataFrame, number: int) -> None:
-        known = self.source.docs.read()
-        fresh = docs.select("id", "content", "content_len", "filename").withColumn("is_parent", F.lit(None).cast("boolean"))
+        name = f"batch-{number:09d}"
+        docs = docs.select("id", "content", "content_len", "filename")
+        known = self.source.states.read()
         if known is None:
-            TableSource.create(self.spark, f"{self.folder}/tables", fresh.dropDuplicates(["id"]))
+            blank = docs.withColumn("is_parent", F.lit(None).cast("boolean"))
+            TableSource.create(self.spark, f"{self.folder}/tables", blank)
         else:
-            # a document that came before keeps its state; one that is new is added
-            added = fresh.dropDuplicates(["id"]).join(known.select("id"), "id", "left_anti")
-            self.source.docs.replace(upsert_documents(known, added))
-        DedupePipeline(self.spark, self.source, f"{self.folder}/state", self.config).run(f"batch-{number:09d}")
+            # a document that came before keeps its state; this batch's own rows may come again
+            before = known.where(F.col("part") != TableSource.part_name(name)).select("id")
+            self.source.add(docs.join(before, "id", "left_anti"), name)
+        DedupePipeline(self.spark, self.source, f"{self.folder}/state", self.config).run(name)
 
     def start(self, stream: DataFrame, interval: str | None = None) -> StreamingQuery:
         """Run until everything there now was taken, or every ``interval``."""
