@@ -1,17 +1,18 @@
 """New batches against all accepted records, by content-defined chunking.
 
-A rolling hash over the last three characters of the plain text sets a boundary about every 16
+A rolling hash over the last three characters of the plain text sets a boundary about every 8
 characters, so an insertion only changes the chunks around it. A chunk is one 64-bit number: 51 bits
 of its hash and, in the low 13, its length in bytes. :class:`ChunkIndex` keeps two tables under a
-folder, one directory for each accepted batch: ``chunks`` (chunk, no, grams) and ``records`` (no, key,
+folder, one directory for each accepted batch: ``chunks`` (chunk, no, grams, size) and ``records`` (no, key,
 plain). A record is its batch's ordinal and its number ``no`` there. Appending a batch writes only that batch;
 appending it again replaces it under the same ordinal.
 
-A new record probes with its rarest chunks until those left over hold less than ``UNSEEN`` of its
-bytes, and shared bytes are summed for each accepted record met. A pair whose chunks cover ``COVERAGE``
-of the new record's bytes must share at least the difference of both in the probed chunks, so
-nothing that reaches the coverage is lost, while chunks that most records hold (page chrome) are
-not joined. Pairs whose numbers of distinct 3-character sequences already exclude the wanted
+Chunks of both sides are ranked alike, rarest first, by their number in history. A record takes part with its
+rarest chunks until those left over hold less than ``UNSEEN`` of its bytes, and shared bytes are summed for
+each pair of a new and an accepted record. The common chunks that one of both leaves out come last in the
+ranking and hold less than ``UNSEEN`` of the larger one's bytes; so a pair whose chunks cover ``COVERAGE`` of them still
+shares the difference, and nothing that reaches the coverage is lost, while chunks that most records
+hold (page chrome) are not joined. Pairs whose numbers of distinct 3-character sequences already exclude the wanted
 similarity are dropped in the join. What is left is compared exactly.
 """
 
@@ -29,8 +30,8 @@ from twinsieve.functions.grams import gram_set
 from twinsieve.llm.grams import SIMILAR, comparable, similarities
 from twinsieve.runtime import filesystem, materialize, new_path
 
-AVERAGE, WINDOW, LONGEST = 16, 3, 1024
-COVERAGE, UNSEEN = 0.10, 0.05
+AVERAGE, WINDOW, LONGEST = 8, 3, 1024
+COVERAGE, UNSEEN = 0.18, 0.12
 LENGTH_BITS = 13  # 1024 characters have at most 4096 bytes
 
 _WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -105,6 +106,15 @@ def cut_records(texts: DataFrame) -> DataFrame:
     return materialize(cut.where("total > 0").withColumn("no", F.monotonically_increasing_id()), "cut")
 
 
+def rarest(rows: DataFrame, *record: str) -> DataFrame:
+    """Rows of the rarest chunks of each record, with ``bytes``: those after which chunks of at least
+    ``UNSEEN`` of its ``size`` are left, itself included. ``df`` ranks the chunks alike for all records."""
+    rows = rows.withColumn("bytes", F.col("chunk").bitwiseAND((1 << LENGTH_BITS) - 1).cast("int"))
+    commonest = Window.partitionBy(*record).orderBy(F.col("df").desc(), F.col("chunk").desc())
+    left = F.sum("bytes").over(commonest.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("left", left).where(F.col("left") >= UNSEEN * F.col("size"))
+
+
 class ChunkIndex:
     """The persistent chunk-to-record table of everything accepted so far."""
 
@@ -135,9 +145,9 @@ class ChunkIndex:
         path = f"{self.folder}/{same[0] if same else f'{last + 1:09d}~{batch}'}"
         fs, at = filesystem(self.spark, path)
         fs.delete(at, True)
-        cut = cut_records(texts)
+        cut = cut_records(texts).withColumnRenamed("total", "size")
         write = lambda df, name: df.write.option("compression", "zstd").parquet(f"{path}/{name}")
-        write(cut.select(F.explode("chunks").alias("chunk"), "no", "grams"), "chunks")
+        write(cut.select(F.explode("chunks").alias("chunk"), "no", "grams", "size"), "chunks")
         write(cut.select("no", "key", "plain"), "records")
 
     def probe(self, texts: DataFrame, similarity: float = SIMILAR) -> DataFrame:
@@ -148,29 +158,26 @@ class ChunkIndex:
                 F.col("key").alias("key_a"), F.col("key").alias("key_b"), F.lit(0.0).alias("similarity")
             )
         new = cut_records(texts)
-        mine = new.select("no", F.explode("chunks").alias("chunk"), "total", "grams")
+        mine = new.select("no", F.explode("chunks").alias("chunk"), F.col("total").alias("size"), "grams")
         # one scan of history's chunks, cut to those of the new batch; a small batch is broadcast at run time
         known = known.join(mine.select("chunk").distinct(), "chunk", "left_semi")
-        known = materialize(known.select("chunk", "batch", "no", "grams"), "met")
+        known = materialize(known.select("chunk", "batch", "no", "grams", "size"), "met")
         spread = known.groupBy("chunk").agg(F.count("*").alias("df"))
-        mine = mine.join(spread, "chunk", "left").withColumn(
-            "bytes", F.col("chunk").bitwiseAND((1 << LENGTH_BITS) - 1).cast("int")
+        probes = rarest(mine.join(spread, "chunk"), "no").select(
+            "chunk", F.col("no").alias("a"), F.col("bytes"), F.col("size").alias("total"), F.col("grams").alias("g")
         )
-        rarest = Window.partitionBy("no").orderBy(F.coalesce("df", F.lit(0)), "chunk")
-        before = F.coalesce(F.sum("bytes").over(rarest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        probes = (
-            mine.withColumn("before", before)
-            .where((F.col("total") - F.col("before") >= F.col("total") * UNSEEN) & F.col("df").isNotNull())
-            .select("chunk", F.col("no").alias("a"), "bytes", "total", F.col("grams").alias("g"))
+        met = rarest(known.join(spread, "chunk"), "batch", "no").select(
+            "chunk", "batch", F.col("no").alias("b"), F.col("grams").alias("h"), "size"
         )
-        met = known.select("chunk", "batch", F.col("no").alias("b"), F.col("grams").alias("h"))
         possible = (F.col("g") >= similarity * F.col("h")) & (F.col("h") >= similarity * F.col("g"))
         shared = (
             probes.join(met, "chunk")
             .where(possible)
+            # one number a row: the chunk's share of the larger record
+            .select("a", "batch", "b", (F.col("bytes") / F.greatest("total", "size")).alias("share"))
             .groupBy("a", "batch", "b")
-            .agg(F.sum("bytes").alias("shared"), F.first("total").alias("total"))
-            .where(F.col("shared") >= F.col("total") * (COVERAGE - UNSEEN))
+            .agg(F.sum("share").alias("share"))
+            .where(F.col("share") >= COVERAGE - UNSEEN - 1e-9)
             .select("a", "batch", "b")
         )
         both = shared.join(kept.select("batch", F.col("no").alias("b"), F.col("key").alias("key_b"), F.col("plain").alias("pb")), ["batch", "b"])
