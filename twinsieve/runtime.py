@@ -8,8 +8,10 @@ executor was lost, which a block kept on one executor's disk would not survive.
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +59,7 @@ class Written:
 
 def write_out(df: DataFrame, tag: str) -> Written:
     spark = df.sparkSession
+    ship(spark)
     path = new_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)  # read soon and few times: size counts
     _written[path] = spark
@@ -79,7 +82,28 @@ def _clean() -> None:
 atexit.register(_clean)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to the executors once per application; their workers import it by name."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="twinsieve-"), "twinsieve.zip")
+    with zipfile.ZipFile(target, "w") as archive:
+        for folder, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    archive.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(target)  # served by the driver, so it need not be on a shared folder
+    _shipped.add(context.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -88,6 +112,7 @@ def spread(df: DataFrame) -> DataFrame:
 
     A scan of many files already has enough partitions; then no exchange is added.
     """
+    ship(df.sparkSession)  # what is spread goes to Python workers
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
