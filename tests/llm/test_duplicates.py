@@ -96,6 +96,29 @@ def test_accepted_duplicates(spark):
     assert len(got) == len(set(got)) and set(got) == want and want
 
 
+def test_accepted_duplicates_of_shuffled_clauses(spark):
+    """Short clauses that change places leave the similarity above 0.8 and hardly a chunk whole."""
+    rng = random.Random(11)
+    data = []
+    for n in range(100):
+        clauses = ["".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(9)) for _ in range(20)]
+        data.append((f"o{n:02}", " ".join(clauses), True))
+        rng.shuffle(clauses)
+        data.append((f"n{n:02}", " ".join(clauses), None))
+    want = {(a, b) for a, b, p, q in brute_pairs(data) if {p, q} == {None, True}}
+    got = rows(chunks.accepted_duplicates(corpus(spark, data)))
+    assert len(want) == 100 and len(got) == len(set(got)) and set(got) == want
+
+
+def test_parities_bound_the_difference():
+    rng = random.Random(6)
+    for edits in (0, 3, 30, 130):
+        text = prose(rng)
+        a, b = gram_set(text), gram_set(edited(rng, text, edits))
+        x, y = (chunks.parity_words(g).view(np.uint64) for g in (a, b))
+        assert sum(bin(int(i) ^ int(j)).count("1") for i, j in zip(x, y)) <= len(np.setxor1d(a, b))
+
+
 def test_empty_tables(spark):
     none = corpus(spark, [])
     for f in (neardup.near_duplicate_pairs, neardup.near_duplicate_groups, chunks.accepted_duplicates, formatting.formatting_copies, formatting.formatting_counts):

@@ -2,9 +2,9 @@
 
 A rolling hash over the last three characters of the plain text sets a boundary about every 8
 characters, so an insertion only changes the chunks around it. A chunk is one 64-bit number: 51 bits
-of its hash and, in the low 13, its length in bytes. :class:`ChunkIndex` keeps two tables under a
-folder, one directory for each accepted batch: ``chunks`` (chunk, no, grams, size) and ``records`` (no, key,
-plain). A record is its batch's ordinal and its number ``no`` there. Appending a batch writes only that batch;
+of its hash and, in the low 13, its length in bytes. :class:`ChunkIndex` keeps three tables under a
+folder, one directory for each accepted batch: ``chunks`` (chunk, no, grams, size), ``parities`` (no, grams, w0..w15)
+and ``records`` (no, key, plain). A record is its batch's ordinal and its number ``no`` there. Appending a batch writes only that batch;
 appending it again replaces it under the same ordinal.
 
 Chunks of both sides are ranked alike, rarest first, by their number in history. A record takes part with its
@@ -13,17 +13,25 @@ each pair of a new and an accepted record. The common chunks that one of both le
 ranking and hold less than ``UNSEEN`` of the larger one's bytes; so a pair whose chunks cover ``COVERAGE`` of them still
 shares the difference, and nothing that reaches the coverage is lost, while chunks that most records
 hold (page chrome) are not joined. Pairs whose numbers of distinct 3-character sequences already exclude the wanted
-similarity are dropped in the join. What is left is compared exactly.
+similarity are dropped in the join.
+
+Coverage does not follow from similarity: where short clauses change places, few chunks stay whole. So pairs also come
+by a bound that the similarity implies. Each of a record's distinct 3-character sequences turns over one of ``BITS``
+bits; bits that differ between two records cannot be more than the sequences that only one of them has, and at
+similarity s those are at most (1 - s) / (1 + s) of both numbers together. Every pair of fitting size is held
+against this bound, so no pair is lost, whatever its coverage; the work grows with the product of both sides.
+What either way leaves is compared exactly.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinsieve.functions.grams import gram_set
@@ -33,6 +41,8 @@ from twinsieve.runtime import filesystem, materialize, new_path
 AVERAGE, WINDOW, LONGEST = 8, 3, 1024
 COVERAGE, UNSEEN = 0.18, 0.12
 LENGTH_BITS = 13  # 1024 characters have at most 4096 bytes
+BITS, SHARDS = 1024, 8
+PARITY = [f"w{i}" for i in range(BITS // 64)]
 
 _WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 _BASE = 0xD6E8FEB86659FD93
@@ -81,6 +91,12 @@ def chunk_numbers(text: str) -> np.ndarray:
     return np.unique(((digest & ~low) | (size[ends] - size[starts]).astype(np.uint64)).view(np.int64))
 
 
+def parity_words(grams: np.ndarray) -> np.ndarray:
+    """``BITS`` bits, each turned over once by every sequence that falls on it."""
+    turned = np.bincount((_mix(grams) % np.uint64(BITS)).astype(np.int64), minlength=BITS)
+    return np.packbits((turned & 1).astype(np.uint8)).view(np.int64)
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("plain").to_pylist()
@@ -88,21 +104,25 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offsets = np.append(0, np.cumsum([len(x) for x in chunks])).astype(np.int32)
         flat = np.concatenate(chunks) if chunks else np.empty(0, np.int64)
         totals = [int((x & ((1 << LENGTH_BITS) - 1)).sum()) for x in chunks]
+        grams = [gram_set(t) for t in texts]
+        words = np.array([parity_words(g) for g in grams], np.int64).reshape(len(texts), len(PARITY))
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("key"),
                 batch.column("plain"),
                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
                 pa.array(totals, pa.int32()),
-                pa.array([len(gram_set(t)) for t in texts], pa.int32()),
+                pa.array([len(g) for g in grams], pa.int32()),
+                *(pa.array(words[:, i]) for i in range(len(PARITY))),
             ],
-            names=["key", "plain", "chunks", "total", "grams"],
+            names=["key", "plain", "chunks", "total", "grams", *PARITY],
         )
 
 
 def cut_records(texts: DataFrame) -> DataFrame:
-    """``no, key, plain, chunks, total, grams`` of distinct texts (``key, plain``), written."""
-    cut = texts.mapInArrow(_cut, "key binary, plain string, chunks array<bigint>, total int, grams int")
+    """``no, key, plain, chunks, total, grams, w0..w15`` of distinct texts (``key, plain``), written."""
+    schema = "key binary, plain string, chunks array<bigint>, total int, grams int, " + ", ".join(f"{w} bigint" for w in PARITY)
+    cut = texts.mapInArrow(_cut, schema)
     return materialize(cut.where("total > 0").withColumn("no", F.monotonically_increasing_id()), "cut")
 
 
@@ -123,7 +143,7 @@ class ChunkIndex:
 
     def batches(self) -> list[str]:
         """Directories ``ordinal~name`` of whole batches."""
-        # a batch counts once its second table was written whole
+        # a batch counts once its last table was written whole
         return [n for n in self._started() if fs_exists(self.spark, f"{self.folder}/{n}/records/_SUCCESS")]
 
     def _started(self) -> list[str]:
@@ -148,6 +168,7 @@ class ChunkIndex:
         cut = cut_records(texts).withColumnRenamed("total", "size")
         write = lambda df, name: df.write.option("compression", "zstd").parquet(f"{path}/{name}")
         write(cut.select(F.explode("chunks").alias("chunk"), "no", "grams", "size"), "chunks")
+        write(cut.select("no", "grams", *PARITY), "parities")
         write(cut.select("no", "key", "plain"), "records")
 
     def probe(self, texts: DataFrame, similarity: float = SIMILAR) -> DataFrame:
@@ -180,10 +201,36 @@ class ChunkIndex:
             .where(F.col("share") >= COVERAGE - UNSEEN - 1e-9)
             .select("a", "batch", "b")
         )
-        both = shared.join(kept.select("batch", F.col("no").alias("b"), F.col("key").alias("key_b"), F.col("plain").alias("pb")), ["batch", "b"])
+        candidates = shared.union(self._within_bound(new, similarity)).distinct()
+        both = candidates.join(kept.select("batch", F.col("no").alias("b"), F.col("key").alias("key_b"), F.col("plain").alias("pb")), ["batch", "b"])
         both = both.join(new.select(F.col("no").alias("a"), F.col("key").alias("key_a"), F.col("plain").alias("pa")), "a")
         return compare(both.where("key_a <> key_b"), similarity)
 
+    def _within_bound(self, new: DataFrame, similarity: float) -> DataFrame:
+        """``a, batch, b`` of all pairs whose parities and numbers of sequences allow the similarity.
+
+        Numbers of sequences fall into classes so wide that those of a pair are at most two classes apart.
+        """
+        wide = -math.log(min(similarity, 0.99)) / 1.999  # a little wider than half the largest distance
+        sizes = F.floor(F.log(F.col("grams").cast("double")) / F.lit(wide)).cast("int")
+        mine = new.select(
+            F.col("no").alias("a"), F.col("grams").alias("g"), *(F.col(w).alias(f"a_{w}") for w in PARITY),
+            F.pmod(F.xxhash64("no"), F.lit(SHARDS)).cast("int").alias("shard"),
+            F.explode(F.sequence(sizes - 2, sizes + 2)).alias("sizes"),
+        )
+        theirs = self._read("parities").select(
+            "batch", F.col("no").alias("b"), F.col("grams").alias("h"), *(F.col(w).alias(f"b_{w}") for w in PARITY),
+            sizes.alias("sizes"), F.explode(F.array(*(F.lit(k) for k in range(SHARDS)))).alias("shard"),
+        )
+        # the tables are small and the work is not: a fixed number of partitions, which are not merged at run time
+        parts = 4 * self.spark.sparkContext.defaultParallelism
+        pairs = mine.repartition(parts, "sizes", "shard").join(theirs.repartition(parts, "sizes", "shard"), ["sizes", "shard"])
+        most = (F.col("g") + F.col("h")) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6
+        differing = [F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in PARITY]
+        fits = (F.col("g") >= similarity * F.col("h") - 1e-6) & (F.col("h") >= similarity * F.col("g") - 1e-6)
+        half = len(PARITY) // 2  # decides most pairs
+        return pairs.where(fits & (reduce(Column.__add__, differing[:half]) <= most) & (reduce(Column.__add__, differing) <= most)).select("a", "batch", "b")
+
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
