@@ -77,6 +77,23 @@ def test_incremental_bridge(spark):
     assert {r[0]: r[1] for r in replayed.collect()} == {"a2": "a1", "b1": "a1", "b2": "a1", "c": "a1"}
 
 
+@pytest.mark.parametrize("copies", [4, 6])
+def test_copies_of_a_later_batch_find_history(spark, copies):
+    """A near-duplicate in history is linked whether the copies are few or make a pathological cluster."""
+    rng, words = random.Random(4), A.split()
+    for k in rng.sample(range(len(words)), 7):
+        words[k] = words[k][::-1] + "x"
+    near = " ".join(words)
+    a, b = (r["sig"] for r in sign(docs_frame(spark, [("a", A), ("b", near)])).orderBy("id").collect())
+    assert 0 < sum(a[k : k + 8] == b[k : k + 8] for k in range(0, 128, 8)) < 14
+    folder, config = new_path(spark, "pipe"), DedupeConfig(pathological_min_bucket=5)
+    source = TableSource.create(spark, f"{folder}/t", docs_frame(spark, [("h", near)]))
+    DedupePipeline(spark, source, f"{folder}/s", config).run("r1")
+    source.add(docs_frame(spark, [(f"c{i}", A) for i in range(copies)]), "second")
+    DedupePipeline(spark, source, f"{folder}/s", config).run("r2")
+    assert {r[0]: r[1] for r in source.dupes().collect()} == {f"c{i}": "h" for i in range(copies)}
+
+
 def test_run_again_after_a_crash(spark, monkeypatch):
     folder = new_path(spark, "pipe")
     source = TableSource.create(spark, f"{folder}/t", docs_frame(spark, [("1", A), ("2", A), ("3", B)]))

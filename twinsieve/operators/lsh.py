@@ -55,20 +55,30 @@ def large_buckets(signed: DataFrame, min_size: int, limit: int = 10_000, batch:
 
 
 def _keys(signed: DataFrame) -> DataFrame:
-    return signed.select("id", "content_len", F.explode(band_hashes(F.col("sig"))).alias("bucket"))
+    kept = [c for c in ("content_len", "cluster") if c in signed.columns]
+    return signed.select("id", *kept, F.explode(band_hashes(F.col("sig"))).alias("bucket"))
 
 
-def candidate_pairs(signed: DataFrame, batch: DataFrame | None = None, size_diff: float | None = None) -> DataFrame:
+def candidate_pairs(
+    signed: DataFrame, batch: DataFrame | None = None, size_diff: float | None = None, linked: DataFrame | None = None
+) -> DataFrame:
     """``p, c``: pairs that share a band, each once. Without ``batch``, ``p`` is the smaller id of every
     pair; with it, ``p`` runs over the batch's ids and ``c`` over everything, and a pair inside the
-    batch belongs to its smaller id. Sizes are compared in the join where ``size_diff`` is given."""
+    batch belongs to its smaller id. Sizes are compared in the join where ``size_diff`` is given.
+    Members of one cluster of ``linked`` (``cluster, id``), which are linked already, make no pair."""
+    if linked is None:
+        signed = signed.withColumn("cluster", F.lit(None).cast("string"))
+    else:
+        signed = signed.join(linked.groupBy("id").agg(F.min("cluster").alias("cluster")), "id", "left")
     keys = _keys(signed)
-    right = keys.select(F.col("id").alias("c"), F.col("content_len").alias("len_c"), "bucket")
+    right = keys.select(F.col("id").alias("c"), F.col("content_len").alias("len_c"), F.col("cluster").alias("cluster_c"), "bucket")
     ids = None if batch is None else batch.select("id").distinct()
     left = keys if ids is None else _keys(signed.join(ids, "id", "left_semi"))
-    left = left.select(F.col("id").alias("p"), F.col("content_len").alias("len_p"), "bucket")
+    left = left.select(F.col("id").alias("p"), F.col("content_len").alias("len_p"), F.col("cluster").alias("cluster_p"), "bucket")
     # a small batch is broadcast at run time, and history is only scanned
     pairs = left.join(right, "bucket").where("p < c" if ids is None else "p <> c")
+    if linked is not None:
+        pairs = pairs.where("cluster_p is null or cluster_c is null or cluster_p <> cluster_c")
     if size_diff is not None:
         pairs = pairs.where(size_within(F.col("len_p"), F.col("len_c"), size_diff))
     pairs = pairs.select("p", "c").distinct()

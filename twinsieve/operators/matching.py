@@ -40,9 +40,11 @@ def top_matches(edges: DataFrame, most: int, owner: str = "p") -> DataFrame:
     return edges.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most).drop("_rank")
 
 
-def raw_edges(signed: DataFrame, config: DedupeConfig = DedupeConfig(), batch: DataFrame | None = None) -> DataFrame:
-    """Edges above the threshold with sizes close enough, and their owner ``p``."""
-    pairs = candidate_pairs(signed, batch, config.size_diff)
+def raw_edges(
+    signed: DataFrame, config: DedupeConfig = DedupeConfig(), batch: DataFrame | None = None, linked: DataFrame | None = None
+) -> DataFrame:
+    """Edges above the threshold with sizes close enough, and their owner ``p``; none inside a cluster of ``linked``."""
+    pairs = candidate_pairs(signed, batch, config.size_diff, linked)
     edges = orient(score(pairs, signed).where(F.col("jaccard_similarity") >= config.threshold))
     return top_matches(edges, config.max_matches_per_doc) if config.max_matches_per_doc else edges
 

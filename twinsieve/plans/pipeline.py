@@ -23,6 +23,14 @@ from twinsieve.runtime import filesystem, materialize
 from twinsieve.sources.base import DocumentSource, datasets_with_unprocessed
 
 
+def to_match(ids: DataFrame, clusters: DataFrame, signed: DataFrame) -> DataFrame:
+    """``id``: the ids outside clusters, and of those inside one for each signature and size. All with the same
+    have the same matches, and the cluster's star edges link them; so what lies outside the cluster is still found."""
+    inside = ids.join(clusters.select("id").distinct(), "id", "left_semi")
+    one = signed.join(inside, "id", "left_semi").groupBy("sig", "content_len").agg(F.min("id").alias("id"))
+    return ids.join(inside, "id", "left_anti").union(one.select("id"))
+
+
 def dedupe_frame(docs: DataFrame, config: DedupeConfig = DedupeConfig(), patterns: tuple[str, ...] = ()) -> DataFrame:
     """One-shot: assignments of all duplicates in a table of documents; roots are the smallest ids."""
     kept = classify(docs, config, patterns).where("verdict = 'index'")
@@ -45,8 +53,8 @@ class DedupeStats:
 class DedupePipeline:
     """Incremental runs with an index and an edge table under ``data_dir``.
 
-    A run takes the unprocessed documents, filters them, signs what the index lacks, replaces pathological
-    clusters by star edges, matches the rest against everything indexed, resolves only the components
+    A run takes the unprocessed documents, filters them, signs what the index lacks, replaces the pairs
+    inside pathological clusters by star edges, matches the rest against everything indexed, resolves only the components
     that the batch touches, and writes what changed. Every table of a run is written under the run's name
     before the next step reads it, and documents are marked last, so a run that died is simply run
     again: its documents are still unprocessed and its tables are replaced.
@@ -82,8 +90,8 @@ class DedupePipeline:
         clusters = pathological_clusters(signed, config.pathological_min_bucket, config.pathological_min_bands, new)
         clusters = materialize(clusters, "clusters")
         stars = star_edges(clusters)
-        todo = new.join(clusters.select("id").distinct(), "id", "left_anti")
-        found = raw_edges(signed, config, todo).select(*EDGE).unionByName(stars)
+        todo = materialize(to_match(new, clusters, signed), "todo")
+        found = raw_edges(signed, config, todo, clusters).select(*EDGE).unionByName(stars)
         self.store.insert(found, run_id)
         self.store.build_adjacency()
         stats.edges_found, assignments = self.sync(new, filtered)
@@ -146,8 +154,8 @@ class DedupePipeline:
         clusters = materialize(
             pathological_clusters(signed, self.config.pathological_min_bucket, self.config.pathological_min_bands), "clusters"
         )
-        rest = signed.select("id").join(clusters.select("id").distinct(), "id", "left_anti")
-        found = raw_edges(signed, self.config, rest).select(*EDGE).unionByName(star_edges(clusters))
+        todo = materialize(to_match(signed.select("id"), clusters, signed), "todo")
+        found = raw_edges(signed, self.config, todo, clusters).select(*EDGE).unionByName(star_edges(clusters))
         self.store.insert(found, run_id)
         return resolve(self.store.edges())
 
