@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import rows, union_find
 from twinsieve.operators import changes, edges, graph, matching, resolve, skew, sync
-from twinsieve.operators.cleanup import CleanupAction, clean, cluster_report, pathological_clusters, star_edges
+from twinsieve.operators.cleanup import CleanupAction, clean, cluster_report, first_apart, pathological_clusters, star_edges
 from twinsieve.runtime import new_path
 
 EDGE = "child_id string, parent_id string, jaccard_similarity double, size_difference int, size_difference_pct double"
@@ -150,6 +150,29 @@ def test_pathological_clusters(spark):
         CleanupAction.parse("no")
 
 
+def test_clusters_of_more_buckets_than_the_report_lists(spark):
+    """800 pairs of copies make 12,800 buckets."""
+    data = [(f"d{i:03}{side}", [1000 * i + k for k in range(128)], 600) for i in range(800) for side in "ab"]
+    signed = spark.createDataFrame(data, "id string, sig array<bigint>, content_len bigint")
+    found = pathological_clusters(signed, 2, 14)
+    assert rows(found.select("id").distinct()) == [(r[0],) for r in data]
+    assert cluster_report(found).first()["clusters"] == 800
+
+
+def test_first_apart(spark):
+    rng = random.Random(3)
+    size = {f"s{i:02}": rng.randrange(3) for i in range(40)}
+    near = {tuple(rng.sample(sorted(size), 2)) for _ in range(45)}
+    near |= {(b, a) for a, b in near}
+    kept = []
+    for name in sorted(size, key=lambda s: (-size[s], s)):
+        if not any((name, k) in near for k in kept):
+            kept.append(name)
+    links = spark.createDataFrame([(a, size[a], b, size[b]) for a, b in near], "x string, nx long, y string, ny long")
+    got = rows(first_apart(spark.createDataFrame(list(size.items()), "start string, n long"), links))
+    assert got == [(k,) for k in sorted(kept)]
+
+
 def test_members_must_be_in_all_bands(spark):
     """Every band leaves out other members: no set of 18 remains in all 16 bands."""
     data = []

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from enum import Enum
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinsieve.operators.lsh import bands, large_buckets
@@ -30,6 +30,31 @@ class CleanupAction(Enum):
             raise ValueError(f"unknown cleanup action {text!r}") from None
 
 
+def first_apart(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``start`` of the nodes (``start, n``) that a pass from the largest to the smallest, then by name, keeps
+    when it leaves out those linked (``x, nx, y, ny``, both ways) to one kept before.
+
+    In rounds: an open node is kept when no open node before it is linked to it, and those linked to it fall.
+    """
+    first = (F.col("nx") > F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
+    links = materialize(links.where(first).select("x", "y"), "links")  # x comes before y
+    done = nodes.select("start").join(links.select(F.col("y").alias("start")).distinct(), "start", "left_anti")
+    done = last = materialize(done, "kept")
+    while not links.isEmpty():
+        fallen = links.join(last.select(F.col("start").alias("x")), "x", "left_semi").select(F.col("y").alias("start")).distinct()
+        fallen = materialize(fallen, "fallen")
+        ended = materialize(last.union(fallen), "ended")
+        open_ends = links.select(F.col("y").alias("start")).distinct()
+        for end in ("x", "y"):
+            links = links.join(ended.select(F.col("start").alias(end)), end, "left_anti")
+        links = materialize(links.select("x", "y"), "links")
+        # open, not fallen, and nothing open before it any more
+        last = open_ends.join(fallen, "start", "left_anti").join(done, "start", "left_anti")
+        last = materialize(last.join(links.select(F.col("y").alias("start")).distinct(), "start", "left_anti"), "last")
+        done = done.union(last)
+    return done
+
+
 def pathological_clusters(
     signed: DataFrame, min_bucket: int = 1000, min_bands: int = 14, batch: DataFrame | None = None
 ) -> DataFrame:
@@ -39,10 +64,9 @@ def pathological_clusters(
     with the start holds at least nine tenths of it; a member must be in all of them. A cluster needs ``min_bands`` bands
     and still ``min_bucket`` members; one more than nine tenths similar to a larger one is that one.
     With ``batch`` only buckets that hold one of its ids are looked at: a cluster's new member lies in all
-    its bands. Members stay in tables; only sizes of bucket pairs, at most 10,000 buckets, reach the driver.
+    its bands. All large buckets take part, however many, and everything stays in tables.
     """
-    spark = signed.sparkSession
-    big = large_buckets(signed, min_bucket, batch=batch)
+    big = large_buckets(signed, min_bucket, None, batch)
     big = materialize(big.withColumn("bucket", F.concat_ws(":", "band", "key")).select("bucket", "band", "key", "size"), "big")
     members = materialize(bands(signed).join(big, ["band", "key"]).select("bucket", "band", "size", "id"), "members")
     a = members.select(F.col("bucket").alias("start"), F.col("band").alias("band_a"), F.col("size").alias("size_a"), "id")
@@ -60,21 +84,13 @@ def pathological_clusters(
     inside = counted.where(F.col("band_count") >= min_bands)
     sized = inside.groupBy("start").agg(F.count("*").alias("n"), F.min("band_count").alias("band_count")).where(F.col("n") >= min_bucket)
     inside = materialize(inside.join(sized.select("start", "n"), "start"), "inside")
-    # of similar clusters the larger, then the first by name; bucket pairs are few
+    # of similar clusters the larger, then the first by name
     pairs = inside.select(F.col("start").alias("x"), F.col("n").alias("nx"), "id").join(
         inside.select(F.col("start").alias("y"), F.col("n").alias("ny"), "id"), "id"
     )
     pairs = pairs.where("x <> y").groupBy("x", "nx", "y", "ny").agg(F.count("*").alias("both"))
-    similar = pairs.where(F.col("both") / (F.col("nx") + F.col("ny") - F.col("both")) > SIMILAR).select("x", "y").collect()
-    order = [r["start"] for r in sized.orderBy(F.col("n").desc(), "start").select("start").collect()]
-    near: dict[str, set] = {}
-    for r in similar:
-        near.setdefault(r["x"], set()).add(r["y"])
-    kept: list[str] = []
-    for name in order:
-        if not near.get(name, set()) & set(kept):
-            kept.append(name)
-    names = spark.createDataFrame([(k,) for k in kept], "start string")
+    similar = pairs.where(F.col("both") / (F.col("nx") + F.col("ny") - F.col("both")) > SIMILAR).select("x", "nx", "y", "ny")
+    names = first_apart(inside.select("start", "n").distinct(), similar)
     return inside.join(names, "start", "left_semi").select(F.col("start").alias("cluster"), "band_count", "id")
 
 

@@ -43,15 +43,15 @@ def buckets(signed: DataFrame) -> DataFrame:
     return bands(signed).groupBy("band", "key").agg(F.sort_array(F.collect_set("id")).alias("doc_ids"))
 
 
-def large_buckets(signed: DataFrame, min_size: int, limit: int = 10_000, batch: DataFrame | None = None) -> DataFrame:
-    """``band, key, size``: the ``limit`` largest buckets of at least ``min_size`` documents; with
-    ``batch`` only of those that hold one of its ids."""
+def large_buckets(signed: DataFrame, min_size: int, limit: int | None = 10_000, batch: DataFrame | None = None) -> DataFrame:
+    """``band, key, size``: the ``limit`` largest buckets of at least ``min_size`` documents, or all with
+    None; with ``batch`` only of those that hold one of its ids."""
     rows = bands(signed)
     if batch is not None:
         mine = bands(signed.join(batch.select("id").distinct(), "id", "left_semi")).select("band", "key").distinct()
         rows = rows.join(mine, ["band", "key"], "left_semi")
     sizes = rows.groupBy("band", "key").agg(F.count("*").alias("size")).where(F.col("size") >= min_size)
-    return sizes.orderBy(F.col("size").desc(), "band", "key").limit(limit)
+    return sizes if limit is None else sizes.orderBy(F.col("size").desc(), "band", "key").limit(limit)
 
 
 def _keys(signed: DataFrame) -> DataFrame:
