@@ -4,7 +4,8 @@ One Aho-Corasick pass over a text finds anchors: at-signs and their spelled-out
 numbers, street words, cues of persons, and the known names. At every anchor a small deterministic parser
 expands to both sides, validates what it reads and gives a span with its kind. Number cues that
 name something else (an order, a form, a spare part) veto. Overlaps go to the kind listed first:
-email, idno, phone, address, name. Texts without an anchor are never parsed.
+email, idno, phone, address, name. Phones, and names that are the subject before
+"of <organisation>" or before Han text, have no anchors in the automaton: regular expressions scan each whole text for them.
 """
 
 from __future__ import annotations
