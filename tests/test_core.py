@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tests.conftest import rows, union_find
 from twinsieve.operators import changes, edges, graph, matching, resolve, skew, sync
 from twinsieve.operators.cleanup import CleanupAction, clean, cluster_report, first_apart, pathological_clusters, star_edges
-from twinsieve.runtime import new_path
+from twinsieve.runtime import names_in, new_path
 
 EDGE = "child_id string, parent_id string, jaccard_similarity double, size_difference int, size_difference_pct double"
 
@@ -59,6 +59,46 @@ def test_connected_edges_all_ways(spark, seed):
         edges.connected_edges(frame, seeds, "index")
 
 
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    n = 5000
+    chain = [(f"n{k:05d}", f"n{k + 1:05d}", 0.9, 0, 0.0) for k in range(n)] + [("x1", "x2", 0.9, 0, 0.0)]
+    random.Random(1).shuffle(chain)
+    found = spark.createDataFrame(chain, EDGE).repartition(7)
+    seeds = spark.createDataFrame([("n04000",)], "id string")
+    monkeypatch.setattr(graph, "CONTRACTED", 50)  # tasks contract little, so rounds are needed
+    assert edges.connected_edges(found, seeds).count() == n
+    store = edges.EdgeStore(spark, new_path(spark, "chain"), buckets=8)
+    store.insert(found, "b1")
+    store.build_adjacency()
+    assert store.connected(seeds, "shadow").count() == n
+
+
+def test_few_seeds_read_few_folders(spark):
+    pairs = [(f"a{k:04d}", f"b{k:04d}", 0.9, 0, 0.0) for k in range(400)]
+    store = edges.EdgeStore(spark, new_path(spark, "folders"), buckets=32)
+    store.insert(spark.createDataFrame(pairs, EDGE), "b1")
+    store.build_adjacency()
+    seeds = spark.createDataFrame([("b0007",)], "id string")
+    found = store.connected(seeds, "index")
+    assert [(r["child_id"], r["parent_id"]) for r in found.collect()] == [("a0007", "b0007")]
+    _, folders = edges.reachable_in_index(store.index(), seeds, 32)
+    assert len(folders) <= 2
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan
+
+
+def test_stores_compact(spark):
+    store = edges.EdgeStore(spark, new_path(spark, "compact"), buckets=4)
+    for k, rows_ in enumerate(([("a", "b", 0.8, 1, 0.1)], [("a", "b", 0.9, 2, 0.2), ("c", "d", 0.8, 0, 0.0)])):
+        store.insert(spark.createDataFrame(rows_, EDGE), f"b{k}")
+    store.build_adjacency()
+    before = rows(store.edges())
+    store.compact("all")
+    assert store.batches() == ["all"] and rows(store.edges()) == before and store.index() is not None
+    store.compact("all")
+    assert rows(store.edges()) == before
+
+
 def test_edge_store(spark):
     store = edges.EdgeStore(spark, new_path(spark, "store"))
     assert store.edges() is None and not store.build_adjacency()
@@ -234,9 +274,9 @@ def test_changes_in_runs_with_crashes(spark, seed):
         seen.append({r["feed_no"] for r in batch.select("feed_no").collect()})
         return changes.fold_changes(batch, state)
 
-    emit = lambda s: changes.pending(s, run_log)
+    emit = lambda s, _: changes.pending(s, changes.succeeded_runs(run_log))
 
-    def crash(state):
+    def crash(state, _):
         raise RuntimeError("lost")
 
     for upto in (20, 45, 300):
@@ -249,19 +289,47 @@ def test_changes_in_runs_with_crashes(spark, seed):
         assert rows(runner.output()) == brute_pending([f for f in feed if f[0] <= upto], log)
     good = seen[1::2]
     assert sum(map(len, good)) == len({f[0] for f in feed}) == len(set().union(*good))  # none skipped, none twice
-    # a run without news commits the same result
+    # a run without news folds nothing and commits the same result
     runner.run(now, fold, emit)
-    assert seen[-1] == set() and rows(runner.output()) == brute_pending(feed, log)
+    assert len(seen) == 6 and rows(runner.output()) == brute_pending(feed, log)
 
 
 def test_changes_conflict_and_empty(spark):
     empty = spark.createDataFrame([], FEED)
     runner = changes.ChangeProcessor(spark, new_path(spark, "changes"), "feed_no")
-    log = spark.createDataFrame([], LOG)
-    done = runner.run(empty, changes.fold_changes, lambda s: changes.pending(s, log))
-    assert done.watermark == 0 and runner.output().count() == 0
+    runs = changes.succeeded_runs(spark.createDataFrame([], LOG))
+    done = runner.run(empty, changes.fold_changes, changes.pending, runs)
+    assert done.watermark is None and runner.output().count() == 0
     with pytest.raises(changes.CommitConflict):
-        runner._commit(done)
+        runner.commit(done)
+    # the first numbers may be 0 or negative; a null one is refused, not skipped
+    feed = [(-1, "a", "insert", 1, None, None), (0, "b", "insert", 1, None, None), (1, "c", "insert", 1, None, None)]
+    assert runner.run(spark.createDataFrame(feed, FEED), changes.fold_changes, changes.pending, runs).watermark == 1
+    assert rows(runner.output()) == [("a",), ("b",), ("c",)]
+    with pytest.raises(changes.NoSequence):
+        runner.run(spark.createDataFrame([(None, "d", "insert", 1, None, None)], FEED), changes.fold_changes, changes.pending, runs)
+
+
+def test_changes_touch_only_their_buckets(spark):
+    feed = [(k, f"d{k}", "insert", 1, None, None) for k in range(200)] + [(200, "d7", "mark", 1, "r1", None)]
+    folder = new_path(spark, "changes")
+    runner = changes.ChangeProcessor(spark, folder, "feed_no", buckets=16)
+    run = lambda feed, log: runner.run(
+        spark.createDataFrame(feed, FEED), changes.fold_changes, changes.pending,
+        changes.succeeded_runs(spark.createDataFrame(log, LOG)), changes.outcome_changes,
+    )
+    first = run(feed, [])
+    assert len(set(first.states.values())) == 1 and runner.output().count() == 200
+    second = run([*feed, (201, "d9", "delete", 2, None, None)], [])
+    moved = [b for b in second.states if second.states[b] != first.states[b]]
+    assert len(moved) == 1 and [b for b in second.outputs if second.outputs[b] != first.outputs[b]] == moved
+    assert runner.output().count() == 199 and runner.state().count() == 201
+    # a run's end turns the output of marked ids without any new row; state stays
+    third = run([*feed, (201, "d9", "delete", 2, None, None)], [("r1", 1, "succeeded", None)])
+    assert third.states == second.states and sum(third.outputs[b] != second.outputs[b] for b in third.outputs) == 1
+    assert rows(runner.output()) == sorted((f"d{k}",) for k in range(200) if k not in (7, 9))
+    # what the last two commits don't name is gone
+    assert set(names_in(spark, f"{folder}/data")) == second.folders() | third.folders()
 
 
 # --- skew ----------------------------------------------------------------------------------------

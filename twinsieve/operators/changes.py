@@ -1,107 +1,171 @@
 """Processing only new or changed records.
 
-A feed is a table with a monotonic commit sequence. Each run
+A feed is a table with a monotonic commit sequence. Its folded state and the output of it are kept in
+hash classes ("buckets") of the record key, each bucket a folder of its own. Each run
 
-1. reads the high watermark of the last commit,
+1. reads the high watermark of the last commit (null before the first, so nothing lies below it),
 2. fixes its upper bound at its start (the largest sequence number then present),
-3. folds the rows in between into a new version of the state and computes its output, both
-   written under a name of their own,
-4. commits by creating ``commits/<version>.json``, which names state, output and the new
-   watermark together. Creating that file is one atomic rename that fails where the file exists.
+3. folds the rows in between into the buckets that they touch, and writes state and output of those
+   buckets only, under a name of their own,
+4. commits by adding one record to a ledger, which names watermark, states and outputs together.
+   That is one atomic step, which fails where another run committed the same version.
 
-A run that dies before step 4 leaves only files that no commit names: the next run starts from the
-old watermark and skips or repeats nothing. Two runs at once can't both commit the same version.
+So a run reads the new rows of the feed and the touched buckets, and no more. One that dies before step 4 leaves only
+files that no commit names: the next run starts from the old watermark and skips or repeats nothing, and removes
+them. The folders of the commit before the last stay for readers that began with it; older ones are removed.
+
+The output may depend on a side table too (``context``): it is kept with each commit, and buckets whose output
+changes by it are emitted again.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from twinsieve.runtime import filesystem
+from twinsieve.operators.ledger import CommitConflict, Ledger
+from twinsieve.runtime import names_in, remove
+
+__all__ = ["ChangeProcessor", "Commit", "CommitConflict", "fold_changes", "outcome_changes", "pending", "succeeded_runs"]
 
 
-class CommitConflict(RuntimeError):
-    """Another run committed this version first."""
+class NoSequence(ValueError):
+    """Rows without a sequence number; they can't be said to be old or new."""
 
 
 @dataclass(frozen=True)
 class Commit:
-    version: int
-    watermark: int
-    state: str | None
-    output: str | None
+    """``states`` and ``outputs`` name the folder of every bucket, by the bucket's number as text."""
+
+    version: int = 0
+    watermark: int | None = None
+    buckets: int = 0
+    states: dict[str, str] = field(default_factory=dict)
+    outputs: dict[str, str] = field(default_factory=dict)
+    context: str | None = None
+    context_mark: list[int] | None = None  # row count and checksum
+
+    def folders(self) -> set[str]:
+        return {*self.states.values(), *self.outputs.values()} | ({self.context} if self.context else set())
+
+
+Fold = Callable[[DataFrame, DataFrame | None], DataFrame]
 
 
 class ChangeProcessor:
     """Runs a fold over the unread part of a feed; see the module's text for the protocol.
 
-    ``fold(batch, state)`` gets the new rows and the committed state (None at first) and returns the
-    new state; ``emit(state)`` gives the output of the run.
+    ``fold(batch, state)`` gets the new rows and the committed state of their buckets (None at first) and returns
+    the new state, which has the column ``key``; both are of whole buckets, so any fold by key will do.
+    ``emit(state, context)`` gives the output of a state, with ``key`` too. ``affected(state, old, new)`` gives
+    the keys (column ``key``) whose output changes when the context does.
+
+    The number of buckets is fixed by the first commit: ``buckets``, or as many as the session has shuffle partitions.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, sequence: str):
-        self.spark, self.folder, self.sequence = spark, folder.rstrip("/"), sequence
+    def __init__(self, spark: SparkSession, folder: str, sequence: str, key: str = "id", buckets: int | None = None):
+        self.spark, self.folder, self.sequence, self.key = spark, folder.rstrip("/"), sequence, key
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.ledger = Ledger(spark, f"{self.folder}/commits")
 
     def last(self) -> Commit:
-        fs, at = filesystem(self.spark, f"{self.folder}/commits")
-        if not fs.exists(at):
-            return Commit(0, 0, None, None)
-        names = [s.getPath().getName() for s in fs.listStatus(at)]
-        done = sorted(n for n in names if n.endswith(".json") and not n.startswith("."))
-        if not done:
-            return Commit(0, 0, None, None)
-        stream = fs.open(filesystem(self.spark, f"{self.folder}/commits/{done[-1]}")[1])
-        try:
-            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        return Commit(**json.loads(text))
+        _, record = self.ledger.last()
+        return Commit(**record) if record else Commit()
+
+    def _read(self, table: str, places: dict[str, str]) -> DataFrame | None:
+        """The table's rows of the buckets in ``places``; a folder is read for those of its buckets that are still named."""
+        by_folder: dict[str, list[int]] = {}
+        for bucket, folder in places.items():
+            by_folder.setdefault(folder, []).append(int(bucket))
+        parts = [
+            self.spark.read.parquet(f"{self.folder}/data/{f}/{table}").where(F.col("_bucket").isin(bs)).drop("_bucket")
+            for f, bs in sorted(by_folder.items())
+        ]
+        whole = parts[0] if parts else None
+        for part in parts[1:]:
+            whole = whole.unionByName(part)
+        return whole
 
     def state(self) -> DataFrame | None:
-        last = self.last()
-        return self.spark.read.parquet(last.state) if last.state else None
+        return self._read("state", self.last().states)
 
     def output(self) -> DataFrame | None:
-        last = self.last()
-        return self.spark.read.parquet(last.output) if last.output else None
+        return self._read("output", self.last().outputs)
+
+    def _write(self, df: DataFrame, path: str, buckets: int) -> None:
+        rows = df.withColumn("_bucket", F.pmod(F.xxhash64(F.col(self.key)), F.lit(buckets)).cast("int")).repartition("_bucket")
+        rows.write.partitionBy("_bucket").parquet(path)
 
-    def run(
+    def prepare(
         self,
         feed: DataFrame,
-        fold: Callable[[DataFrame, DataFrame | None], DataFrame],
-        emit: Callable[[DataFrame], DataFrame],
+        fold: Fold,
+        emit: Callable[[DataFrame, DataFrame | None], DataFrame],
+        context: DataFrame | None = None,
+        affected: Callable[[DataFrame, DataFrame, DataFrame], DataFrame] | None = None,
     ) -> Commit:
-        last = self.last()
-        seq = F.col(self.sequence)
-        upper = feed.agg(F.max(seq)).first()[0]
-        upper = last.watermark if upper is None else max(int(upper), last.watermark)
-        batch = feed.where((seq > last.watermark) & (seq <= upper))
-        base = f"{self.folder}/data/{last.version + 1:09d}-{uuid.uuid4().hex}"
-        old = self.spark.read.parquet(last.state) if last.state else None
-        fold(batch, old).write.parquet(f"{base}/state")
-        state = self.spark.read.parquet(f"{base}/state")
-        emit(state).write.parquet(f"{base}/output")
-        done = Commit(last.version + 1, upper, f"{base}/state", f"{base}/output")
-        self._commit(done)
-        return done
-
-    def _commit(self, commit: Commit) -> None:
-        fs, folder = filesystem(self.spark, f"{self.folder}/commits")
-        fs.mkdirs(folder)
-        _, target = filesystem(self.spark, f"{self.folder}/commits/{commit.version:09d}.json")
-        _, draft = filesystem(self.spark, f"{self.folder}/commits/.{uuid.uuid4().hex}")
-        out = fs.create(draft, False)
-        out.write(bytearray(json.dumps(commit.__dict__).encode()))
-        out.close()
-        if fs.exists(target) or not fs.rename(draft, target):
-            fs.delete(draft, False)
-            raise CommitConflict(f"version {commit.version} was committed by another run")
+        """All of a run but its commit: nothing of it is seen until :meth:`commit`."""
+        last, seq = self.last(), F.col(self.sequence)
+        buckets = last.buckets or self.buckets
+        unread = feed if last.watermark is None else feed.where((seq > last.watermark) | seq.isNull())
+        bucket = F.pmod(F.xxhash64(F.col(self.key)), F.lit(buckets)).cast("int")
+        # one pass over the unread rows; at most `buckets` numbers come back
+        seen = unread.agg(F.max(seq).alias("upper"), F.count_if(seq.isNull()).alias("nulls"), F.collect_set(bucket).alias("touched")).first()
+        if seen["nulls"]:
+            raise NoSequence(f"{seen['nulls']} rows without {self.sequence}")
+        upper, touched = last.watermark if seen["upper"] is None else int(seen["upper"]), seen["touched"]
+        folder = f"{last.version + 1:09d}-{uuid.uuid4().hex}"
+        base = f"{self.folder}/data/{folder}"
+        batch = unread.where(seq <= upper) if upper is not None else unread.limit(0)
+        states, outputs, emitted = dict(last.states), dict(last.outputs), set(touched)
+        if touched or not states:
+            old = self._read("state", {b: f for b, f in last.states.items() if int(b) in emitted})
+            self._write(fold(batch, old), f"{base}/state", buckets)
+            states |= {str(b): folder for b in touched}
+        place, mark = last.context, last.context_mark
+        if context is not None:
+            noted = Observation()
+            row = F.xxhash64(*context.columns).cast("decimal(38,0)")
+            context.observe(noted, F.count(F.lit(1)).alias("n"), F.sum(row).alias("s")).write.parquet(f"{base}/context")
+            context, place, mark = self.spark.read.parquet(f"{base}/context"), folder, [int(noted.get["n"]), int(noted.get["s"] or 0)]
+            if last.context and affected is not None and mark != last.context_mark:
+                before = self.spark.read.parquet(f"{self.folder}/data/{last.context}/context")
+                turned = affected(self._read("state", last.states), before, context)
+                emitted |= {r[0] for r in turned.select(bucket.alias("b")).distinct().collect()}
+        if emitted or not states:
+            now = self._read("state", {b: f for b, f in states.items() if int(b) in emitted})
+            if now is None:  # nothing has come yet
+                now = self.spark.read.schema(fold(batch, None).schema).parquet(f"{base}/state")
+            self._write(emit(now, context), f"{base}/output", buckets)
+            outputs |= {str(b): folder for b in emitted}
+        if not states:  # an empty feed has a state and an output without rows
+            states = outputs = {"0": folder}
+        return Commit(last.version + 1, upper, buckets, states, outputs, place, mark)
+
+    def commit(self, prepared: Commit) -> Commit:
+        self.ledger.add(prepared.version, asdict(prepared))
+        self._tidy(prepared)
+        return prepared
+
+    def run(self, feed: DataFrame, fold: Fold, emit, context: DataFrame | None = None, affected=None) -> Commit:
+        """One run; arguments as in :meth:`prepare`."""
+        return self.commit(self.prepare(feed, fold, emit, context, affected))
+
+    def _tidy(self, now: Commit) -> None:
+        """Remove what neither of the last two commits names: of older ones, and of runs that died or lost."""
+        kept = now.folders()
+        for number in self.ledger.numbers():
+            if number == now.version - 1:
+                kept |= Commit(**self.ledger.read(number)).folders()
+            elif number < now.version:
+                self.ledger.forget(number)
+        for name in names_in(self.spark, f"{self.folder}/data"):
+            if name not in kept and int(name.split("-")[0]) <= now.version:
+                remove(self.spark, f"{self.folder}/data/{name}")
 
 
 def fold_changes(batch: DataFrame, state: DataFrame | None) -> DataFrame:
@@ -153,13 +217,20 @@ def succeeded_runs(run_log: DataFrame) -> DataFrame:
     )
 
 
-def pending(state: DataFrame, run_log: DataFrame) -> DataFrame:
-    """Ids whose newest change is no delete and is judged by no mark of a run that succeeded."""
+def pending(state: DataFrame, succeeded: DataFrame) -> DataFrame:
+    """Ids whose newest change is no delete and is judged by no mark of a run in ``succeeded``."""
     newest = state.where(F.col("run_id").isNull()).select("id", "row_version", "deleted")
     judged = (
         state.where(F.col("run_id").isNotNull())
         .select("id", "row_version", "run_id")
-        .join(succeeded_runs(run_log), "run_id", "left_semi")
+        .join(succeeded, "run_id", "left_semi")
         .select("id", "row_version")
     )
     return newest.where(~F.col("deleted")).join(judged, ["id", "row_version"], "left_anti").select("id")
+
+
+def outcome_changes(state: DataFrame, before: DataFrame, now: DataFrame) -> DataFrame:
+    """``id``: those with a mark of a run that is in only one of two tables of succeeded runs."""
+    turned = before.withColumn("n", F.lit(1)).union(now.withColumn("n", F.lit(-1)))
+    turned = turned.groupBy("run_id").agg(F.sum("n").alias("n")).where("n <> 0")
+    return state.where(F.col("run_id").isNotNull()).join(turned, "run_id", "left_semi").select("id")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinsieve.operators.graph import connected_components
 from twinsieve.operators.matching import EDGE, edge_of_child, upsert_edges
-from twinsieve.runtime import filesystem, write_out
+from twinsieve.runtime import exists, filesystem, materialize, names_in
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -19,57 +22,83 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return real.select(F.inline(ends), *EDGE)
 
 
+MEASURES = "jaccard_similarity double, size_difference int, size_difference_pct double"
+
+
 class LookupMismatch(RuntimeError):
     """Both ways of finding connected edges gave different sets."""
 
 
-def reachable(links: DataFrame, seeds: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """``node``: the seeds and everything linked to them; ``links`` has ``node, other``.
+def reachable(links: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``node``: the seeds and everything linked to them; the first two columns of ``links`` are ends of links.
+
+    The components of the links, of which those that hold a seed are taken: a number of rounds logarithmic in
+    the number of nodes, however long the chains are.
+    """
+    wanted = seeds.select(F.col(seeds.columns[0]).alias("node")).where("node is not null").distinct()
+    found = materialize(connected_components(links, *links.columns[:2]), "components")
+    hit = found.join(wanted, "node", "left_semi").select("root").distinct()
+    return found.join(hit, "root", "left_semi").select("node").union(wanted).distinct()
+
+
+def node_bucket(node: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(node), F.lit(buckets)).cast("int")
+
 
-    Each round joins only the nodes found last, so an edge is met once from each end.
+def reachable_in_index(index: DataFrame, seeds: DataFrame, buckets: int, hops: int = 3) -> tuple[DataFrame, list[int] | None]:
+    """As :func:`reachable` over an adjacency table in folders by ``bucket``, reading only folders that a hop
+    needs; and the folders of all nodes found. Once a hop needs half of the folders, or after ``hops`` of
+    them, the whole index is taken up by components instead (and None given for the folders), so long chains
+    don't cost a round for each link; the nodes are the same either way.
     """
-    seen = write_out(seeds.select(F.col(seeds.columns[0]).alias("node")).where("node is not null").distinct(), "seen")
-    front = seen.df
-    olds = [seen]
-    for _ in range(max_rounds):
-        step = links.join(front, "node", "left_semi").select(F.col("other").alias("node")).distinct()
-        found = write_out(step.join(seen.df, "node", "left_anti"), "front")
-        olds.append(found)
-        if found.df.isEmpty():
+    seen = seeds.select(F.col(seeds.columns[0]).alias("node")).where("node is not null").distinct()
+    seen = front = materialize(seen, "seen")
+    read: set[int] = set()
+    for _ in range(hops):
+        # at most `buckets` numbers
+        folders = [r[0] for r in front.select(node_bucket("node", buckets).alias("b")).distinct().collect()]
+        read.update(folders)
+        if not folders:
+            return seen, sorted(read)
+        if 2 * len(folders) >= buckets:
             break
-        front = found.df
-        seen = write_out(seen.df.union(found.df), "seen")
-        olds.append(seen)
-    else:
-        raise RuntimeError(f"seeds still grew after {max_rounds} rounds")
-    for old in olds:
-        if old is not seen:
-            old.drop()
-    return seen.df
-
-
-def connected_edges(edges: DataFrame, seeds: DataFrame, lookup: str = "scan", index: DataFrame | None = None) -> DataFrame:
+        step = index.where(F.col("bucket").isin(folders)).join(front, "node", "left_semi").select(F.col("other").alias("node"))
+        front = materialize(step.distinct().join(seen, "node", "left_anti"), "front")
+        seen = materialize(seen.union(front), "seen")
+    return reachable(index.where("node < other").select("node", "other"), seen), None
+
+
+def connected_edges(
+    edges: DataFrame, seeds: DataFrame, lookup: str = "scan", index: DataFrame | None = None, buckets: int | None = None
+) -> DataFrame:
     """Real edges in components that hold a seed.
 
-    ``scan`` derives the neighbours from the edge table, ``index`` reads the adjacency table given,
-    ``auto`` uses the index if there is one, and ``shadow`` runs both and compares the sets.
+    ``scan`` takes the components of the edge table, ``index`` reads the adjacency table given, by its
+    ``bucket`` folders where ``buckets`` says that it has them, ``auto`` uses the index if there is one,
+    and ``shadow`` runs both and compares the sets.
     """
     if lookup == "shadow":
         if index is None:
             raise ValueError("shadow needs an index")
-        a, b = connected_edges(edges, seeds), connected_edges(edges, seeds, "index", index)
-        if not a.exceptAll(b).isEmpty() or not b.exceptAll(a).isEmpty():
+        a, b = (materialize(connected_edges(edges, seeds, way, index, buckets), "way") for way in ("scan", "index"))
+        marked = a.withColumn("n", F.lit(1)).unionByName(b.withColumn("n", F.lit(-1)))
+        if not marked.groupBy(*EDGE).agg(F.sum("n").alias("n")).where("n <> 0").isEmpty():
             raise LookupMismatch("scan and index differ")
         return a
     if lookup == "index" and index is None:
         raise ValueError("there is no adjacency index")
     real = edges.where("child_id <> parent_id").select(*EDGE)
     if index is not None and lookup in ("index", "auto"):
-        nodes = reachable(index.select("node", "other"), seeds)
-        # each edge is taken at its smaller end; several batches may hold it
-        mine = index.where("node < other").join(nodes, "node", "left_semi")
-        return upsert_edges(None, mine)
-    nodes = reachable(adjacency(real).select("node", "other"), seeds)
+        at_smaller = index.where("node < other")
+        if buckets is None:
+            nodes = reachable(at_smaller.select("node", "other"), seeds)
+        else:
+            nodes, folders = reachable_in_index(index, seeds, buckets)
+            if folders is not None:
+                at_smaller = at_smaller.where(F.col("bucket").isin(folders))
+        mine = at_smaller.join(nodes, "node", "left_semi")
+        return upsert_edges(None, mine)  # each edge is taken at its smaller end; several batches may hold it
+    nodes = reachable(real, seeds)
     return real.join(nodes.withColumnRenamed("node", "child_id"), "child_id", "left_semi")
 
 
@@ -77,26 +106,27 @@ class EdgeStore:
     """Edges under a folder: each batch a directory, replaced when written again.
 
     Readers see one row per (child, parent), the most similar. The adjacency index holds the edges by
-    node, a directory for each batch too, so that indexing a new batch leaves the old ones alone; it is
-    used only while it covers all batches.
+    node, a directory for each batch with one folder for each of ``buckets`` hash classes of nodes, so that indexing a
+    new batch leaves the old ones alone and a lookup of few seeds reads few folders; it is
+    used only while it covers all batches. ``compact`` merges the batches of both.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 64):
+        self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
 
     def _done(self, table: str) -> list[str]:
-        fs, at = filesystem(self.spark, f"{self.folder}/{table}")
-        if not fs.exists(at):
-            return []
-        names = sorted(s.getPath().getName() for s in fs.listStatus(at))
-        return [n for n in names if fs.exists(filesystem(self.spark, f"{self.folder}/{table}/{n}/_SUCCESS")[1])]
+        at = f"{self.folder}/{table}"
+        return [n for n in names_in(self.spark, at) if exists(self.spark, f"{at}/{n}/_SUCCESS")]
 
     def batches(self) -> list[str]:
         return self._done("edges")
 
+    def _remove(self, path: str) -> None:
+        fs, at = filesystem(self.spark, f"{self.folder}/{path}")
+        fs.delete(at, True)
+
     def insert(self, edges: DataFrame, batch: str) -> None:
-        fs, at = filesystem(self.spark, f"{self.folder}/adjacency/{batch}")
-        fs.delete(at, True)  # it would no longer be the batch's
+        self._remove(f"adjacency/{batch}")  # it would no longer be the batch's
         edges.select(*EDGE).write.mode("overwrite").parquet(f"{self.folder}/edges/{batch}")
 
     def edges(self) -> DataFrame | None:
@@ -125,26 +155,42 @@ class EdgeStore:
         return wanted.limit(0) if found is None else wanted.join(found.select("child_id", "parent_id"), ["child_id", "parent_id"])
 
     def clear(self) -> None:
-        for table in ("edges", "adjacency"):
-            fs, at = filesystem(self.spark, f"{self.folder}/{table}")
-            fs.delete(at, True)
+        self._remove("edges")
+        self._remove("adjacency")
+
+    def compact(self, batch: str) -> None:
+        """Rewrite all batches as one of one row per edge; the old ones go once the new one is whole."""
+        found, old = self.edges(), self.batches()
+        if found is None or old == [batch]:
+            return
+        self.insert(materialize(found, "edges"), batch)
+        for name in old:
+            if name != batch:
+                self._remove(f"edges/{name}")
+                self._remove(f"adjacency/{name}")
+        self.build_adjacency()
 
     def build_adjacency(self) -> bool:
         """Index the batches that are not yet; False where there are none."""
         missing = sorted(set(self.batches()) - set(self._done("adjacency")))
         for name in missing:
             found = adjacency(self.spark.read.parquet(f"{self.folder}/edges/{name}"))
-            found.repartition("node").sortWithinPartitions("node").write.mode("overwrite").parquet(
-                f"{self.folder}/adjacency/{name}"
-            )
+            found = found.withColumn("bucket", node_bucket("node", self.buckets)).repartition("bucket").sortWithinPartitions("bucket", "node")
+            found.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/adjacency/{name}")
         return bool(missing)
 
     def index(self) -> DataFrame | None:
         names = self._done("adjacency")
         if not names or names != self.batches():
             return None
-        return self.spark.read.parquet(*(f"{self.folder}/adjacency/{n}" for n in names))
+        at = f"{self.folder}/adjacency"
+        schema = f"node {self._kind()}, other {self._kind()}, child_id {self._kind()}, parent_id {self._kind()}, {MEASURES}, bucket int"
+        parts = [self.spark.read.schema(schema).option("basePath", f"{at}/{n}").parquet(f"{at}/{n}") for n in names]
+        return reduce(DataFrame.unionByName, parts)
+
+    def _kind(self) -> str:
+        return self.spark.read.parquet(f"{self.folder}/edges/{self.batches()[0]}").schema["child_id"].dataType.simpleString()
 
     def connected(self, seeds: DataFrame, lookup: str = "auto") -> DataFrame | None:
         found = self.edges()
-        return None if found is None else connected_edges(found, seeds, lookup, self.index())
+        return None if found is None else connected_edges(found, seeds, lookup, self.index(), self.buckets)

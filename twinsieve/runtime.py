@@ -1,4 +1,4 @@
-"""Session helpers: the shared scratch folder, written intermediate tables, table reading.
+"""Session helpers: the shared scratch folder, written intermediate tables, small files, table reading.
 
 Iterative operators cut their lineage with :func:`materialize`, which writes a table to the folder
 that the cluster names in ``spark.checkpoint.dir``. Every executor can read it again after another
@@ -12,26 +12,53 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _written: dict[str, SparkSession] = {}
 
 
+class NoSharedFolder(RuntimeError):
+    """A cluster without a folder that all executors share."""
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder for intermediate tables: ``spark.checkpoint.dir``.
+
+    Where that is unset, one of our own on this machine, which only a session in one process can use:
+    any other master is refused, as its executors would each write to a disk of their own.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master or ""
+        if master.split("[")[0] != "local":
+            raise NoSharedFolder(f"master {master!r} needs spark.checkpoint.dir, a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="twinsieve-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-tables/{tag}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder, which is removed when the process or :func:`scratch` ends."""
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-tables/{tag}-{uuid.uuid4().hex}"
+    _written[path] = spark
+    return path
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Removes the intermediate tables that were written within; a long-lived process runs its rounds in it."""
+    before = set(_written)
+    try:
+        yield
+    finally:
+        for path in [p for p in _written if p not in before]:
+            remove(_written[path], path)
 
 
 def filesystem(spark: SparkSession, path: str):
@@ -47,23 +74,93 @@ def remove(spark: SparkSession, path: str) -> None:
     _written.pop(path, None)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = filesystem(spark, path)
+    return fs.exists(at)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, in order; none where it doesn't exist."""
+    fs, at = filesystem(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, at = filesystem(spark, path)
+    stream = fs.open(at)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def _put(fs, at, text: str, overwrite: bool) -> None:
+    out = fs.create(at, overwrite)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def publish(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file with its whole content, or return False where there is one; one of several wins.
+
+    Local files are linked from a draft, which fails where the name is taken. File systems with a
+    rename of their own (HDFS and its kin) refuse to rename onto a file. Object stores put a whole object at
+    once; they decide between two writers only where their connector creates conditionally.
+    """
+    fs, at = filesystem(spark, path)
+    fs.mkdirs(at.getParent())
+    scheme = fs.getUri().getScheme()
+    if scheme in ("s3a", "s3", "s3n", "gs", "oss", "cosn", "swift", "wasb", "wasbs"):
+        try:
+            _put(fs, at, text, False)
+        except Exception as e:
+            if "exist" in str(e).lower() or "412" in str(e):
+                return False
+            raise
+        return True
+    _, draft = filesystem(spark, f"{str(at.getParent())}/.{uuid.uuid4().hex}")
+    _put(fs, draft, text, False)
+    if scheme == "file":
+        try:
+            os.link(draft.toUri().getPath(), at.toUri().getPath())
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            fs.delete(draft, False)
+    if not fs.exists(at) and fs.rename(draft, at):
+        return True
+    fs.delete(draft, False)
+    return False
+
+
 class Written:
-    """A DataFrame that was written to the shared folder; ``drop()`` deletes it."""
+    """A DataFrame that was written to the shared folder; ``drop()`` deletes it.
+
+    ``fingerprint`` is the row count and an order-free checksum of a table without repeated rows, where
+    it was asked for; equal means unchanged."""
 
-    def __init__(self, spark: SparkSession, path: str, df: DataFrame):
-        self.spark, self.path, self.df = spark, path, df
+    def __init__(self, spark: SparkSession, path: str, df: DataFrame, fingerprint: tuple[int, int] | None = None):
+        self.spark, self.path, self.df, self.fingerprint = spark, path, df, fingerprint
 
     def drop(self) -> None:
         remove(self.spark, self.path)
 
 
-def write_out(df: DataFrame, tag: str) -> Written:
-    spark = df.sparkSession
+def write_out(df: DataFrame, tag: str, fingerprint: bool = False) -> Written:
+    """Run the plan and keep its rows in the shared folder; a fingerprint is taken as the rows pass."""
+    spark, schema = df.sparkSession, df.schema
     ship(spark)
-    path = new_path(spark, tag)
+    path, seen = new_path(spark, tag), None
+    if fingerprint:
+        seen = Observation()
+        row = F.xxhash64(*df.columns).cast("decimal(38,0)")
+        df = df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(row).alias("s"))
     df.write.option("compression", "zstd").parquet(path)  # read soon and few times: size counts
-    _written[path] = spark
-    return Written(spark, path, spark.read.schema(df.schema).parquet(path))
+    mark = (int(seen.get["n"]), int(seen.get["s"] or 0)) if seen is not None else None
+    return Written(spark, path, spark.read.schema(schema).parquet(path), mark)
 
 
 def materialize(df: DataFrame, tag: str = "t") -> DataFrame:
