@@ -20,12 +20,14 @@ changes by it are emitted again.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from twinsieve.operators.ledger import CommitConflict, Ledger
 from twinsieve.runtime import names_in, remove
@@ -48,6 +50,7 @@ class Commit:
     outputs: dict[str, str] = field(default_factory=dict)
     context: str | None = None
     context_mark: list[int] | None = None  # row count and checksum
+    schemas: dict[str, str] = field(default_factory=dict)  # of "state", "output" and "context", as JSON
 
     def folders(self) -> set[str]:
         return {*self.states.values(), *self.outputs.values()} | ({self.context} if self.context else set())
@@ -76,25 +79,34 @@ class ChangeProcessor:
         _, record = self.ledger.last()
         return Commit(**record) if record else Commit()
 
-    def _read(self, table: str, places: dict[str, str]) -> DataFrame | None:
+    def _read(self, table: str, places: dict[str, str], schemas: dict[str, str]) -> DataFrame | None:
         """The table's rows of the buckets in ``places``; a folder is read for those of its buckets that are still named."""
+        if table not in schemas:
+            return None
+        schema = StructType.fromJson(json.loads(schemas[table]))
         by_folder: dict[str, list[int]] = {}
         for bucket, folder in places.items():
             by_folder.setdefault(folder, []).append(int(bucket))
-        parts = [
-            self.spark.read.parquet(f"{self.folder}/data/{f}/{table}").where(F.col("_bucket").isin(bs)).drop("_bucket")
-            for f, bs in sorted(by_folder.items())
-        ]
-        whole = parts[0] if parts else None
-        for part in parts[1:]:
-            whole = whole.unionByName(part)
+        whole = self.spark.createDataFrame([], schema)
+        for folder, buckets in sorted(by_folder.items()):
+            part = self.spark.read.schema(StructType([*schema, StructField("_bucket", IntegerType())])).parquet(
+                f"{self.folder}/data/{folder}/{table}"
+            )
+            part = part.where(F.col("_bucket").isin(buckets)).drop("_bucket")
+            whole = part if folder == min(by_folder) else whole.unionByName(part)
         return whole
 
+    def _context(self, folder: str, schemas: dict[str, str]) -> DataFrame:
+        schema = StructType.fromJson(json.loads(schemas["context"]))
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/data/{folder}/context")
+
     def state(self) -> DataFrame | None:
-        return self._read("state", self.last().states)
+        last = self.last()
+        return self._read("state", last.states, last.schemas)
 
     def output(self) -> DataFrame | None:
-        return self._read("output", self.last().outputs)
+        last = self.last()
+        return self._read("output", last.outputs, last.schemas)
 
     def _write(self, df: DataFrame, path: str, buckets: int) -> None:
         rows = df.withColumn("_bucket", F.pmod(F.xxhash64(F.col(self.key)), F.lit(buckets)).cast("int")).repartition("_bucket")
@@ -121,30 +133,28 @@ class ChangeProcessor:
         folder = f"{last.version + 1:09d}-{uuid.uuid4().hex}"
         base = f"{self.folder}/data/{folder}"
         batch = unread.where(seq <= upper) if upper is not None else unread.limit(0)
-        states, outputs, emitted = dict(last.states), dict(last.outputs), set(touched)
-        if touched or not states:
-            old = self._read("state", {b: f for b, f in last.states.items() if int(b) in emitted})
-            self._write(fold(batch, old), f"{base}/state", buckets)
+        states, outputs, schemas, emitted = dict(last.states), dict(last.outputs), dict(last.schemas), set(touched)
+        if touched or not schemas:
+            old = self._read("state", {b: f for b, f in last.states.items() if int(b) in emitted}, schemas)
+            new = fold(batch, old)
+            schemas["state"] = new.schema.json()
+            self._write(new, f"{base}/state", buckets)
             states |= {str(b): folder for b in touched}
         place, mark = last.context, last.context_mark
         if context is not None:
-            noted = Observation()
+            noted, schemas["context"] = Observation(), context.schema.json()
             row = F.xxhash64(*context.columns).cast("decimal(38,0)")
             context.observe(noted, F.count(F.lit(1)).alias("n"), F.sum(row).alias("s")).write.parquet(f"{base}/context")
-            context, place, mark = self.spark.read.parquet(f"{base}/context"), folder, [int(noted.get["n"]), int(noted.get["s"] or 0)]
+            context, place, mark = self._context(folder, schemas), folder, [int(noted.get["n"]), int(noted.get["s"] or 0)]
             if last.context and affected is not None and mark != last.context_mark:
-                before = self.spark.read.parquet(f"{self.folder}/data/{last.context}/context")
-                turned = affected(self._read("state", last.states), before, context)
+                turned = affected(self._read("state", last.states, schemas), self._context(last.context, last.schemas), context)
                 emitted |= {r[0] for r in turned.select(bucket.alias("b")).distinct().collect()}
-        if emitted or not states:
-            now = self._read("state", {b: f for b, f in states.items() if int(b) in emitted})
-            if now is None:  # nothing has come yet
-                now = self.spark.read.schema(fold(batch, None).schema).parquet(f"{base}/state")
-            self._write(emit(now, context), f"{base}/output", buckets)
+        if emitted or "output" not in schemas:
+            found = emit(self._read("state", {b: f for b, f in states.items() if int(b) in emitted}, schemas), context)
+            schemas["output"] = found.schema.json()
+            self._write(found, f"{base}/output", buckets)
             outputs |= {str(b): folder for b in emitted}
-        if not states:  # an empty feed has a state and an output without rows
-            states = outputs = {"0": folder}
-        return Commit(last.version + 1, upper, buckets, states, outputs, place, mark)
+        return Commit(last.version + 1, upper, buckets, states, outputs, place, mark, schemas)
 
     def commit(self, prepared: Commit) -> Commit:
         self.ledger.add(prepared.version, asdict(prepared))
