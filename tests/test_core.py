@@ -366,3 +366,20 @@ def test_fragment_replicate_join(spark):
     right = spark.createDataFrame([("h", 1), ("h", 2), ("k1", 3), ("q", 4), (None, 5)], "key string, b int")
     got = skew.fragment_replicate_join(left, right, "key", F.col("a"), tasks=5)
     assert rows(got.select("key", "a", "b")) == rows(left.join(right, "key"))
+
+
+def test_hot_keys_of_a_self_join_are_split(spark):
+    rows_ = spark.createDataFrame([("hot", k) for k in range(300)] + [(f"k{k % 40}", k) for k in range(80)] + [(None, 1)], "key string, n int")
+    hot = skew.hot_keys(rows_, "key", most=50)
+    assert rows(hot) == [("hot", 6)]
+    assert skew.hot_keys(rows_, "key", most=5000) is None
+    left, right = rows_.withColumnRenamed("n", "a"), rows_.withColumnRenamed("n", "b")
+    got = skew.pairs_within(left, right, "key", F.col("a"), hot)
+    assert got.columns == ["key", "a", "b"] and got.where("a < b").count() == 300 * 299 // 2 + 40
+
+
+def test_wrong_counts(spark):
+    segments = [("a", ["x", "y", None], 2), ("a", ["y", "z", "z"], 3), ("b", ["x"], None), ("c", None, 0), ("d", [], 0), (None, ["q"], 1), ("c", ["w"], 1)]
+    frame = spark.createDataFrame(segments, "bucket_key string, doc_ids array<string>, doc_count int")
+    assert rows(skew.wrong_counts(frame, tasks=3)) == [("a", 3, 2, 1), ("b", 1, 1, 1), ("c", 1, 2, 0)]
+    assert skew.wrong_counts(frame.limit(0)).count() == 0

@@ -150,6 +150,11 @@ SELECT id FROM newest WHERE kind <> 'delete' AND id IN (SELECT id FROM corpus_do
     AND f.run_id IN (SELECT run_id FROM last_try))""",
         "p5_found": """SELECT bucket_key, count(DISTINCT id) AS n_docs, min(id) AS first_id
 FROM (SELECT bucket_key, unnest(doc_ids) AS id FROM path_clusters) WHERE bucket_key IS NOT NULL AND id IS NOT NULL GROUP BY bucket_key""",
+        "p5_wrong_counts": """WITH seg AS (SELECT bucket_key, doc_count, len(list_distinct(list_filter(coalesce(doc_ids, []), lambda x: x IS NOT NULL))) AS size
+  FROM path_clusters WHERE bucket_key IS NOT NULL),
+whole AS (SELECT bucket_key, count(DISTINCT id) AS n_docs FROM (SELECT bucket_key, unnest(doc_ids) AS id FROM path_clusters) WHERE id IS NOT NULL GROUP BY bucket_key)
+SELECT bucket_key, n_docs, count(*) AS n_segments, count(*) FILTER (doc_count IS DISTINCT FROM size) AS n_wrong
+FROM seg JOIN whole USING (bucket_key) GROUP BY bucket_key, n_docs""",
         "normalize_text": r"SELECT id, trim(regexp_replace(lower(content), '[^\p{L}\p{N}]+', ' ', 'g')) AS normalized FROM corpus_docs",
         "char_ngrams": _with(_TEXT, _GRAMS.format(source="t")) + "SELECT id, len(grams)::INTEGER AS n_grams, len(list_distinct(grams))::INTEGER AS n_distinct FROM g",
         "ngram_counts": _with(_TEXT, _GRAMS.format(source="t")) + "SELECT gram, count(*) AS n FROM (SELECT unnest(grams) AS gram FROM g) GROUP BY gram",

@@ -84,6 +84,11 @@ def p5_found(spark, sf_dir):
     return skew.bucket_results(table(spark, sf_dir, "path_clusters"))
 
 
+@query
+def p5_wrong_counts(spark, sf_dir):
+    return skew.wrong_counts(table(spark, sf_dir, "path_clusters"))
+
+
 # --- text and signatures -------------------------------------------------------------------------
 
 
