@@ -204,6 +204,22 @@ def test_formatting_copies(spark):
     assert counts["a"] == 5 and counts["h"] == 2 and counts["e"] == 1 and sum(counts.values()) == 13
 
 
+def test_names_of_fields(spark):
+    """A name may be long; lines of prose that hold a colon are no fields."""
+    long = {"n" * 200: "1", "Place": "Köln", "v1.2": "x", "No.": "7"}
+    prose_ = ["Item 4: it was said. Item 5: it was not", "Well, it was counted. Item 20: the ticket", "Action: do it", "Item 7,663,002: none"]
+    texts = [
+        ("a", "\n".join(f"{k}: {v}" for k, v in long.items())),
+        ("b", "; ".join(f"{k.upper()} : {v}" for k, v in reversed(long.items()))),
+        ("c", "\n".join(prose_)),
+        ("d", " ".join(prose_).upper()),
+        ("e", "\n".join(reversed(prose_))),
+        ("f", ("w" * 9 + " ") * 20_000 + ": 1"),  # one very long name
+    ]
+    found = formatting.formatting_copies(spark.createDataFrame(texts, "id string, content string"))
+    assert rows(found) == [("a", "b"), ("c", "d")]
+
+
 def test_repeated_fields_count(spark):
     a = "x: 1\nx: 1\ny: 2\nz: 3"
     b = "x: 1\ny: 2\ny: 2\nz: 3"

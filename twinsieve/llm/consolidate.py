@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinsieve.runtime import fingerprint, write_out
+from twinsieve.runtime import write_out
 
 
 def clean_id(c: Column) -> Column:
@@ -25,8 +25,7 @@ def hash_to_min(pairs: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataF
     ends = pairs.select(F.col(a).alias("v"), F.col(b).alias("u")).where("v is not null and u is not null")
     sets = ends.union(ends.select(F.col("u").alias("v"), F.col("v").alias("u")))
     sets = sets.union(ends.select("v", F.col("v").alias("u"))).union(ends.select(F.col("u").alias("v"), "u")).distinct()
-    now = write_out(sets, "sets")
-    mark = fingerprint(now.df)
+    now = write_out(sets, "sets", fingerprint=True)
     for _ in range(max_rounds):
         low = now.df.groupBy("v").agg(F.min("u").alias("m"))
         sent = now.df.join(low, "v").select(
@@ -34,10 +33,9 @@ def hash_to_min(pairs: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataF
                 F.array(F.struct(F.col("m").alias("v"), "u"), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))
             ).alias("s")
         )
-        then = write_out(sent.select("s.v", "s.u").distinct(), "sets")
-        now.drop()
-        now, old, mark = then, mark, fingerprint(then.df)
-        if mark == old:
+        now, old = write_out(sent.select("s.v", "s.u").distinct(), "sets", fingerprint=True), now
+        old.drop()
+        if now.fingerprint == old.fingerprint:
             return now.df.groupBy("v").agg(F.min("u").alias("group_id")).withColumnRenamed("v", "id")
     raise RuntimeError(f"groups were not stable after {max_rounds} rounds")
 

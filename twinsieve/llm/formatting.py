@@ -10,8 +10,10 @@ from twinsieve.runtime import materialize
 
 MIN_FIELDS = 4
 SEPARATORS = ("\n", r"\|", ";")
-#: A field: a name of up to 60 characters without colon, a colon, and its value.
-FIELD = r"^\s*[^:：]{1,60}[:：](?s:.*)$"
+#: A field begins with its name and a colon. A name is a label of any length on one line: text in which a
+#: clause or sentence ends is none, though a line of prose may hold a colon too.
+NAME = r"^\s*([^:：\n,;!?。，；！？]+)[:：]"
+ENDED = r"\.\s+\S"
 NAMED = r"[\p{L}\p{N}]"
 
 
@@ -23,9 +25,10 @@ def _segments(content: Column, separator: str) -> Column:
 def _fields(content: Column, separator: str) -> Column:
     """The canonical form of a record of fields under one separator, null where it isn't one."""
     parts = _segments(content, separator)
-    name = lambda p: plain(F.regexp_extract(p, r"^([^:：]*)[:：]", 1))
-    value = lambda p: plain(F.regexp_replace(p, r"^[^:：]*[:：]", ""))
-    wholly = F.forall(parts, lambda p: p.rlike(FIELD) & F.regexp_extract(p, r"^([^:：]*)[:：]", 1).rlike(NAMED))
+    name = lambda p: plain(F.regexp_extract(p, NAME, 1))
+    value = lambda p: plain(F.regexp_replace(p, NAME, ""))
+    label = lambda n: n.rlike(NAMED) & ~n.rlike(ENDED)
+    wholly = F.forall(parts, lambda p: label(F.regexp_extract(p, NAME, 1)))
     each = F.array_sort(F.transform(parts, lambda p: F.concat(name(p), F.lit("\x1f"), value(p))))
     return F.when((F.size(parts) >= MIN_FIELDS) & wholly, F.concat(F.lit("fields\x1e"), F.array_join(each, "\x1e")))
 
@@ -35,7 +38,9 @@ def canonical(content: Column) -> Column:
 
     A content made wholly of four or more ``name: value`` fields, divided by line ends, bars or
     semicolons, becomes its sorted fields; any other content its words in order. Names, values and
-    words are in lower case with each run of other characters one blank.
+    words are in lower case with each run of other characters one blank. A name has a letter or digit, stands
+    on one line and holds no comma, semicolon, exclamation or question mark and no full stop before a blank; its
+    length doesn't matter.
     """
     record = F.coalesce(*(_fields(content, s) for s in SEPARATORS))
     return F.coalesce(record, F.concat(F.lit("prose\x1e"), plain(content)))

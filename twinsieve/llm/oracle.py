@@ -38,9 +38,10 @@ chosen AS (
 
 def _record(separator: str) -> str:
     parts = f"list_filter(string_split(x, {separator}), lambda p: regexp_matches(p, '[^\\s\\x{{85}}\\x{{A0}}\\x{{2028}}\\x{{2029}}\\x{{3000}}]'))"
-    cut = "regexp_extract(p, '^([^:：]*)[:：]', 1)"
-    rest = "regexp_replace(p, '^[^:：]*[:：]', '')"
-    wholly = f"len(list_filter(parts, lambda p: NOT (regexp_matches(p, '^\\s*[^:：]{{1,60}}[:：]') AND regexp_matches({cut}, '[\\p{{L}}\\p{{N}}]')))) = 0"
+    name = "^\\s*([^:：\\n,;!?。，；！？]+)[:：]"
+    cut, rest = f"regexp_extract(p, '{name}', 1)", f"regexp_replace(p, '{name}', '')"
+    label = f"regexp_matches({cut}, '[\\p{{L}}\\p{{N}}]') AND NOT regexp_matches({cut}, '\\.\\s+\\S')"
+    wholly = f"len(list_filter(parts, lambda p: NOT ({label}))) = 0"
     each = f"list_sort(list_transform(parts, lambda p: {_PLAIN.format(cut)} || chr(31) || {_PLAIN.format(rest)}))"
     return (
         f"SELECT id, CASE WHEN len(parts) >= 4 AND {wholly} THEN 'fields' || chr(30) || array_to_string({each}, chr(30)) END AS k "
