@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from tests.conftest import rows, union_find
 from twinsieve.functions.grams import gram_set
 from twinsieve.llm import chunks, consolidate, formatting, grams, neardup, survivor
-from twinsieve.runtime import new_path
+from twinsieve.runtime import names_in, new_path
 
 CORPUS = (
     "id string, content string, content_len int, filename string, is_parent boolean, loaded_at timestamp, "
@@ -110,13 +110,19 @@ def test_accepted_duplicates_of_shuffled_clauses(spark):
     assert len(want) == 100 and len(got) == len(set(got)) and set(got) == want
 
 
-def test_parities_bound_the_difference():
+def test_sketches_follow_the_similarity():
     rng = random.Random(6)
+    text = prose(rng)
     for edits in (0, 3, 30, 130):
-        text = prose(rng)
         a, b = gram_set(text), gram_set(edited(rng, text, edits))
-        x, y = (chunks.parity_words(g).view(np.uint64) for g in (a, b))
-        assert sum(bin(int(i) ^ int(j)).count("1") for i, j in zip(x, y)) <= len(np.setxor1d(a, b))
+        x, y = chunks.sketch([a, b])
+        used = (x != chunks.EMPTY) | (y != chunks.EMPTY)
+        assert abs((x == y)[used].mean() - grams.jaccard(a, b)) < 0.12
+        keys, held = chunks.sketch_bands(np.stack([x, y]))
+        assert edits or (keys[0] == keys[1]).all() and held.all()
+    # a text of one sequence fills few bands, the empty one none
+    _, held = chunks.sketch_bands(chunks.sketch([gram_set("aaaa"), gram_set("")]))
+    assert 1 <= held[0].sum() <= chunks.FUNCTIONS and not held[1].any()
 
 
 def test_empty_tables(spark):
@@ -131,15 +137,49 @@ def test_empty_tables(spark):
 def test_chunk_index_grows_by_batches(spark):
     rng = random.Random(8)
     texts = [prose(rng) for _ in range(12)]
-    frame = lambda part: grams.comparable(corpus(spark, part)).groupBy("key").agg({"plain": "first"}).withColumnRenamed("first(plain)", "plain")
-    index = chunks.ChunkIndex(spark, new_path(spark, "index"))
-    new = frame([("n", edited(rng, texts[3], 3), None), ("m", edited(rng, texts[9], 3), None)])
+    frame = lambda part: chunks.distinct_texts(grams.comparable(corpus(spark, part)))
+    folder = new_path(spark, "index")
+    index = chunks.ChunkIndex(spark, folder, slots=4)
+    new = frame([("n", edited(rng, texts[3], 3), None), ("m", edited(rng, texts[9], 3), None), ("s", texts[2], None), ("q", "?!" * 300, None)])
     assert index.probe(new).count() == 0
     index.append("b1", frame([(str(i), t, True) for i, t in enumerate(texts[:6])]))
-    assert index.probe(new).count() == 1
-    index.append("b2", frame([(str(i), t, True) for i, t in enumerate(texts[6:])]))
-    index.append("b2", frame([(str(i), t, True) for i, t in enumerate(texts[6:])]))  # again
-    assert index.probe(new).count() == 2 and [n.split("~")[1] for n in index.batches()] == ["b1", "b2"]
+    assert index.probe(new).count() == 2  # the edited and the same text
+    index.append("b2", frame([(str(i), t, True) for i, t in enumerate([*texts[4:], "?!" * 300])]))
+    index.append("b2", frame([(str(i), t, True) for i, t in enumerate([*texts[4:], "?!" * 300])]))  # again
+    assert index.probe(new).count() == 4 and index.batches() == ["b1", "b2"]
+    assert index._read("records").count() == 13  # texts that were there are not kept twice
+    before = rows(index.probe(new))
+    index.compact("all")
+    assert chunks.ChunkIndex(spark, folder).slots == 4 and index.batches() == ["all"]
+    assert rows(index.probe(new)) == before and len(names_in(spark, f"{folder}/data")) == 1
+
+
+def test_a_failed_append_leaves_the_index_as_it_was(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = [prose(rng) for _ in range(3)]
+    frame = lambda part: chunks.distinct_texts(grams.comparable(corpus(spark, part)))
+    folder = new_path(spark, "index")
+    index = chunks.ChunkIndex(spark, folder, slots=2)
+    index.append("b1", frame([("1", texts[0], True)]))
+    with monkeypatch.context() as m:
+        m.setattr(chunks.Ledger, "add", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            index.append("b1", frame([("2", texts[1], True)]))
+    assert index.probe(frame([("n", texts[0], None), ("m", texts[1], None)])).count() == 1
+    # a checked batch is accepted, but for what had a partner
+    near = chunks.check_batch(index, "b2", grams.comparable(corpus(spark, [("n", edited(rng, texts[0], 2), None), ("m", texts[2], None)])))
+    assert near.count() == 1 and index._read("records").count() == 2
+
+
+def test_hot_chunks_are_split(spark, monkeypatch):
+    """A passage that most records hold is split over shards and loses nothing."""
+    monkeypatch.setattr(chunks, "HOT_ROWS", 5)
+    rng = random.Random(10)
+    shared = prose(rng, 120)
+    data = [(f"o{k:02}", shared + " " + prose(rng, 12), True) for k in range(30)] + [(f"n{k}", shared + " " + prose(rng, 12), None) for k in range(4)]
+    want = {(a, b) for a, b, p, q in brute_pairs(data) if {p, q} == {None, True}}
+    got = rows(chunks.accepted_duplicates(corpus(spark, data)))
+    assert set(got) == want and len(want) == 120
 
 
 def test_chunks_cover_the_text_and_survive_edits():

@@ -1,31 +1,30 @@
 """New batches against all accepted records, by content-defined chunking.
 
-A rolling hash over the last three characters of the plain text sets a boundary about every 8
+A rolling hash over the last three characters of the plain text sets a boundary about every 12
 characters, so an insertion only changes the chunks around it. A chunk is one 64-bit number: 51 bits
-of its hash and, in the low 13, its length in bytes. :class:`ChunkIndex` keeps three tables under a
-folder, one directory for each accepted batch: ``chunks`` (chunk, no, grams, size), ``parities`` (no, grams, w0..w15)
-and ``records`` (no, key, plain). A record is its batch's ordinal and its number ``no`` there. Appending a batch writes only that batch;
-appending it again replaces it under the same ordinal.
+of its hash and, in the low 13, its length in bytes. :class:`ChunkIndex` keeps what was accepted, batch by batch, in
+tables divided into "slots", so that a probe reads only the slots that it needs: ``chunks`` by chunk, ``bands`` by band,
+``records`` by key. A batch counts once a ledger names its folder, which is one atomic step; appending it again
+replaces it, and ``compact`` merges all batches.
 
 Chunks of both sides are ranked alike, rarest first, by their number in history. A record takes part with its
 rarest chunks until those left over hold less than ``UNSEEN`` of its bytes, and shared bytes are summed for
 each pair of a new and an accepted record. The common chunks that one of both leaves out come last in the
 ranking and hold less than ``UNSEEN`` of the larger one's bytes; so a pair whose chunks cover ``COVERAGE`` of them still
 shares the difference, and nothing that reaches the coverage is lost, while chunks that most records
-hold (page chrome) are not joined. Pairs whose numbers of distinct 3-character sequences already exclude the wanted
-similarity are dropped in the join.
-
-Coverage does not follow from similarity: where short clauses change places, few chunks stay whole. So pairs also come
-by a bound that the similarity implies. Each of a record's distinct 3-character sequences turns over one of ``BITS``
-bits; bits that differ between two records cannot be more than the sequences that only one of them has, and at
-similarity s those are at most (1 - s) / (1 + s) of both numbers together. Every pair of fitting size is held
-against this bound, so no pair is lost, whatever its coverage; the work grows with the product of both sides.
-What either way leaves is compared exactly.
+hold (page chrome) are not joined. Chunks that many records hold are split over tasks. Pairs whose numbers of distinct
+3-character sequences already exclude the wanted similarity are dropped in the join.
+
+Coverage does not follow from similarity: where short clauses change places, few chunks stay whole. For those pairs
+the index also keeps a sketch of each record: ``FUNCTIONS`` universal hash functions part its 3-character sequences
+into ``BINS`` bins and keep the least value of each; ``ROWS`` bins are one band, and a pair that shares a band is a
+candidate too. A pair of similarity s below the coverage is missed with probability (1 - s^7)^36: 9e-5 at 0.81,
+2e-6 at 0.85, 5e-11 at 0.9. Candidates whose lowest bits of these values exclude the similarity (by five standard
+deviations) are dropped, and the rest are compared exactly.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -36,24 +35,23 @@ from pyspark.sql import functions as F
 
 from twinsieve.functions.grams import gram_set
 from twinsieve.llm.grams import SIMILAR, comparable, similarities
-from twinsieve.runtime import filesystem, materialize, new_path
-
-AVERAGE, WINDOW, LONGEST = 8, 3, 1024
-COVERAGE, UNSEEN = 0.18, 0.12
-LENGTH_BITS = 13  # 1024 characters have at most 4096 bytes
-BITS, SHARDS = 1024, 8
-PARITY = [f"w{i}" for i in range(BITS // 64)]
+from twinsieve.operators.ledger import Ledger
+from twinsieve.operators.skew import HOT_ROWS, hot_keys, pairs_within
+from twinsieve.runtime import materialize, new_path, remove
+
+AVERAGE, WINDOW, LONGEST = 12, 3, 48
+COVERAGE, UNSEEN = 0.3, 0.2
+LENGTH_BITS = 13
+FUNCTIONS, BINS, ROWS, SEED = 4, 63, 7, 20240607
+EMPTY = np.uint64(1 << 32)  # a bin without a sequence
+WORDS = [f"w{i}" for i in range(4)]  # 256 bits hold the lowest ones of all values
+SLOTS = 16
 
 _WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 2**64)
 
 
-def fs_exists(spark: SparkSession, path: str) -> bool:
-    fs, at = filesystem(spark, path)
-    return fs.exists(at)
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -91,39 +89,74 @@ def chunk_numbers(text: str) -> np.ndarray:
     return np.unique(((digest & ~low) | (size[ends] - size[starts]).astype(np.uint64)).view(np.int64))
 
 
-def parity_words(grams: np.ndarray) -> np.ndarray:
-    """``BITS`` bits, each turned over once by every sequence that falls on it."""
-    turned = np.bincount((_mix(grams) % np.uint64(BITS)).astype(np.int64), minlength=BITS)
-    return np.packbits((turned & 1).astype(np.uint8)).view(np.int64)
+def sketch(sets: list[np.ndarray]) -> np.ndarray:
+    """``len(sets) x (FUNCTIONS * BINS)`` least values, ``EMPTY`` where a bin has no sequence."""
+    rng = np.random.default_rng(SEED)
+    a = rng.integers(0, 2**63, FUNCTIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    b = rng.integers(0, 2**63, FUNCTIONS, dtype=np.uint64)
+    width = FUNCTIONS * BINS
+    out = np.full(len(sets) * width, EMPTY, np.uint64)
+    if sets:
+        every = _mix(np.concatenate(sets))
+        row = np.repeat(np.arange(len(sets), dtype=np.int64) * width, [len(s) for s in sets])
+        for k in range(FUNCTIONS):
+            h = _mix(every * a[k] + b[k])
+            bins = (h % np.uint64(BINS)).astype(np.int64) + k * BINS
+            np.minimum.at(out, row + bins, h >> np.uint64(32))
+    return out.reshape(len(sets), width)
+
+
+def sketch_bands(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys, with the band's number in them, and which of them hold any sequence."""
+    cut = values.reshape(len(values), -1, ROWS)
+    key = np.broadcast_to(np.arange(1, cut.shape[1] + 1, dtype=np.uint64), cut.shape[:2])
+    for r in range(ROWS):
+        key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + cut[:, :, r])
+    return key.view(np.int64), (cut != EMPTY).any(axis=2)
+
+
+def sketch_words(values: np.ndarray) -> np.ndarray:
+    """The lowest bit of every value."""
+    bits = np.zeros((len(values), 64 * len(WORDS)), np.uint8)
+    bits[:, : values.shape[1]] = values & np.uint64(1)
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.append(0, np.cumsum([len(x) for x in parts])).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*parts, np.empty(0, np.int64)])))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column("plain").to_pylist()
-        chunks = [chunk_numbers(t) for t in texts]
-        offsets = np.append(0, np.cumsum([len(x) for x in chunks])).astype(np.int32)
-        flat = np.concatenate(chunks) if chunks else np.empty(0, np.int64)
-        totals = [int((x & ((1 << LENGTH_BITS) - 1)).sum()) for x in chunks]
-        grams = [gram_set(t) for t in texts]
-        words = np.array([parity_words(g) for g in grams], np.int64).reshape(len(texts), len(PARITY))
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("key"),
-                batch.column("plain"),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
-                pa.array(totals, pa.int32()),
-                pa.array([len(g) for g in grams], pa.int32()),
-                *(pa.array(words[:, i]) for i in range(len(PARITY))),
-            ],
-            names=["key", "plain", "chunks", "total", "grams", *PARITY],
-        )
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1000):
+            batch = whole.slice(at, 1000)
+            texts = batch.column("plain").to_pylist()
+            chunks = [chunk_numbers(t) for t in texts]
+            grams = [gram_set(t) for t in texts]
+            values = sketch(grams)
+            keys, held = sketch_bands(values)
+            words = sketch_words(values)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("key"),
+                    batch.column("plain"),
+                    _lists(chunks),
+                    pa.array([int((x & ((1 << LENGTH_BITS) - 1)).sum()) for x in chunks], pa.int32()),
+                    pa.array([len(g) for g in grams], pa.int32()),
+                    _lists([k[h] for k, h in zip(keys, held)]),
+                    *(pa.array(words[:, i]) for i in range(len(WORDS))),
+                ],
+                names=["key", "plain", "chunks", "size", "grams", "bands", *WORDS],
+            )
 
 
 def cut_records(texts: DataFrame) -> DataFrame:
-    """``no, key, plain, chunks, total, grams, w0..w15`` of distinct texts (``key, plain``), written."""
-    schema = "key binary, plain string, chunks array<bigint>, total int, grams int, " + ", ".join(f"{w} bigint" for w in PARITY)
-    cut = texts.mapInArrow(_cut, schema)
-    return materialize(cut.where("total > 0").withColumn("no", F.monotonically_increasing_id()), "cut")
+    """``no, key, plain, chunks, size, grams, bands, w0..`` of distinct texts (``key, plain``), written.
+    Texts without any letter have neither chunks nor bands."""
+    schema = "key binary, plain string, chunks array<bigint>, size int, grams int, bands array<bigint>, "
+    cut = texts.select("key", "plain").mapInArrow(_cut, schema + ", ".join(f"{w} bigint" for w in WORDS))
+    return materialize(cut.withColumn("no", F.monotonically_increasing_id()), "cut")
 
 
 def rarest(rows: DataFrame, *record: str) -> DataFrame:
@@ -136,100 +169,148 @@ def rarest(rows: DataFrame, *record: str) -> DataFrame:
 
 
 class ChunkIndex:
-    """The persistent chunk-to-record table of everything accepted so far."""
+    """The persistent chunk-to-record table of everything accepted so far.
+
+    ``slots`` is the number of parts of each table; at the first batch it is fixed for the index.
+    """
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, slots: int | None = None):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self.ledger = Ledger(spark, f"{self.folder}/batches")
+        known = self._records()
+        self.slots = known[0][1]["slots"] if known else slots or max(SLOTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def _records(self) -> list[tuple[int, dict]]:
+        """Ledger records that count: the last of each batch, without those that a compaction replaced."""
+        found = self.ledger.records()
+        last = {r["batch"]: n for n, r in found}
+        gone = {g for _, r in found for g in r["replaces"]}
+        return [(n, r) for n, r in found if last[r["batch"]] == n and n not in gone]
 
     def batches(self) -> list[str]:
-        """Directories ``ordinal~name`` of whole batches."""
-        # a batch counts once its last table was written whole
-        return [n for n in self._started() if fs_exists(self.spark, f"{self.folder}/{n}/records/_SUCCESS")]
+        return [r["batch"] for _, r in self._records()]
 
-    def _started(self) -> list[str]:
-        fs, at = filesystem(self.spark, self.folder)
-        return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+    def _slot(self, c: str) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(self.slots)).cast("int")
 
-    def _read(self, table: str) -> DataFrame | None:
+    def _slots_of(self, rows: DataFrame, slot: Column) -> list[int]:
+        return [r[0] for r in rows.select(slot.alias("s")).distinct().collect()]  # at most `slots` numbers
+
+    def _read(self, table: str, slots: list[int] | None = None) -> DataFrame | None:
+        kinds = {
+            "chunks": "chunk bigint, no bigint, at int, grams int, size int",
+            "bands": "band bigint, no bigint, at int, grams int",
+            "records": "no bigint, key binary, plain string, " + ", ".join(f"{w} bigint" for w in WORDS),
+        }
         parts = [
-            self.spark.read.parquet(f"{self.folder}/{n}/{table}").withColumn("batch", F.lit(int(n.split("~")[0])))
-            for n in self.batches()
+            self.spark.read.schema(f"{kinds[table]}, slot int").parquet(f"{self.folder}/data/{r['folder']}/{table}").withColumn("batch", F.lit(n))
+            for n, r in self._records()
         ]
-        return reduce(DataFrame.unionByName, parts) if parts else None
+        if not parts:
+            return None
+        whole = reduce(DataFrame.unionByName, parts)
+        return whole if slots is None else whole.where(F.col("slot").isin(slots))
 
     def append(self, batch: str, texts: DataFrame) -> None:
-        """Accept a batch of distinct texts (``key, plain``)."""
-        started = self._started()
-        same = [n for n in started if n.split("~", 1)[1] == batch]
-        last = int(started[-1].split("~")[0]) if started else -1
-        path = f"{self.folder}/{same[0] if same else f'{last + 1:09d}~{batch}'}"
-        fs, at = filesystem(self.spark, path)
-        fs.delete(at, True)
-        cut = cut_records(texts).withColumnRenamed("total", "size")
-        write = lambda df, name: df.write.option("compression", "zstd").parquet(f"{path}/{name}")
-        write(cut.select(F.explode("chunks").alias("chunk"), "no", "grams", "size"), "chunks")
-        write(cut.select("no", "grams", *PARITY), "parities")
-        write(cut.select("no", "key", "plain"), "records")
+        """Accept a batch of distinct texts (``key, plain``); texts that the index holds are not kept twice."""
+        self._append(batch, cut_records(texts))
+
+    def _append(self, batch: str, cut: DataFrame, replaces: tuple[int, ...] = (), all_new: bool = False) -> None:
+        held = self._records()
+        others = [r for n, r in held if r["batch"] != batch and n not in replaces]
+        if others and not all_new:
+            keys = self._read("records", self._slots_of(cut, self._slot("key")))
+            keys = keys.where(F.col("batch").isin([n for n, r in held if r in others])).select("key")
+            cut = materialize(cut.join(keys, "key", "left_anti"), "fresh")
+        number = self.ledger.last()[0] + 1
+        folder = new_path(self.spark, "b").rsplit("/", 1)[1]
+        cut = cut.withColumn("at", self._slot("key"))
+
+        def write(df: DataFrame, table: str, slot: Column) -> None:
+            rows = df.withColumn("slot", slot).repartition("slot")
+            rows.write.option("compression", "zstd").partitionBy("slot").parquet(f"{self.folder}/data/{folder}/{table}")
+
+        write(cut.select(F.explode("chunks").alias("chunk"), "no", "at", "grams", "size"), "chunks", self._slot("chunk"))
+        write(cut.select(F.explode("bands").alias("band"), "no", "at", "grams"), "bands", self._slot("band"))
+        write(cut.select("no", "key", "plain", *WORDS, "at"), "records", F.col("at"))
+        self.ledger.add(number, {"batch": batch, "folder": folder, "slots": self.slots, "replaces": list(replaces)})
+        for n, r in held:  # what no reader that starts now will name
+            if r["batch"] == batch or n in replaces:
+                remove(self.spark, f"{self.folder}/data/{r['folder']}")
+
+    def compact(self, batch: str) -> None:
+        """Merge all batches into one of this name."""
+        known = self._read("records")
+        if known is not None:
+            self._append(batch, cut_records(known), tuple(n for n, _ in self._records()))
 
     def probe(self, texts: DataFrame, similarity: float = SIMILAR) -> DataFrame:
-        """``key_a, key_b, similarity`` of new texts (``key, plain``) and accepted ones, keys differing."""
-        known, kept = self._read("chunks"), self._read("records")
-        if known is None:
-            return texts.limit(0).select(
-                F.col("key").alias("key_a"), F.col("key").alias("key_b"), F.lit(0.0).alias("similarity")
-            )
-        new = cut_records(texts)
-        mine = new.select("no", F.explode("chunks").alias("chunk"), F.col("total").alias("size"), "grams")
-        # one scan of history's chunks, cut to those of the new batch; a small batch is broadcast at run time
+        """``key_a, key_b, similarity`` of new texts (``key, plain``) and accepted ones, written; equal texts too."""
+        return self._probe(cut_records(texts), similarity)
+
+    def _probe(self, new: DataFrame, similarity: float) -> DataFrame:
+        if not self._records():
+            return new.limit(0).select(F.col("key").alias("key_a"), F.col("key").alias("key_b"), F.lit(0.0).alias("similarity"))
+        found = materialize(self._by_chunks(new, similarity).union(self._by_bands(new, similarity)).distinct(), "candidates")
+        slots = self._slots_of(found, F.col("at"))
+        kept = self._read("records", slots)
+        side = lambda df, s, *more: df.select(*more, *(F.col(w).alias(f"{s}_{w}") for w in WORDS))
+        met = found.join(side(kept, "b", "batch", F.col("no").alias("b"), F.col("key").alias("key_b")), ["batch", "b"])
+        met = met.join(side(new, "a", F.col("no").alias("a"), F.col("key").alias("key_a")), "a")
+        n = FUNCTIONS * BINS
+        differing = reduce(Column.__add__, [F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in WORDS])
+        expected = (1 - similarity) / 2
+        most = n * expected + 5 * (n * expected * (1 - expected)) ** 0.5
+        likely = met.where((F.col("key_a") == F.col("key_b")) | (differing <= most)).select("a", "batch", "b", "key_a", "key_b")
+        likely = materialize(likely, "likely")
+        both = likely.where("key_a <> key_b").join(kept.select("batch", F.col("no").alias("b"), F.col("plain").alias("pb")), ["batch", "b"])
+        near = compare(both.join(new.select(F.col("no").alias("a"), F.col("plain").alias("pa")), "a"), similarity)
+        # texts without any letter have no chunks; they pair by their key alone
+        bare = new.where("size = 0").select("key")
+        bare = bare.join(self._read("records").where("plain = ''").select("key"), "key", "left_semi")
+        same = likely.where("key_a = key_b").select("key_a").union(bare).distinct()
+        return materialize(near.union(same.select("key_a", F.col("key_a").alias("key_b"), F.lit(1.0).alias("similarity"))), "near")
+
+    def _by_chunks(self, new: DataFrame, similarity: float) -> DataFrame:
+        """``a, batch, b, at`` of pairs whose chunks may cover ``COVERAGE`` of the larger record."""
+        mine = new.select("no", F.explode("chunks").alias("chunk"), "size", "grams")
+        # one scan of the slots that hold chunks of the batch, cut to those chunks; a small batch is broadcast at run time
+        known = self._read("chunks", self._slots_of(mine, self._slot("chunk")))
         known = known.join(mine.select("chunk").distinct(), "chunk", "left_semi")
-        known = materialize(known.select("chunk", "batch", "no", "grams", "size"), "met")
+        known = materialize(known.select("chunk", "batch", "no", "at", "grams", "size"), "met")
         spread = known.groupBy("chunk").agg(F.count("*").alias("df"))
+        shards = F.ceil(F.col("df") / HOT_ROWS).cast("int")
         probes = rarest(mine.join(spread, "chunk"), "no").select(
-            "chunk", F.col("no").alias("a"), F.col("bytes"), F.col("size").alias("total"), F.col("grams").alias("g")
-        )
+            "chunk", F.col("no").alias("a"), "bytes", F.col("size").alias("total"), F.col("grams").alias("g"),
+            F.pmod(F.xxhash64("no"), shards).cast("int").alias("shard"),
+        )
         met = rarest(known.join(spread, "chunk"), "batch", "no").select(
-            "chunk", "batch", F.col("no").alias("b"), F.col("grams").alias("h"), "size"
-        )
-        possible = (F.col("g") >= similarity * F.col("h")) & (F.col("h") >= similarity * F.col("g"))
-        shared = (
-            probes.join(met, "chunk")
-            .where(possible)
+            "chunk", "batch", F.col("no").alias("b"), "at", F.col("grams").alias("h"), "size",
+            F.explode(F.sequence(F.lit(0), shards - 1)).alias("shard"),
+        )
+        return (
+            probes.join(met, ["chunk", "shard"])
+            .where(possible("g", "h", similarity))
             # one number a row: the chunk's share of the larger record
-            .select("a", "batch", "b", (F.col("bytes") / F.greatest("total", "size")).alias("share"))
-            .groupBy("a", "batch", "b")
+            .select("a", "batch", "b", "at", (F.col("bytes") / F.greatest("total", "size")).alias("share"))
+            .groupBy("a", "batch", "b", "at")
             .agg(F.sum("share").alias("share"))
             .where(F.col("share") >= COVERAGE - UNSEEN - 1e-9)
-            .select("a", "batch", "b")
+            .select("a", "batch", "b", "at")
         )
-        candidates = shared.union(self._within_bound(new, similarity)).distinct()
-        both = candidates.join(kept.select("batch", F.col("no").alias("b"), F.col("key").alias("key_b"), F.col("plain").alias("pb")), ["batch", "b"])
-        both = both.join(new.select(F.col("no").alias("a"), F.col("key").alias("key_a"), F.col("plain").alias("pa")), "a")
-        return compare(both.where("key_a <> key_b"), similarity)
-
-    def _within_bound(self, new: DataFrame, similarity: float) -> DataFrame:
-        """``a, batch, b`` of all pairs whose parities and numbers of sequences allow the similarity.
-
-        Numbers of sequences fall into classes so wide that those of a pair are at most two classes apart.
-        """
-        wide = -math.log(min(similarity, 0.99)) / 1.999  # a little wider than half the largest distance
-        sizes = F.floor(F.log(F.col("grams").cast("double")) / F.lit(wide)).cast("int")
-        mine = new.select(
-            F.col("no").alias("a"), F.col("grams").alias("g"), *(F.col(w).alias(f"a_{w}") for w in PARITY),
-            F.pmod(F.xxhash64("no"), F.lit(SHARDS)).cast("int").alias("shard"),
-            F.explode(F.sequence(sizes - 2, sizes + 2)).alias("sizes"),
-        )
-        theirs = self._read("parities").select(
-            "batch", F.col("no").alias("b"), F.col("grams").alias("h"), *(F.col(w).alias(f"b_{w}") for w in PARITY),
-            sizes.alias("sizes"), F.explode(F.array(*(F.lit(k) for k in range(SHARDS)))).alias("shard"),
-        )
-        # the tables are small and the work is not: a fixed number of partitions, which are not merged at run time
-        parts = 4 * self.spark.sparkContext.defaultParallelism
-        pairs = mine.repartition(parts, "sizes", "shard").join(theirs.repartition(parts, "sizes", "shard"), ["sizes", "shard"])
-        most = (F.col("g") + F.col("h")) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6
-        differing = [F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in PARITY]
-        fits = (F.col("g") >= similarity * F.col("h") - 1e-6) & (F.col("h") >= similarity * F.col("g") - 1e-6)
-        half = len(PARITY) // 2  # decides most pairs
-        return pairs.where(fits & (reduce(Column.__add__, differing[:half]) <= most) & (reduce(Column.__add__, differing) <= most)).select("a", "batch", "b")
+
+    def _by_bands(self, new: DataFrame, similarity: float) -> DataFrame:
+        """``a, batch, b, at`` of pairs that share a band, for those whose chunks cover too little."""
+        mine = new.select(F.col("no").alias("a"), F.explode("bands").alias("band"), F.col("grams").alias("g"))
+        known = self._read("bands", self._slots_of(mine, self._slot("band")))
+        known = known.select("band", "batch", F.col("no").alias("b"), "at", F.col("grams").alias("h"))
+        met = pairs_within(mine, known, "band", F.col("a"), hot_keys(known, "band"))
+        return met.where(possible("g", "h", similarity)).select("a", "batch", "b", "at")
+
+
+def possible(g: str, h: str, similarity: float) -> Column:
+    """Whether sets of these sizes can be so similar."""
+    return (F.col(g) >= similarity * F.col(h) - 1e-6) & (F.col(h) >= similarity * F.col(g) - 1e-6)
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,22 +327,36 @@ def compare(pairs: DataFrame, threshold: float) -> DataFrame:
     return out.where(F.col("similarity") >= threshold)
 
 
-def accepted_duplicates(corpus: DataFrame, folder: str | None = None) -> DataFrame:
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    return docs.groupBy("key").agg(F.first("plain").alias("plain"))
+
+
+def check_batch(index: ChunkIndex, batch: str, docs: DataFrame, similarity: float = SIMILAR) -> DataFrame:
+    """``key_a, key_b, similarity`` of a batch (``key, plain`` and more, from ``comparable``) against all that was
+    accepted before; then its texts that have no such pair are accepted too."""
+    cut = cut_records(distinct_texts(docs))
+    near = index._probe(cut, similarity)
+    accepted = cut.join(near.select(F.col("key_a").alias("key")).distinct(), "key", "left_anti")
+    index._append(batch, materialize(accepted, "accepted"), all_new=True)
+    return near
+
+
+def accepted_duplicates(corpus: DataFrame, folder: str | None = None, parts: int = 2) -> DataFrame:
     """``id_a, id_b``: unprocessed records (is_parent null) with the accepted ones (is_parent true) that
     are the same text or at least 0.8 similar, the smaller id first.
 
-    Contents of at most 500 UTF-8 bytes and null contents take no part; copies are collapsed before
-    the chunking and come out again as pairs. ``folder`` is the index's place; by default a new one.
+    Accepted records come into the index in ``parts`` batches, as they would over time; the unprocessed ones are
+    one more batch, checked against them, of which the texts without such a pair are accepted. Contents of at most 500
+    UTF-8 bytes and null contents take no part; copies are collapsed before the chunking and come out again as
+    pairs. ``folder`` is the index's place; by default a new one.
     """
     spark = corpus.sparkSession
     index = ChunkIndex(spark, folder or new_path(spark, "chunk-index"))
     docs = materialize(comparable(corpus.where("is_parent is null or is_parent"), "is_parent"), "docs")
     new, old = docs.where("is_parent is null"), docs.where("is_parent")
-    distinct = lambda d: d.groupBy("key").agg(F.first("plain").alias("plain"))
-    index.append("accepted", distinct(old))
-    near = index.probe(distinct(new)).select("key_a", "key_b")
-    same = new.select("key").distinct().join(old.select("key").distinct(), "key", "left_semi")
-    linked = materialize(near.union(same.select(F.col("key").alias("key_a"), F.col("key").alias("key_b"))), "linked")
+    for part in range(parts):
+        index.append(f"accepted-{part}", distinct_texts(old.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == part)))
+    linked = check_batch(index, "unprocessed", new)
     return (
         linked.join(new.select(F.col("key").alias("key_a"), F.col("id").alias("ia")), "key_a")
         .join(old.select(F.col("key").alias("key_b"), F.col("id").alias("ib")), "key_b")
