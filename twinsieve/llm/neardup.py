@@ -7,7 +7,11 @@ Each band of minima becomes one 64-bit key; classes that share a key are candida
 of every minimum makes a one-bit signature, whose differing bits estimate the similarity; candidates
 far below the threshold are dropped by it, and the rest are compared exactly.
 
-A pair of similarity s is missed with probability (1 - s^ROWS)^BANDS: 1e-4 at 0.81, 1e-8 at 0.87.
+A pair of similarity s is missed with probability (1 - s^ROWS)^BANDS: 8e-9 at 0.81, 3e-12 at 0.85. Keys that many
+classes share are split over tasks.
+
+The operator's result is :func:`near_duplicates`: links between different texts, and the class of every document.
+:func:`near_duplicate_pairs` expands it to pairs of documents, which for n copies of a text are n (n - 1) / 2.
 """
 
 from __future__ import annotations
@@ -22,9 +26,10 @@ from pyspark.sql import functions as F
 from twinsieve.functions.grams import gram_set
 from twinsieve.llm.grams import SIMILAR, comparable, exact_pairs
 from twinsieve.operators.graph import connected_components
+from twinsieve.operators.skew import hot_keys, pairs_within
 from twinsieve.runtime import materialize
 
-BANDS, ROWS, SEED = 56, 9, 20240229
+BANDS, ROWS, SEED = 72, 7, 20240229
 WORDS = 8  # 64-bit words of the one-bit signature; 512 bits hold the 504 minima
 #: Differing bits of 504 at similarity s are about 252 (1 - s) with a deviation of at most 7 at 0.8.
 SLACK_BITS = 36
@@ -126,7 +131,7 @@ def class_pairs(classes: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     """``a, b, similarity`` of different texts at or above the threshold, ``a < b``, written."""
     keys = classes.select("no", F.explode("bands").alias("band"))
     left, right = keys.withColumnRenamed("no", "a"), keys.withColumnRenamed("no", "b")
-    pairs = left.join(right, "band").where("a < b").select("a", "b").distinct()
+    pairs = pairs_within(left, right, "band", F.col("a"), hot_keys(keys, "band")).where("a < b").select("a", "b").distinct()
     words = [f"w{i}" for i in range(WORDS)]
     sa = classes.select(F.col("no").alias("a"), *(F.col(w).alias("a" + w[1:]) for w in words))
     sb = classes.select(F.col("no").alias("b"), *(F.col(w).alias("b" + w[1:]) for w in words))
@@ -135,56 +140,57 @@ def class_pairs(classes: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     return materialize(exact_pairs(likely, classes.select("no", "plain"), threshold), "pairs")
 
 
-def _members(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    return docs.select("id", "key").join(classes.select("key", "no"), "key").select("id", "no")
+def near_duplicates(corpus: DataFrame, threshold: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
+    """``members, links``: ``id, key, no`` of all documents above 500 bytes, and ``a, b, similarity`` of the
+    different texts (by ``no``) at or above the threshold. Documents of one ``key`` are the same text.
+
+    Null contents and contents of at most 500 UTF-8 bytes take no part. Contents without letter or
+    digit have no ``no`` and equal only identical ones. Very long texts are compared whole.
+    """
+    docs = materialize(comparable(corpus), "docs")
+    classes = sign_classes(docs)
+    links = class_pairs(classes, threshold)
+    return docs.select("id", "key").join(classes.select("key", "no"), "key", "left").select("id", "key", "no"), links
 
 
-def same_text_pairs(docs: DataFrame) -> DataFrame:
-    """Pairs of documents with one key; keys of one document are left out before the join."""
-    several = docs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    mine = docs.select("id", "key").join(several, "key", "left_semi")
+def same_text_pairs(members: DataFrame) -> DataFrame:
+    """Pairs of documents with one key; keys of one document are left out before the join, those of many split."""
+    several = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    mine = members.select("id", "key").join(several, "key", "left_semi")
     a, b = mine.withColumnRenamed("id", "id_a"), mine.withColumnRenamed("id", "id_b")
-    return a.join(b, "key").where("id_a < id_b").select("id_a", "id_b")
+    return pairs_within(a, b, "key", F.col("id_a"), hot_keys(mine, "key")).where("id_a < id_b").select("id_a", "id_b")
 
 
 def near_duplicate_pairs(corpus: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     """``id_a, id_b``: all pairs of documents above 500 bytes with similarity at or above the threshold.
 
-    Null contents and contents of at most 500 UTF-8 bytes take no part. Contents without letter or
-    digit pair only with identical ones. Ids are expected to be unique; a repeated row of one id gives
-    no pair with itself. Very long texts are compared whole. An empty table gives no row.
+    What takes part is said in :func:`near_duplicates`. Ids are expected to be unique; a repeated row of one
+    id gives no pair with itself. An empty table gives no row.
     """
-    docs = materialize(comparable(corpus), "docs")
-    classes = sign_classes(docs)
-    near = class_pairs(classes, threshold)
-    members = _members(docs, classes)
+    members, links = near_duplicates(corpus, threshold)
+    members = materialize(members, "members")
+    classed = members.where("no is not null")
     crossed = (
-        near.join(members.select(F.col("no").alias("a"), F.col("id").alias("ia")), "a")
-        .join(members.select(F.col("no").alias("b"), F.col("id").alias("ib")), "b")
+        links.join(classed.select(F.col("no").alias("a"), F.col("id").alias("ia")), "a")
+        .join(classed.select(F.col("no").alias("b"), F.col("id").alias("ib")), "b")
         .where("ia <> ib")
         .select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"))
     )
-    return crossed.union(same_text_pairs(docs)).distinct()
+    return crossed.union(same_text_pairs(members)).distinct()
 
 
 def near_duplicate_groups(corpus: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     """``id, group_id, n_links``: the group of every comparable document and the number of different
     texts its own text is linked to. ``group_id`` is the smallest id of the group; documents of one
     text share a class, so a group of copies has no links. Nulls and short texts as in the pairs."""
-    docs = materialize(comparable(corpus), "docs")
-    classes = sign_classes(docs)
-    near = class_pairs(classes, threshold)
+    members, near = near_duplicates(corpus, threshold)
     roots = connected_components(near, "a", "b").select(F.col("node").alias("no"), "root")
     links = near.select(F.explode(F.array("a", "b")).alias("no")).groupBy("no").agg(F.count("*").alias("n_links"))
     tagged = (
-        docs.select("id", "key")
-        .join(classes.select("key", "no"), "key", "left")
-        .join(roots, "no", "left")
+        members.join(roots, "no", "left")
         .join(links, "no", "left")
-        .select("id", "n_links", F.coalesce(F.hex("key"), F.lit("")).alias("key"), F.coalesce("root", "no").alias("root"))
         # texts without any letter have no class; identical ones still share their key
-        .select("id", "n_links", F.coalesce(F.col("root").cast("string"), "key").alias("root"))
+        .select("id", "n_links", F.coalesce(F.coalesce("root", "no").cast("string"), F.hex("key")).alias("root"))
     )
     first = tagged.groupBy("root").agg(F.min("id").alias("group_id"))
     return tagged.join(first, "root").select("id", "group_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")).distinct()
-

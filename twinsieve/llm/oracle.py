@@ -61,6 +61,14 @@ kept AS (SELECT k, min(id) AS keep_id, count(*) AS copies FROM canon GROUP BY k)
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": _SIMILAR + "SELECT id_a, id_b FROM pairs",
+        "p2_groups": _SIMILAR.replace("WITH t AS", "WITH RECURSIVE t AS", 1)[:-1]
+        + r""",
+ends AS (SELECT id, coalesce(nullif(n, ''), chr(0) || content) AS text FROM t),
+near AS (SELECT id_a AS u, id_b AS v FROM pairs UNION SELECT id_b, id_a FROM pairs UNION SELECT id, id FROM t),
+reach(id, other) AS (SELECT u, v FROM near UNION SELECT reach.id, near.v FROM reach JOIN near ON reach.other = near.u),
+grp AS (SELECT id, min(other) AS group_id FROM reach GROUP BY id),
+linked AS (SELECT u AS id, count(DISTINCT b.text) AS n_links FROM near JOIN ends a ON a.id = u JOIN ends b ON b.id = v WHERE a.text <> b.text GROUP BY u)
+SELECT id, group_id, coalesce(n_links, 0) AS n_links FROM grp LEFT JOIN linked USING (id)""",
         "p3_found": _GROUPS + "SELECT id, group_id FROM grp",
         "p4_found": _CANON + "SELECT keep_id, id AS copy_id FROM canon JOIN kept USING (k) WHERE id <> keep_id",
         "p4_counts": _CANON + "SELECT keep_id, copies::BIGINT AS copies FROM kept",
