@@ -216,3 +216,21 @@ def test_spans_are_ordered_and_apart(text):
     assert all(0 <= a < b <= len(text) for _, a, b in spans)
     assert all(x[2] <= y[1] for x, y in zip(spans, spans[1:]))
     assert regex.sub(r"\[[A-Z]+\]", "", pii.redact(text, spans)).count("") >= 1
+
+
+def test_long_parts_are_found_whole():
+    finder = pii.Finder([("Anna", "given"), ("Berg", "family")])
+    street = "Sankt" + "a" * 60 + " Mühlen" + "b" * 60
+    text = f"He lives at 12 {street.title()} Street, write to {'x' * 90}@example.org; identity number is{' ' * 60}957-14-8498."
+    found = {k: text[a:b] for k, a, b in finder.find(text)}
+    assert found["address"] == f"12 {street.title()} Street"
+    assert found["email"] == "x" * 90 + "@example.org" and found["idno"] == "957-14-8498"
+    assert finder.find("identity number is 000000000") == []
+
+
+def test_long_texts_take_linear_time():
+    finder = pii.Finder([("Anna", "given"), ("Smith", "family")])
+    once = "Anna Smith lives at 12 Old Mill Street, call +1 415 555 0130 or mail a.b@c.org; Passport 957148498. "
+    assert len(finder.find(once * 3000)) == len(finder.find(once)) * 3000
+    for word in ("A", "street ", "a@", "1 ", "Smith ", "(", "Müllerstraße", "x of "):
+        finder.find(word * (300_000 // len(word)))

@@ -1,15 +1,21 @@
 """Personal information inside free text, by anchor expansion.
 
 One Aho-Corasick pass over a text finds anchors: at-signs and their spelled-out forms, cues of
-numbers, street words, cues of persons, and the known names. At every anchor a small deterministic parser
-expands to both sides, validates what it reads and gives a span with its kind. Number cues that
-name something else (an order, a form, a spare part) veto. Overlaps go to the kind listed first:
-email, idno, phone, address, name. Phones, and names that are the subject before
-"of <organisation>" or before Han text, have no anchors in the automaton: regular expressions scan each whole text for them.
+numbers, first signs of numbers, street words, cues of persons, and the known names. At every anchor a small
+deterministic parser expands to both sides as far as its form goes, validates what it reads and gives a span with its
+kind. Number cues that name something else (an order, a form, a spare part) veto. Overlaps go to the kind listed
+first: email, idno, phone, address, name. Names that are the subject before "of <organisation>" are found from the
+anchor " of "; only those before Han text have no word to begin from, and a regular expression finds these places.
+
+A text is worked through in time linear in its length: parsers read from their anchor outwards, addresses are looked
+for once in each stretch of words around street words, and spans that are taken are kept sorted. Check digits of
+identity numbers are not tested, as numbers with wrong ones are personal too; a number of one digit repeated is none.
 """
 
 from __future__ import annotations
 
+import sys
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
@@ -90,7 +96,7 @@ ORDINARY = frozenset(
 _B = r"[ \u00a0]"
 _LABEL = r"[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?"
 _DOT = rf"(?:\.|{_B}?[\[({{]dot[\])}}]{_B}?|{_B}dot{_B})"
-LOCAL = re.compile(r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_](?:[\p{L}\p{N}._%+'-]*[\p{L}\p{N}_])?$")
+LOCAL = re.compile(r"(?r)(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_](?:[\p{L}\p{N}._%+'-]*[\p{L}\p{N}_])?")  # backwards
 AT_HERE = re.compile(rf"{_B}?(?:[@＠]|[\[({{]at[\])}}]|&\#64;){_B}?|{_B}at{_B}", re.I)
 DOMAIN = re.compile(rf"{_LABEL}(?:{_DOT}{_LABEL})+", re.I)
 TOP = re.compile(r"[\p{L}]{2,24}$")
@@ -128,16 +134,15 @@ ADDRESSES = tuple(
         r"\p{Han}{2,8}(?:大道|路|街|巷|道)\d{1,4}(?:[-–]\d{1,4})?号?",
     )
 )
-GERMAN_CUE = re.compile(r"(?:\b(?:an|wohnt|in|at|to|en|:|habite)|[:,，]|寄往|住在)\s?$", re.I)
-
 _PART = rf"(?:(?i:von|van|de|del|della|di|da|du|des|der|den|la|le|los|las|zu|zum|bin|ibn|al|ter|ten){_B})"
 _INIT = r"\p{Lu}\."
 GIVEN_FAMILY = re.compile(rf"(?:{_W}|{_INIT})(?:{_B}{_INIT})*{_B}{_PART}{{0,2}}{_W}")
 FAMILY_GIVEN = re.compile(rf"{_PART}{{0,2}}{_W},{_B}(?:{_W}|{_INIT})(?:{_B}{_INIT})*")
 AFTER_GIVEN = re.compile(rf"(?:{_B}{_INIT})*{_B}{_PART}{{0,2}}(?P<f>{_W})")
 LOWER_AFTER = re.compile(rf"(?:{_B}\p{{L}}\.)*{_B}{_PART}{{0,2}}(?P<f>\p{{L}}+(?:['’-]\p{{L}}+)*)")
-BEFORE_FAMILY = re.compile(rf"(?P<g>{_W}|{_INIT})(?:{_B}{_INIT})*{_B}{_PART}{{0,2}}$")
-FAMILY_BEFORE = re.compile(rf"(?:(?<![\p{{L}}]){_PART}{{0,2}})(?P<f>{_W}),{_B}$")
+BEFORE_FAMILY = re.compile(rf"(?r)(?P<g>{_W}|{_INIT})(?:{_B}{_INIT})*{_B}{_PART}{{0,2}}")
+FAMILY_BEFORE = re.compile(rf"(?r)(?:(?<![\p{{L}}]){_PART}{{0,2}})(?P<f>{_W}),{_B}")
+HYPHENED, HYPHEN_BEFORE = re.compile(r"['’-]\p{L}+"), re.compile(r"(?r)\p{L}+['’-]")
 GIVEN_AFTER = re.compile(rf",{_B}(?P<g>{_W})(?:{_B}{_INIT})*")
 ORGANISATION = (
     r"(?:Institute|Archive|Trust|Guild|Agency|Works|Board|Cooperative|Union|Press|Lines|Laboratories|Laboratory|Partners"
@@ -149,12 +154,30 @@ ORGANISATION = (
 OF_ORGANISATION = re.compile(rf"{_B}of{_B}(?:{_W}{_B}(?:&{_B})?){{1,3}}{ORGANISATION}\b")
 BEFORE_HAN = re.compile(rf"(?<=\p{{Latin}}){_B}?(?=\p{{Han}})")
 SUBJECT = re.compile(
-    rf"(?<=^|[\n。]|[.!?。]{_B})(?:{_PART}{{0,2}}{_W},{_B}(?:{_W}|{_INIT})(?:{_B}{_INIT})*|(?:{_W}|{_INIT})(?:{_B}{_INIT})*{_B}{_PART}{{0,2}}{_W})$"
+    rf"(?r)(?<=^|[\n。]|[.!?。]{_B})(?:{_PART}{{0,2}}{_W},{_B}(?:{_W}|{_INIT})(?:{_B}{_INIT})*|(?:{_W}|{_INIT})(?:{_B}{_INIT})*{_B}{_PART}{{0,2}}{_W})"
 )
 NEXT_WORD = re.compile(rf"{_B}(?:&{_B})?([\p{{L}}]+)")
-LAST_WORD = re.compile(rf"([\p{{L}}.]+){_B}$")
 INITIAL_AFTER = re.compile(rf"(?:{_B}{_INIT})+")
-WORD_END = re.compile(r"[\p{L}\p{N}]")
+BLANK, DIGIT = re.compile(r"\s+"), re.compile(r"\d")
+#: Words around a street word that an address can reach; the longest pattern has nine.
+REACH = 12
+#: Signs that a telephone number can begin with.
+NUMBER_STARTS = ("+", "(", *(c for c in map(chr, range(sys.maxunicode + 1)) if c.isdecimal()))
+
+
+class Apart:
+    """Spans that don't overlap, in order."""
+
+    def __init__(self):
+        self.spans: list[tuple[int, int]] = []
+
+    def add(self, a: int, b: int) -> bool:
+        """Whether the span is free; it is taken then."""
+        at = bisect_left(self.spans, (a, a))
+        if at and self.spans[at - 1][1] > a or at < len(self.spans) and self.spans[at][0] < b:
+            return False
+        insort(self.spans, (a, b))
+        return True
 
 
 class Finder:
@@ -168,7 +191,8 @@ class Finder:
         self.anchors = ahocorasick.Automaton()
         tags: dict[str, set] = {}
         for kind, words in (
-            ("at", AT_SIGNS), ("id", ID_CUES), ("street", STREET_ANCHORS), ("person", PERSON_CUES), ("known", self.known),
+            ("at", AT_SIGNS), ("id", ID_CUES), ("number", NUMBER_STARTS), ("street", STREET_ANCHORS), ("person", PERSON_CUES),
+            ("of", (" of ", "\u00a0of ", " of\u00a0", "\u00a0of\u00a0")), ("known", self.known),
         ):
             for word in words:
                 tags.setdefault(word.lower(), set()).add(kind)
@@ -183,27 +207,29 @@ class Finder:
         low = text.lower()
         if len(low) != len(text):  # a few letters grow in lower case; positions must stay
             low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
-        hits: dict[str, list[tuple[int, int]]] = {"at": [], "id": [], "street": [], "person": [], "known": []}
+        hits: dict[str, list[tuple[int, int]]] = {k: [] for k in ("at", "id", "number", "street", "person", "of", "known")}
         for end, (size, kinds) in self.anchors.iter(low):
+            if kinds == ("number",) and end and low[end - 1].isdecimal():
+                continue  # only the first digit of several can begin a number
             for kind in kinds:
                 hits[kind].append((end + 1 - size, end + 1))
         spans: list[tuple[str, int, int]] = []
-        taken: list[tuple[int, int]] = []
+        taken = Apart()
 
         def take(kind: str, found: Iterable[tuple[int, int]]) -> None:
             for a, b in sorted(set(found), key=lambda s: (s[0], -s[1])):
-                if all(b <= x or y <= a for x, y in taken):
-                    taken.append((a, b))
+                if taken.add(a, b):
                     spans.append((kind, a, b))
 
         if hits["at"]:
             take("email", self._emails(text, hits["at"]))
         if hits["id"]:
             take("idno", self._ids(text, low, hits["id"]))
-        take("phone", self._phones(text, low))
+        if hits["number"]:
+            take("phone", self._phones(text, low, hits["number"]))
         if hits["street"]:
             take("address", self._addresses(text, hits["street"]))
-        take("name", self._names(text, low, hits["person"], hits["known"]))
+        take("name", self._names(text, low, hits["person"], hits["of"], hits["known"]))
         return sorted(spans, key=lambda s: s[1])
 
     def _emails(self, text: str, hits: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
@@ -213,7 +239,7 @@ class Finder:
                     continue
                 if text[a:b] in "@＠" and (text[a - 1 : a].isspace() != text[b : b + 1].isspace()):
                     continue  # a blank on one side only: a handle, not an address
-                local = LOCAL.search(text, max(0, at.start() - 80), at.start())
+                local = LOCAL.match(text, 0, at.start())
                 domain = DOMAIN.match(text, at.end())
                 if not local or not domain:
                     continue
@@ -230,17 +256,22 @@ class Finder:
         for a, b in hits:
             if a and low[a].isalpha() and low[a].isascii() and low[a - 1].isalpha() and low[a - 1].isascii():
                 continue
-            between = ID_BETWEEN.match(text, b, b + 40)
+            between = ID_BETWEEN.match(text, b)
             for start in (b, between.end() if between else b):
                 while start < len(text) and text[start] in " :=.#\u00a0":
                     start += 1
-                if value := ID_VALUE.match(text, start, start + 40):
-                    yield value.start(), value.end()
+                if value := ID_VALUE.match(text, start):
+                    if len({c for c in value[0] if c.isdecimal()}) > 1:
+                        yield value.start(), value.end()
                     break
 
-    def _phones(self, text: str, low: str) -> Iterator[tuple[int, int]]:
-        for m in PHONE.finditer(text):
+    def _phones(self, text: str, low: str, hits: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+        done = 0
+        for start, _ in hits:
+            if start < done or not (m := PHONE.match(text, start)):
+                continue
             a, b = m.span()
+            done = b
             body, digits = m["body"], sum(c.isdigit() for c in m[0])
             if not 9 <= digits <= 15 or (b < len(text) and (text[b].isalnum() or text[b] in "_@#=")):
                 continue
@@ -256,25 +287,41 @@ class Finder:
             elif PHONE_BEFORE.search(before) or PHONE_AFTER.match(text, b):
                 yield a, b
 
-    def _addresses(self, text: str, hits: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-        done = -1
+    @staticmethod
+    def _around(text: str, hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Stretches of ``REACH`` words to both sides of the hits, within lines, those that meet made one."""
+        blanks = [m.span() for m in BLANK.finditer(text)]
+        starts = [a for a, _ in blanks]
+        lines = [-1, *(m.start() for m in re.finditer("\n", text)), len(text)]
+        out: list[tuple[int, int]] = []
         for a, b in hits:
-            if a < done:
-                continue
-            line_a = max(0, a - 70)
-            line_b = min(len(text), b + 70)
-            if not any(c.isdigit() for c in text[line_a:line_b]):
+            line = bisect_left(lines, a)
+            left, right = lines[line - 1] + 1 if line else 0, lines[line]
+            at = bisect_left(starts, a) - 1 - REACH
+            if at >= 0:
+                left = max(left, blanks[at][1])
+            at = bisect_left(starts, b) + REACH
+            if at < len(blanks):
+                right = min(right, starts[at])
+            if out and left <= out[-1][1] + 1:
+                out[-1] = out[-1][0], max(out[-1][1], right)
+            else:
+                out.append((left, right))
+        return out
+
+    def _addresses(self, text: str, hits: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+        hits = sorted(hits)
+        begins = [a for a, _ in hits]
+        for left, right in self._around(text, hits):
+            if not DIGIT.search(text, left, right):
                 continue
             for pattern in ADDRESSES:
-                for m in pattern.finditer(text, line_a, line_b):
-                    if m.start() < b and a < m.end() + 1 and "\n" not in m[0]:
-                        end = m.end()
-                        if end == line_b and end < len(text) and WORD_END.match(text[end]):
-                            continue
-                        if THING.search(text, max(0, m.start() - 16), m.start()):
-                            continue
-                        done = max(done, end)
-                        yield m.start(), end
+                for m in pattern.finditer(text, left, right):
+                    at = bisect_right(begins, m.end())  # anchors that begin up to the end, the last few of which matter
+                    if not any(b > m.start() for _, b in hits[max(0, at - 4) : at]) or "\n" in m[0]:
+                        continue
+                    if not THING.search(text, max(0, m.start() - 16), m.start()):
+                        yield m.start(), m.end()
 
     def _person(self, text: str, m) -> bool:
         words = re.findall(r"[\p{L}]+", m[0])
@@ -283,7 +330,7 @@ class Finder:
         after = NEXT_WORD.match(text, m.end())
         return not (after and after[1][0].isupper() and after[1].lower() in NOT_PERSON)
 
-    def _names(self, text: str, low: str, cues: list, known: list) -> Iterator[tuple[int, int]]:
+    def _names(self, text: str, low: str, cues: list, ofs: list, known: list) -> Iterator[tuple[int, int]]:
         found: list[tuple[int, int]] = []
         for a, b in cues:
             if low[a].isalpha() and a and low[a - 1].isalpha():
@@ -295,32 +342,39 @@ class Finder:
                 m = GIVEN_FAMILY.match(text, b)
             if m and self._person(text, m):
                 found.append(m.span())
-        ends = [m.start() for m in OF_ORGANISATION.finditer(text)] if " of " in text else []
+        ends = [a for a, _ in ofs if OF_ORGANISATION.match(text, a)]
         ends += [m.start() for m in BEFORE_HAN.finditer(text)]
         for end in ends:
-            line = max(text.rfind("\n", 0, end) + 1, end - 80)
-            if (m := SUBJECT.search(text, line, end)) and self._person(text, m):
+            if (m := SUBJECT.match(text, 0, end)) and self._person(text, m):
                 found.append(m.span())
+        # spans that reach the next known name; names come in the order of their ends
+        found.sort()
+        reach, coming = [], 0
+        cued = len(found)
         for a, b in known:
             if (a and (text[a - 1].isalnum() or text[a - 1] in "_@＠.+-=" and not text[a - 1] == "=")) or (
                 b < len(text) and (text[b].isalnum() or text[b] in "_@＠+")
             ):
                 if not (a and text[a - 1] == "-" and self.known[low[a:b]] == "family"):
                     continue
-            if any(x <= a and b <= y for x, y in found):
+            while coming < cued and found[coming][0] <= a:
+                reach.append(found[coming])
+                coming += 1
+            reach = [span for span in reach if span[1] >= b]
+            if any(x <= a for x, _ in reach):
                 continue
             span = self._given(text, low, a, b) if self.known[low[a:b]] == "given" else self._family(text, low, a, b)
             if span:
                 found.append(span)
+                reach.append(span)
         yield from self._longest(found)
 
     @staticmethod
     def _longest(found: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-        kept: list[tuple[int, int]] = []
+        kept = Apart()
         for a, b in sorted(set(found), key=lambda s: s[0] - s[1]):
-            if all(b <= x or y <= a for x, y in kept):
-                kept.append((a, b))
-        yield from kept
+            kept.add(a, b)
+        yield from kept.spans
 
     def _family_first(self, text: str, m) -> bool:
         family, given = m[0].split(",", 1)
@@ -338,7 +392,7 @@ class Finder:
                 if not (word and word[1][0].isupper() and word[1].lower() in NOT_PERSON):
                     return a, after.end()
                 return None
-            before = FAMILY_BEFORE.search(text, max(0, a - 60), a)
+            before = FAMILY_BEFORE.match(text, 0, a)
             if before and self.known.get(re.split("['’-]", before["f"])[-1].lower()) == "family":
                 initials = INITIAL_AFTER.match(text, b)
                 return before.start(), initials.end() if initials else b
@@ -352,14 +406,14 @@ class Finder:
         if not text[a].isupper():
             return None
         # the whole of a hyphenated family name
-        while b < len(text) and (m := re.compile(r"['’-]\p{L}+").match(text, b)):
+        while b < len(text) and (m := HYPHENED.match(text, b)):
             b = m.end()
-        while a and (m := re.compile(r"\p{L}+['’-]$").search(text, max(0, a - 40), a)):
+        while a and (m := HYPHEN_BEFORE.match(text, 0, a)):
             a = m.start()
         word = NEXT_WORD.match(text, b)
         if word and word[1][0].isupper() and word[1].lower() in NOT_PERSON:
             return None
-        before = BEFORE_FAMILY.search(text, max(0, a - 50), a)
+        before = BEFORE_FAMILY.match(text, 0, a)
         if before:
             given = before["g"].rstrip(".").lower()
             initial = before["g"].endswith(".")
