@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tests.conftest import rows, union_find
 from twinsieve.functions.grams import gram_set
@@ -89,6 +90,18 @@ def test_near_duplicate_groups(spark):
     assert {i for i, _, n in got if n == 0} >= {"signs1", "signs2", "signs3"}
 
 
+def test_many_copies_of_one_text(spark):
+    """Copies are one class: neither links nor groups expand them."""
+    text = prose(random.Random(12))
+    docs = spark.range(100_000).select(F.format_string("d%06d", "id").alias("id"), F.lit(text).alias("content"))
+    near = edited(random.Random(13), text, 2)
+    docs = docs.union(spark.createDataFrame([("e", near), ("f", near)], "id string, content string"))
+    members, links = neardup.near_duplicates(docs)
+    assert members.count() == 100_002 and links.count() == 1
+    found = neardup.near_duplicate_groups(docs).groupBy("group_id", "n_links").count()
+    assert rows(found) == [("d000000", 1, 100_002)]
+
+
 def test_accepted_duplicates(spark):
     data = sample(3)
     want = {(a, b) for a, b, p, q in brute_pairs(data) if {p, q} == {None, True}}
