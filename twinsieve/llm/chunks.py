@@ -1,6 +1,6 @@
 """New batches against all accepted records, by content-defined chunking.
 
-A rolling hash over the last three characters of the plain text sets a boundary about every 12
+A rolling hash over the last three characters of the plain text sets a boundary about every 16
 characters, so an insertion only changes the chunks around it. A chunk is one 64-bit number: 51 bits
 of its hash and, in the low 13, its length in bytes. :class:`ChunkIndex` keeps what was accepted, batch by batch, in
 tables divided into "slots", so that a probe reads only the slots that it needs: ``chunks`` by chunk, ``bands`` by band,
@@ -39,7 +39,7 @@ from twinsieve.operators.ledger import Ledger
 from twinsieve.operators.skew import HOT_ROWS, hot_keys, pairs_within
 from twinsieve.runtime import materialize, new_path, remove
 
-AVERAGE, WINDOW, LONGEST = 12, 3, 48
+AVERAGE, WINDOW, LONGEST = 16, 3, 64
 COVERAGE, UNSEEN = 0.3, 0.2
 LENGTH_BITS = 13
 FUNCTIONS, BINS, ROWS, SEED = 4, 63, 7, 20240607
@@ -100,9 +100,9 @@ def sketch(sets: list[np.ndarray]) -> np.ndarray:
         every = _mix(np.concatenate(sets))
         row = np.repeat(np.arange(len(sets), dtype=np.int64) * width, [len(s) for s in sets])
         for k in range(FUNCTIONS):
-            h = _mix(every * a[k] + b[k])
-            bins = (h % np.uint64(BINS)).astype(np.int64) + k * BINS
-            np.minimum.at(out, row + bins, h >> np.uint64(32))
+            value = (every * a[k] + b[k]) >> np.uint64(32)
+            bins = ((value * np.uint64(BINS)) >> np.uint64(32)).astype(np.int64) + k * BINS
+            np.minimum.at(out, row + bins, value)
     return out.reshape(len(sets), width)
 
 
@@ -200,7 +200,7 @@ class ChunkIndex:
         kinds = {
             "chunks": "chunk bigint, no bigint, at int, grams int, size int",
             "bands": "band bigint, no bigint, at int, grams int",
-            "records": "no bigint, key binary, plain string, " + ", ".join(f"{w} bigint" for w in WORDS),
+            "records": "no bigint, key binary, plain string, size int, " + ", ".join(f"{w} bigint" for w in WORDS),
         }
         parts = [
             self.spark.read.schema(f"{kinds[table]}, slot int").parquet(f"{self.folder}/data/{r['folder']}/{table}").withColumn("batch", F.lit(n))
@@ -232,7 +232,7 @@ class ChunkIndex:
 
         write(cut.select(F.explode("chunks").alias("chunk"), "no", "at", "grams", "size"), "chunks", self._slot("chunk"))
         write(cut.select(F.explode("bands").alias("band"), "no", "at", "grams"), "bands", self._slot("band"))
-        write(cut.select("no", "key", "plain", *WORDS, "at"), "records", F.col("at"))
+        write(cut.select("no", "key", "plain", "size", *WORDS, "at"), "records", F.col("at"))
         self.ledger.add(number, {"batch": batch, "folder": folder, "slots": self.slots, "replaces": list(replaces)})
         for n, r in held:  # what no reader that starts now will name
             if r["batch"] == batch or n in replaces:
@@ -267,7 +267,7 @@ class ChunkIndex:
         near = compare(both.join(new.select(F.col("no").alias("a"), F.col("plain").alias("pa")), "a"), similarity)
         # texts without any letter have no chunks; they pair by their key alone
         bare = new.where("size = 0").select("key")
-        bare = bare.join(self._read("records").where("plain = ''").select("key"), "key", "left_semi")
+        bare = bare.join(self._read("records").where("size = 0").select("key"), "key", "left_semi")
         same = likely.where("key_a = key_b").select("key_a").union(bare).distinct()
         return materialize(near.union(same.select("key_a", F.col("key_a").alias("key_b"), F.lit(1.0).alias("similarity"))), "near")
 
@@ -277,14 +277,15 @@ class ChunkIndex:
         # one scan of the slots that hold chunks of the batch, cut to those chunks; a small batch is broadcast at run time
         known = self._read("chunks", self._slots_of(mine, self._slot("chunk")))
         known = known.join(mine.select("chunk").distinct(), "chunk", "left_semi")
-        known = materialize(known.select("chunk", "batch", "no", "at", "grams", "size"), "met")
-        spread = known.groupBy("chunk").agg(F.count("*").alias("df"))
+        known = known.withColumn("df", F.count("*").over(Window.partitionBy("chunk")).cast("int"))
+        known = materialize(known.select("chunk", "batch", "no", "at", "grams", "size", "df"), "met")
+        spread = known.groupBy("chunk").agg(F.first("df").alias("df"))
         shards = F.ceil(F.col("df") / HOT_ROWS).cast("int")
         probes = rarest(mine.join(spread, "chunk"), "no").select(
             "chunk", F.col("no").alias("a"), "bytes", F.col("size").alias("total"), F.col("grams").alias("g"),
             F.pmod(F.xxhash64("no"), shards).cast("int").alias("shard"),
         )
-        met = rarest(known.join(spread, "chunk"), "batch", "no").select(
+        met = rarest(known, "batch", "no").select(
             "chunk", "batch", F.col("no").alias("b"), "at", F.col("grams").alias("h"), "size",
             F.explode(F.sequence(F.lit(0), shards - 1)).alias("shard"),
         )
