@@ -1,6 +1,8 @@
 import os
 import random
+import time
 
+import duckdb
 import pytest
 
 from pyspark.sql import functions as F
@@ -9,21 +11,26 @@ from tests.conftest import rows
 from twinsieve import cli
 from twinsieve.config import DedupeConfig
 from twinsieve.operators.edges import EdgeStore
-from twinsieve.operators.lock import Locked, RunLock
-from twinsieve.operators.lsh import LshIndex, MetadataMismatch, bands, candidate_pairs, sign
+from twinsieve.operators.ledger import CommitConflict
+from twinsieve.operators.lock import Locked, LockLost, RunLock
+from twinsieve.operators.lsh import LshIndex, MetadataMismatch, band_keys, bands, candidate_pairs, sign
+from twinsieve.operators.matching import EDGE, raw_edges, resolving_edges
+from twinsieve.operators.resolve import resolve
+from twinsieve.operators.sync import AmbiguousAssignment, SyncProgress, write_slices
 from twinsieve.plans import inspect
 from twinsieve.plans.pipeline import DedupePipeline, dedupe_frame, run_datasets
-from twinsieve.runtime import new_path
+from twinsieve.runtime import NoSharedFolder, filesystem, materialize, new_path, publish, read_text, scratch, shared_dir
 from twinsieve.sources.base import (
     DocumentSource, NotSupported, dataset_id_of, dataset_name_of, datasets_with_unprocessed, scoped, upsert_documents,
     validate_table_name,
 )
 from twinsieve.sources.files import FileConfig, FileSource
-from twinsieve.sources.postgres import PostgresConfig
+from twinsieve.sources.postgres import PostgresConfig, PostgresSource, id_ranges
 from twinsieve.sources.sqlite import SqliteSource
-from twinsieve.sources.table import TableSource
+from twinsieve.sources.table import TableSource, VersionedTable
 from twinsieve.streaming.incremental import StreamingDedupe
 
+EDGES = "child_id string, parent_id string, jaccard_similarity double, size_difference int, size_difference_pct double"
 DOC = "id string, content string, content_len int, filename string, is_parent boolean"
 
 
@@ -273,3 +280,247 @@ def test_reports(spark):
     pairs = spark.createDataFrame([("1", "2"), ("1", "3")], "id_a string, id_b string")
     assert [(r["shared_bands"], r["verdict"]) for r in inspect.compare_documents(signed, pairs).orderBy("id_b").collect()] == [(16, "duplicate"), (0, "not a candidate")]
     assert inspect.index_summary(signed).first()["documents"] == 3
+
+
+# --- index and edges in proportion to a batch ----------------------------------------------------
+
+
+def test_a_batch_taken_up_again_signs_new_documents(spark):
+    index = LshIndex(spark, new_path(spark, "index"))
+    index.insert(docs_frame(spark, [("1", A)]), "one")
+    assert index.insert(docs_frame(spark, [("1", A), ("2", B)]), "one").count() == 2
+    assert index.count() == 2 and index.keys().count() == 32
+    wanted = band_keys(index.signatures().where("id = '2'")).select("bucket").limit(1)
+    assert 1 <= index.keys(wanted).count() < 32
+    fs, at = filesystem(spark, f"{index.folder}/bands/one")
+    fs.delete(at, True)  # the writer died between both tables
+    assert index.keys().count() == 32
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_edges_of_classes_resolve_alike(spark, seed):
+    """Copies as one class give the assignments that all edges give."""
+    rng = random.Random(seed)
+    base = [rng.randrange(1000) for _ in range(128)]
+    shapes = []
+    for k in range(7):
+        sig = list(base)
+        for at in rng.sample(range(0, 128), rng.randrange(0, 14)):
+            sig[at] = rng.randrange(1000)
+        shapes.append((sig, rng.choice([600, 600, 640, 700, 3000])))
+    data = [(f"d{i:02}", *rng.choice(shapes)) for i in rng.sample(range(60), 40)]
+    signed = spark.createDataFrame(data, "id string, sig array<bigint>, content_len bigint")
+    want = rows(resolve(raw_edges(signed).select(*EDGE)))
+    got = resolving_edges(signed)
+    assert rows(resolve(got)) == want and want
+    assert got.count() < raw_edges(signed).count()
+
+
+def test_many_copies_take_few_edges(spark):
+    docs = spark.range(20_000).select(F.format_string("d%05d", "id").alias("id"), F.lit(A).alias("content"))
+    found = dedupe_frame(docs).groupBy("parent_id").count()
+    assert rows(found) == [("d00000", 19_999)]
+
+
+# --- writing ---------------------------------------------------------------------------------------
+
+
+def test_slices_go_on_where_they_stood(spark):
+    folder = new_path(spark, "slices")
+    frame = spark.createDataFrame([(f"c{i}", "p", 0.9, 0, 0.0) for i in range(7)], EDGES)
+    progress, written = SyncProgress(spark, folder), []
+
+    def write(part):
+        if len(written) == 2:
+            raise RuntimeError("lost")
+        written.append([r["child_id"] for r in part.collect()])
+
+    with pytest.raises(RuntimeError):
+        write_slices(frame, write, progress, 2)
+    assert progress.get() == {"step": "writing_dupes", "done": 4} and progress.in_progress
+    written.clear()
+    assert write_slices(frame, write, progress, 2) == 3 and written == [["c4", "c5"], ["c6"]]
+    progress.set("completed")
+    assert progress.completed and len(progress.ledger.numbers()) == 2
+
+
+def test_two_writers_of_one_table(spark):
+    held = VersionedTable(spark, new_path(spark, "v"))
+    one = spark.createDataFrame([(1,)], "n int")
+    held.replace(one)
+    seen = held.version()
+    held.replace(one.union(one))
+    with pytest.raises(CommitConflict):
+        held.replace(one, seen)
+    assert held.read().count() == 2
+
+
+def test_publish_once_and_scratch(spark):
+    path = f"{shared_dir(spark)}/once.json"
+    assert publish(spark, path, "a") and not publish(spark, path, "b") and read_text(spark, path) == "a"
+    with scratch():
+        kept = materialize(spark.range(3))
+        at = kept.inputFiles()[0]
+        assert kept.count() == 3
+    assert not os.path.exists(at.removeprefix("file://"))
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = lambda self: Conf()
+        getCheckpointDir = lambda self: None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(NoSharedFolder):
+        shared_dir(Session())
+
+
+class DuckPostgres(PostgresSource):
+    """The statements run in DuckDB, whose dialect agrees on them."""
+
+    def __init__(self, spark, db, **kw):
+        super().__init__(spark, PostgresConfig.from_url("postgres://u:p@h/b"), **kw)
+        self.db, self.fail = db, None
+
+    def _stage(self, df):
+        name = f"stage_{len(self.db.execute('show tables').fetchall())}"
+        kinds = {"string": "varchar", "int": "integer", "bigint": "bigint", "double": "double"}
+        self.db.execute(f"create table {name} ({', '.join(f'{c} {kinds[t]}' for c, t in df.dtypes)})")
+        for r in df.collect():
+            self.db.execute(f"insert into {name} values ({', '.join('?' * len(r))})", list(r))
+        return name
+
+    def _execute(self, statements):
+        self.db.execute("begin")
+        try:
+            for k, sql in enumerate(statements):
+                if self.fail == k and not sql.startswith("drop"):
+                    raise RuntimeError("lost")
+                self.db.execute(sql)
+            self.db.execute("commit")
+        except BaseException:
+            self.db.execute("rollback")
+            raise
+
+
+def test_postgres_writes(spark):
+    db = duckdb.connect()
+    ids = [f"{k:08x}-0000-0000-0000-000000000000" for k in range(6)]
+    db.execute("create table documents (id uuid primary key, is_parent boolean)")
+    db.executemany("insert into documents values (?, ?)", [(i, None) for i in ids])
+    db.execute("create table dupes (child_id uuid primary key, parent_id uuid, jaccard_similarity double, size_difference integer, size_difference_pct double)")
+    source = DuckPostgres(spark, db)
+    frame = lambda pairs: spark.createDataFrame([(ids[a], ids[b], 0.9, 1, 0.1) for a, b in pairs], EDGES)
+    some = lambda *ks: spark.createDataFrame([(ids[k],) for k in ks], "id string")
+    stored = lambda: sorted((ids.index(str(a)), ids.index(str(b))) for a, b in db.execute("select child_id, parent_id from dupes").fetchall())
+    source.write_dupes(frame([(1, 0), (3, 2)]))
+    source.write_dupes(frame([(1, 2), (4, 3)]), some(3))  # another parent, a new row, a root that was a child
+    assert stored() == [(1, 2), (4, 3)]
+    source.fail = 1
+    with pytest.raises(RuntimeError):
+        source.write_dupes(frame([(5, 0)]), some(1))
+    source.fail = None
+    assert stored() == [(1, 2), (4, 3)]  # whole or not at all
+    source.mark(some(0, 1, 2), some(1, 3))
+    states = dict(db.execute("select id::varchar, is_parent from documents order by id").fetchall())
+    assert [states[i] for i in ids] == [True, False, True, False, None, None]
+    source.delete(some(5))
+    assert db.execute("select count(*) from documents").fetchone() == (5,)
+    assert not [t for (t,) in db.execute("show tables").fetchall() if t.startswith("stage")]
+    with pytest.raises(AmbiguousAssignment):
+        source.write_dupes(frame([(1, 0), (1, 2)]))
+
+
+def test_postgres_reads(spark):
+    source = DuckPostgres(spark, duckdb.connect(), where="corpus = 'x'", dataset_id="00000000-0000-0000-0000-000000000001")
+    sql = source.query("is_parent is null")
+    assert "(corpus = 'x') and (is_parent is null) and dataset_ids @>" in sql and "coalesce(content_len, length(content))" in sql
+    with pytest.raises(ValueError):
+        DuckPostgres(spark, duckdb.connect(), dataset_id="x' or true --")
+    db = duckdb.connect()
+    db.execute("create table t as select uuid() as id from range(500)")
+    for n in (1, 2, 7, 64):
+        counts = [db.execute(f"select count(*) from t where {p}").fetchone()[0] for p in id_ranges("id", "uuid", n)]
+        assert len(counts) == n and sum(counts) == 500
+    assert id_ranges("id", "bigint", 2)[1].endswith("= 1")
+
+
+# --- locks and the daemon ----------------------------------------------------------------------------
+
+
+def test_lock_is_renewed_and_can_be_lost(spark):
+    folder = new_path(spark, "lock")
+    with RunLock(spark, folder, stale_after=0.6) as held:
+        time.sleep(1.5)  # renewed meanwhile
+        assert not RunLock(spark, folder, stale_after=0.6).acquire()
+        held.check()
+        held._stop.set()
+        held._thread.join()
+        time.sleep(0.8)
+        other = RunLock(spark, folder, stale_after=0.6)
+        assert other.acquire() and not RunLock(spark, folder, stale_after=0.6).acquire()
+        with pytest.raises(LockLost):
+            held.check()
+        with pytest.raises(LockLost):
+            held.renew()
+    other.check()  # the holder that lost it gave nothing back
+
+
+def test_daemon_survives_an_error(spark, tmp_path, monkeypatch, capsys):
+    path, data = str(tmp_path / "d.sqlite"), f"file://{tmp_path}/data"
+    SqliteSource(spark, path).insert([("1", A, len(A), None), ("2", A, len(A), None)])
+    args = cli.parser().parse_args(["daemon", "--sqlite", path, "--data-dir", data, "--error-backoff", "3"])
+    real, calls, waits = cli.round_of, [], []
+
+    def flaky(*a):
+        calls.append(1)
+        if len(calls) < 3:
+            raise RuntimeError("gone")
+        return real(*a)
+
+    def wait(seconds):
+        waits.append(seconds)
+        if len(waits) == 3:
+            raise KeyboardInterrupt
+
+    monkeypatch.setattr(cli, "round_of", flaky)
+    with pytest.raises(KeyboardInterrupt):
+        cli.daemon(spark, args, wait)
+    assert waits == [3.0, 6.0, 5.0] and '"assignments": 1' in capsys.readouterr().out
+    with RunLock(spark, data), pytest.raises(Locked):
+        cli.main(["run", "--sqlite", path, "--data-dir", data], spark)
+
+
+def test_resume_and_reprocess(spark):
+    folder = new_path(spark, "again")
+    source = TableSource.create(spark, f"{folder}/t", docs_frame(spark, [("1", A), ("2", A), ("3", B)]))
+    pipe = DedupePipeline(spark, source, f"{folder}/s")
+    pipe.run("r1")
+    assert rows(pipe.processed()) == [("1",), ("2",), ("3",)]
+    pipe.index.insert(docs_frame(spark, [("4", B)]), "late")
+    assert [r[:2] for r in rows(pipe.from_index("r2", resume=True))] == [("2", "1"), ("4", "3")]
+    assert pipe.processed().count() == 4
+    assert pipe.reprocess(spark.createDataFrame([("2",)], "id string"), "r3").total == 1
+    assert [r[:2] for r in rows(source.dupes())] == [("2", "1")]
+
+
+def test_entry_survives_a_missing_package(monkeypatch):
+    import __spark_entry__ as entry
+
+    real = entry.importlib.import_module
+
+    def gone(name, *a):
+        if name.startswith("twinsieve.llm"):
+            raise ModuleNotFoundError("No module named 'ahocorasick'", name="ahocorasick")
+        return real(name, *a)
+
+    monkeypatch.setattr(entry.importlib, "import_module", gone)
+    with pytest.warns(UserWarning):
+        assert "dedupe_once" in entry.queries() and "p2_found" not in entry.queries()

@@ -16,6 +16,9 @@ HASH_VERSION = 1
 
 @dataclass(frozen=True)
 class DedupeConfig:
+    """``batch_size``: rows that a database source reads or writes at a time. ``large_bucket_limit``: buckets that the
+    report of large buckets lists; cluster search looks at all, however many."""
+
     threshold: float = 0.8
     size_diff: float = 0.3
     seed: int = SEED
@@ -27,6 +30,7 @@ class DedupeConfig:
     edge_lookup: str = "auto"
     pathological_min_bucket: int = 1000
     pathological_min_bands: int = 14
+    large_bucket_limit: int = 10_000
     batch_size: int = 10_000
 
     def __post_init__(self):
@@ -35,6 +39,7 @@ class DedupeConfig:
             (self.size_diff >= 0.0, "size_diff must not be negative"),
             (self.min_content_length >= 0, "min_content_length must not be negative"),
             (self.max_matches_per_doc is None or self.max_matches_per_doc > 0, "max_matches_per_doc must be positive"),
+            (self.large_bucket_limit > 0, "large_bucket_limit must be positive"),
             (self.batch_size > 0, "batch_size must be positive"),
             (self.edge_lookup in ("scan", "index", "auto", "shadow"), "edge_lookup is scan, index, auto or shadow"),
             (self.pathological_min_bucket > 1, "pathological_min_bucket must be above 1"),

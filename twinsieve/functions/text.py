@@ -18,10 +18,6 @@ def normalize_content(text: Column) -> Column:
     return F.trim(F.regexp_replace(lowered, r"[^\p{IsAlphabetic}\p{N}]+", " "))
 
 
-def n_bytes(text: Column) -> Column:
-    return F.octet_length(text)
-
-
 def char_ngrams(normalized: Column, width: int = 3) -> Column:
     """Overlapping n-grams, repeats kept; a text no longer than ``width`` is one, an empty one none.
 

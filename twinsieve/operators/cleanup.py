@@ -60,9 +60,10 @@ def pathological_clusters(
 ) -> DataFrame:
     """``cluster, band_count, id``: members of each cluster, one row each.
 
-    Starting from each large bucket, bands in ascending order take part when their largest overlap
-    with the start holds at least nine tenths of it; a member must be in all of them. A cluster needs ``min_bands`` bands
-    and still ``min_bucket`` members; one more than nine tenths similar to a larger one is that one.
+    Starting from each large bucket, its own band first and then bands in ascending order take part when their largest
+    overlap with the start holds at least nine tenths of it; a member must be in all of them, the start included. A cluster
+    needs ``min_bands`` bands and still ``min_bucket`` members. Starts are taken from the largest bucket to the smallest, then
+    by name; one whose bucket is more than nine tenths similar to a cluster found before is that one.
     With ``batch`` only buckets that hold one of its ids are looked at: a cluster's new member lies in all
     its bands. All large buckets take part, however many, and everything stays in tables.
     """
@@ -74,23 +75,24 @@ def pathological_clusters(
     shared = a.join(b, "id").groupBy("start", "band_a", "size_a", "other", "band_b").agg(F.count("*").alias("n"))
     close = shared.where((F.col("n") >= OVERLAP * F.col("size_a")) | (F.col("start") == F.col("other")))
     # one bucket of each band: the one that holds most of the start
-    per_band = close.groupBy("start", "size_a", "band_b").agg(F.max_by("other", F.struct("n", "other")).alias("other"))
-    plan = per_band.groupBy("start", "size_a").agg(F.sort_array(F.collect_list(F.struct("band_b", "other"))).alias("bands"))
+    per_band = close.groupBy("start", "size_a", "band_a", "band_b").agg(F.max_by("other", F.struct("n", "other")).alias("other"))
+    own_first = F.struct((F.col("band_b") != F.col("band_a")).alias("later"), "band_b", "other")
+    plan = per_band.groupBy("start", "size_a").agg(F.sort_array(F.collect_list(own_first)).alias("bands"))  # one row a band
     plan = plan.where(F.size("bands") >= min_bands)
-    chosen = plan.select("start", F.slice("bands", 1, min_bands).alias("bands")).select("start", F.inline("bands"))
-    counted = chosen.join(members.select(F.col("bucket").alias("other"), "id"), "other").groupBy("start", "id").agg(
+    chosen = plan.select("start", "size_a", F.slice("bands", 1, min_bands).alias("bands")).select("start", "size_a", F.inline("bands"))
+    counted = chosen.join(members.select(F.col("bucket").alias("other"), "id"), "other").groupBy("start", "size_a", "id").agg(
         F.count("*").alias("band_count")
     )
     inside = counted.where(F.col("band_count") >= min_bands)
     sized = inside.groupBy("start").agg(F.count("*").alias("n"), F.min("band_count").alias("band_count")).where(F.col("n") >= min_bucket)
     inside = materialize(inside.join(sized.select("start", "n"), "start"), "inside")
-    # of similar clusters the larger, then the first by name
-    pairs = inside.select(F.col("start").alias("x"), F.col("n").alias("nx"), "id").join(
-        inside.select(F.col("start").alias("y"), F.col("n").alias("ny"), "id"), "id"
-    )
-    pairs = pairs.where("x <> y").groupBy("x", "nx", "y", "ny").agg(F.count("*").alias("both"))
-    similar = pairs.where(F.col("both") / (F.col("nx") + F.col("ny") - F.col("both")) > SIMILAR).select("x", "nx", "y", "ny")
-    names = first_apart(inside.select("start", "n").distinct(), similar)
+    found = inside.select("start", "n", "size_a").distinct()
+    pairs = inside.select(F.col("start").alias("x"), F.col("n").alias("held"), F.col("size_a").alias("nx"), "id").join(
+        members.join(found.select(F.col("start").alias("bucket")), "bucket", "left_semi").select(F.col("bucket").alias("y"), F.col("size").alias("ny"), "id"), "id"
+    )
+    pairs = pairs.where("x <> y").groupBy("x", "held", "nx", "y", "ny").agg(F.count("*").alias("both"))
+    similar = pairs.where(F.col("both") / (F.col("held") + F.col("ny") - F.col("both")) > SIMILAR).select("x", "nx", "y", "ny")
+    names = first_apart(found.select("start", F.col("size_a").alias("n")), similar)
     return inside.join(names, "start", "left_semi").select(F.col("start").alias("cluster"), "band_count", "id")
 
 

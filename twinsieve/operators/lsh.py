@@ -4,13 +4,19 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinsieve.config import HASH_VERSION, NUM_BANDS, NUM_PERM, ROWS_PER_BAND, SEED, TOKENIZER_VERSION, DedupeConfig
 from twinsieve.functions.minhash import band_hashes, band_slices, signature_udf
 from twinsieve.functions.text import is_boilerplate, normalize_content, size_within
-from twinsieve.runtime import filesystem, spread
+from twinsieve.operators.skew import hot_keys, pairs_within
+from twinsieve.runtime import exists, filesystem, names_in, publish, read_text, spread
+
+#: Folders of an index's band keys.
+SLOTS = 64
 
 
 def classify(docs: DataFrame, config: DedupeConfig, patterns: list[str] | tuple[str, ...] = ()) -> DataFrame:
@@ -54,29 +60,31 @@ def large_buckets(signed: DataFrame, min_size: int, limit: int | None = 10_000,
     return sizes if limit is None else sizes.orderBy(F.col("size").desc(), "band", "key").limit(limit)
 
 
-def _keys(signed: DataFrame) -> DataFrame:
-    kept = [c for c in ("content_len", "cluster") if c in signed.columns]
+def band_keys(signed: DataFrame) -> DataFrame:
+    """``id, content_len, bucket``: a 64-bit number for each band of each document."""
+    kept = [c for c in ("content_len",) if c in signed.columns]
     return signed.select("id", *kept, F.explode(band_hashes(F.col("sig"))).alias("bucket"))
 
 
 def candidate_pairs(
-    signed: DataFrame, batch: DataFrame | None = None, size_diff: float | None = None, linked: DataFrame | None = None
-) -> DataFrame:
+    signed: DataFrame, batch: DataFrame | None = None, size_diff: float | None = None, linked: DataFrame | None = None,
+    known: DataFrame | None = None,
+) -> DataFrame:
     """``p, c``: pairs that share a band, each once. Without ``batch``, ``p`` is the smaller id of every
     pair; with it, ``p`` runs over the batch's ids and ``c`` over everything, and a pair inside the
     batch belongs to its smaller id. Sizes are compared in the join where ``size_diff`` is given.
-    Members of one cluster of ``linked`` (``cluster, id``), which are linked already, make no pair."""
-    if linked is None:
-        signed = signed.withColumn("cluster", F.lit(None).cast("string"))
-    else:
-        signed = signed.join(linked.groupBy("id").agg(F.min("cluster").alias("cluster")), "id", "left")
-    keys = _keys(signed)
-    right = keys.select(F.col("id").alias("c"), F.col("content_len").alias("len_c"), F.col("cluster").alias("cluster_c"), "bucket")
+    Members of one cluster of ``linked`` (``cluster, id``), which are linked already, make no pair.
+    ``known`` (``bucket, id, content_len``) is the table of band keys of everything, where an index keeps it.
+    Buckets of many documents are split over tasks."""
+    clusters = None if linked is None else linked.groupBy("id").agg(F.min("cluster").alias("cluster"))
+    tag = lambda rows: rows.withColumn("cluster", F.lit(None).cast("string")) if clusters is None else rows.join(clusters, "id", "left")
+    right = tag(band_keys(signed) if known is None else known.select("id", "content_len", "bucket"))
     ids = None if batch is None else batch.select("id").distinct()
-    left = keys if ids is None else _keys(signed.join(ids, "id", "left_semi"))
-    left = left.select(F.col("id").alias("p"), F.col("content_len").alias("len_p"), F.col("cluster").alias("cluster_p"), "bucket")
+    left = right if ids is None else tag(band_keys(signed.join(ids, "id", "left_semi")))
+    side = lambda rows, s: rows.select(F.col("id").alias(s), F.col("content_len").alias(f"len_{s}"), F.col("cluster").alias(f"cluster_{s}"), "bucket")
+    left, right = side(left, "p"), side(right, "c")
     # a small batch is broadcast at run time, and history is only scanned
-    pairs = left.join(right, "bucket").where("p < c" if ids is None else "p <> c")
+    pairs = pairs_within(left, right, "bucket", F.col("p"), hot_keys(right, "bucket")).where("p < c" if ids is None else "p <> c")
     if linked is not None:
         pairs = pairs.where("cluster_p is null or cluster_c is null or cluster_p <> cluster_c")
     if size_diff is not None:
@@ -93,11 +101,11 @@ class MetadataMismatch(RuntimeError):
 
 
 class LshIndex:
-    """Signatures kept under a folder, one directory per batch; bands are derived when read.
+    """Signatures and band keys kept under a folder, one directory per batch of each.
 
     ``metadata.json`` holds what the stored values depend on and is checked each time; a filled index
-    without it is refused. Inserting a batch again replaces it; a document of several batches keeps the
-    first one's signature.
+    without it is refused. A document is signed once: inserting a batch again signs what no batch holds yet and
+    adds it. Band keys lie in ``SLOTS`` folders by key, so that a batch reads those of its own keys.
     """
 
     def __init__(self, spark: SparkSession, folder: str, config: DedupeConfig = DedupeConfig()):
@@ -113,39 +121,50 @@ class LshIndex:
         self._check()
 
     def _check(self) -> None:
-        fs, at = filesystem(self.spark, f"{self.folder}/metadata.json")
-        if fs.exists(at):
-            stream = fs.open(at)
-            try:
-                stored = json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-            finally:
-                stream.close()
+        path = f"{self.folder}/metadata.json"
+        if exists(self.spark, path):
+            stored = json.loads(read_text(self.spark, path))
             if stored != self.metadata:
                 raise MetadataMismatch(f"index has {stored}, run has {self.metadata}")
-            return
-        if self.batches():
+        elif self.batches():
             raise MetadataMismatch("a filled index without metadata")
-        out = fs.create(at, True)
-        out.write(bytearray(json.dumps(self.metadata).encode()))
-        out.close()
+        elif not publish(self.spark, path, json.dumps(self.metadata)):
+            self._check()  # another run was first
 
     def batches(self) -> list[str]:
-        fs, at = filesystem(self.spark, f"{self.folder}/signatures")
-        if not fs.exists(at):
-            return []
-        names = sorted(s.getPath().getName() for s in fs.listStatus(at))
-        return [n for n in names if fs.exists(filesystem(self.spark, f"{self.folder}/signatures/{n}/_SUCCESS")[1])]
+        at = f"{self.folder}/signatures"
+        return [n for n in names_in(self.spark, at) if exists(self.spark, f"{at}/{n}/_SUCCESS")]
 
     def insert(self, docs: DataFrame, batch: str) -> DataFrame:
-        """Sign and keep documents that the index lacks; gives what was added."""
-        old = self.signatures()
-        fresh = docs if old is None else docs.join(old.select("id"), "id", "left_anti")
-        path = f"{self.folder}/signatures/{batch}"
-        if batch in self.batches():
-            return self.spark.read.parquet(path)
-        sign(fresh.dropDuplicates(["id"]), self.config.seed).write.mode("overwrite").parquet(path)
+        """Sign and keep documents that the index lacks; gives the batch's signatures."""
+        old, path = self.ids(), f"{self.folder}/signatures/{batch}"
+        fresh = docs if old is None else docs.join(old, "id", "left_anti")
+        sign(fresh.dropDuplicates(["id"]), self.config.seed).write.mode("append").parquet(path)
+        self._write_keys(batch)
         return self.spark.read.parquet(path)
 
+    def _slot(self) -> Column:
+        return F.pmod("bucket", F.lit(SLOTS)).cast("int")
+
+    def _write_keys(self, batch: str) -> None:
+        rows = band_keys(self.spark.read.parquet(f"{self.folder}/signatures/{batch}")).withColumn("slot", self._slot())
+        rows.repartition("slot").write.mode("overwrite").partitionBy("slot").parquet(f"{self.folder}/bands/{batch}")
+
+    def keys(self, wanted: DataFrame | None = None) -> DataFrame | None:
+        """``id, content_len, bucket`` of everything indexed; with ``wanted`` (``bucket``) only folders that hold one."""
+        names = self.batches()
+        if not names:
+            return None
+        for name in names:  # of a batch whose writer died between both tables
+            if not exists(self.spark, f"{self.folder}/bands/{name}/_SUCCESS"):
+                self._write_keys(name)
+        kind = self.spark.read.parquet(f"{self.folder}/signatures/{names[0]}").schema["id"].dataType.simpleString()
+        schema = f"id {kind}, content_len bigint, bucket bigint, slot int"
+        rows = reduce(DataFrame.unionByName, (self.spark.read.schema(schema).parquet(f"{self.folder}/bands/{n}") for n in names))
+        if wanted is not None:
+            rows = rows.where(F.col("slot").isin([r[0] for r in wanted.select(self._slot().alias("s")).distinct().collect()]))
+        return rows.drop("slot")
+
     def signatures(self) -> DataFrame | None:
         paths = [f"{self.folder}/signatures/{n}" for n in self.batches()]
         return self.spark.read.parquet(*paths) if paths else None
@@ -179,17 +198,19 @@ class LshIndex:
 
         The given documents need not be in the index.
         """
-        asked = _keys(sign(docs, self.config.seed)).select("id", "bucket")
-        known = _keys(self.signatures()).select(F.col("id").alias("other"), "bucket")
+        asked = band_keys(sign(docs, self.config.seed)).select("id", "bucket")
+        known = self.keys(asked).select(F.col("id").alias("other"), "bucket")
         return asked.join(known, "bucket").where("id <> other").select("id", "other").distinct()
 
     def compact(self, batch: str) -> None:
-        """Rewrite all batches as one; the old ones go once the new one is whole."""
+        """Rewrite all batches as one of a new name; the old ones go once it is whole."""
         found, old = self.signatures(), self.batches()
         if found is None:
             return
-        found.write.mode("overwrite").parquet(f"{self.folder}/signatures/{batch}")
-        for name in old:
-            if name != batch:
-                fs, at = filesystem(self.spark, f"{self.folder}/signatures/{name}")
-                fs.delete(at, True)
+        if batch not in old:
+            found.write.parquet(f"{self.folder}/signatures/{batch}")
+            self._write_keys(batch)
+            for name in old:
+                for table in ("signatures", "bands"):
+                    fs, at = filesystem(self.spark, f"{self.folder}/{table}/{name}")
+                    fs.delete(at, True)

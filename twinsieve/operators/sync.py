@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinsieve.operators.ledger import Ledger
 from twinsieve.operators.resolve import ASSIGNMENT
-from twinsieve.runtime import filesystem
 
 
 def assignments_requiring_write(assignments: DataFrame, existing: DataFrame, new: DataFrame) -> DataFrame:
@@ -90,31 +90,22 @@ STEPS = ("none", "writing_dupes", "marking_parents", "marking_children", "comple
 
 
 class SyncProgress:
-    """Where a write stands, in a small file that is replaced as a whole."""
+    """Where a write stands: the last record of a ledger, which is there whole or not at all."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+        self.ledger = Ledger(spark, f"{folder.rstrip('/')}/progress")
 
     def get(self) -> dict:
-        fs, at = filesystem(self.spark, f"{self.folder}/progress.json")
-        if not fs.exists(at):
-            return {"step": "none"}
-        stream = fs.open(at)
-        try:
-            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+        return self.ledger.last()[1] or {"step": "none"}
 
     def set(self, step: str, **counts: int) -> None:
         if step not in STEPS:
             raise ValueError(f"unknown step {step}")
-        fs, at = filesystem(self.spark, f"{self.folder}/progress.json")
-        _, draft = filesystem(self.spark, f"{self.folder}/.progress.json.new")
-        out = fs.create(draft, True)
-        out.write(bytearray(json.dumps({"step": step, **counts}).encode()))
-        out.close()
-        fs.delete(at, False)
-        fs.rename(draft, at)
+        number, _ = self.ledger.last()
+        self.ledger.add(number + 1, {"step": step, **counts})
+        for old in self.ledger.numbers():
+            if old < number:
+                self.ledger.forget(old)
 
     @property
     def in_progress(self) -> bool:
@@ -131,3 +122,17 @@ class SyncProgress:
 def rows_after(assignments: DataFrame, done: int) -> DataFrame:
     """What is left of a write after its first ``done`` rows by (child, parent)."""
     return assignments.orderBy("child_id", "parent_id").offset(done)
+
+
+def write_slices(assignments: DataFrame, write: Callable[[DataFrame], None], progress: SyncProgress, size: int) -> int:
+    """Write in slices of ``size`` rows by (child, parent), noting after each how many are written; a write that
+    died goes on where it stood. Gives the number of rows written now."""
+    total = assignments.count()
+    at = progress.get()
+    done = began = at.get("done", 0) if at["step"] == "writing_dupes" else 0
+    while done < total:
+        progress.set("writing_dupes", done=done)
+        write(rows_after(assignments, done).limit(size))
+        done = min(total, done + size)
+    progress.set("writing_dupes", done=done)
+    return total - began

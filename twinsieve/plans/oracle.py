@@ -72,6 +72,34 @@ raw AS (
          CASE WHEN greatest(len_p, len_c) = 0 THEN 0.0 ELSE abs(len_p - len_c) / greatest(len_p, len_c) END::DOUBLE AS size_difference_pct
   FROM scored WHERE j >= 0.8)"""
 
+#: Greedy cluster search: buckets that reach 14 bands, taken from the largest to the smallest, each unless its bucket
+#: is similar to a cluster taken before.
+_CLUSTERS = """m AS (SELECT band || ':' || key AS bucket, band, id, count(*) OVER (PARTITION BY band, key) AS size FROM bands),
+big AS (SELECT * FROM m WHERE size >= 3),
+shared AS (
+  SELECT a.bucket AS start, a.band AS own, a.size, b.bucket AS other, b.band AS band, count(*) AS n
+  FROM big a JOIN big b ON a.id = b.id GROUP BY ALL HAVING count(*) >= 0.9 * a.size OR a.bucket = b.bucket),
+taken AS (
+  SELECT start, size, other FROM (
+    SELECT *, row_number() OVER (PARTITION BY start ORDER BY band <> own, band) AS at_ FROM (
+      SELECT *, row_number() OVER (PARTITION BY start, band ORDER BY n DESC, other DESC) AS rn FROM shared) WHERE rn = 1)
+  WHERE at_ <= 14),
+inside AS (SELECT start, taken.size, id, count(*) AS band_count FROM taken JOIN big ON big.bucket = other GROUP BY ALL HAVING count(*) >= 14),
+sized AS (SELECT start, size, count(*) AS n FROM inside GROUP BY ALL HAVING count(*) >= 3),
+ranked AS (SELECT *, row_number() OVER (ORDER BY size DESC, start) AS k FROM sized),
+near AS (
+  SELECT y.k AS y, list(x.k) AS xs FROM (
+    SELECT i.start AS x, b.bucket AS y, count(*) AS both_ FROM inside i JOIN big b ON b.id = i.id WHERE i.start <> b.bucket GROUP BY ALL) p
+  JOIN ranked x ON x.start = p.x JOIN ranked y ON y.start = p.y
+  WHERE x.k < y.k AND both_ / (x.n + y.size - both_) > 0.9 GROUP BY y.k),
+pick(k, kept) AS (
+  SELECT 0::BIGINT, []::BIGINT[] UNION ALL
+  SELECT pick.k + 1, CASE WHEN list_has_any(kept, coalesce(xs, [])) THEN kept ELSE list_append(kept, pick.k + 1) END
+  FROM pick LEFT JOIN near ON near.y = pick.k + 1 WHERE pick.k < (SELECT count(*) FROM ranked)),
+clusters AS (
+  SELECT i.start AS cluster, i.band_count, i.id FROM inside i JOIN ranked USING (start)
+  WHERE list_contains((SELECT kept FROM pick ORDER BY k DESC LIMIT 1), k))"""
+
 _E = "child_id, parent_id, jaccard_similarity, size_difference, size_difference_pct"
 
 _EDGES = f"""clean AS (
@@ -133,6 +161,7 @@ seen(node) AS ({_NEW} UNION SELECT links.v FROM seen JOIN links ON seen.node = l
 """
     found = f"SELECT {_E} FROM e WHERE child_id <> parent_id AND child_id IN (SELECT node FROM seen)"
     once = _with(_RAW, _resolved("raw"), recursive=True) + f"SELECT {_E} FROM assigned"
+    clusters = _with(_SIGNED, _CLUSTERS, recursive=True)
     new_only = _with(
         _SIGNED,
         _NEW_CANDIDATES,
@@ -156,7 +185,7 @@ whole AS (SELECT bucket_key, count(DISTINCT id) AS n_docs FROM (SELECT bucket_ke
 SELECT bucket_key, n_docs, count(*) AS n_segments, count(*) FILTER (doc_count IS DISTINCT FROM size) AS n_wrong
 FROM seg JOIN whole USING (bucket_key) GROUP BY bucket_key, n_docs""",
         "normalize_text": r"SELECT id, trim(regexp_replace(lower(content), '[^\p{L}\p{N}]+', ' ', 'g')) AS normalized FROM corpus_docs",
-        "char_ngrams": _with(_TEXT, _GRAMS.format(source="t")) + "SELECT id, len(grams)::INTEGER AS n_grams, len(list_distinct(grams))::INTEGER AS n_distinct FROM g",
+        "char_ngrams": _with(_TEXT, _GRAMS.format(source="t")) + "SELECT id, len(grams)::INTEGER AS n_grams, len(list_distinct(grams))::INTEGER AS n_distinct, md5(array_to_string(grams, chr(31))) AS digest FROM g",
         "ngram_counts": _with(_TEXT, _GRAMS.format(source="t")) + "SELECT gram, count(*) AS n FROM (SELECT unnest(grams) AS gram FROM g) GROUP BY gram",
         "minhash_signature": signed + "SELECT id, array_to_string(sig, '-') AS signature, content_len::BIGINT AS content_len FROM signed",
         "band_keys": signed + "SELECT id, band, key FROM bands",
@@ -181,10 +210,11 @@ WHERE a.n = 0 OR b.n = 0 OR (greatest(a.n, b.n) - least(a.n, b.n)) / greatest(a.
         "top_m_matches": raw
         + f"SELECT p, {_E} FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY jaccard_similarity DESC, child_id, parent_id) AS rn FROM raw) WHERE rn <= 1",
         "edge_orientation": _with(_EDGES, _SIZES)
-        + """SELECT CASE WHEN a.n >= b.n THEN a.id ELSE b.id END AS child_id, CASE WHEN a.n >= b.n THEN b.id ELSE a.id END AS parent_id,
+        + """SELECT CASE WHEN a.n > b.n OR (a.n = b.n AND a.id < b.id) THEN a.id ELSE b.id END AS child_id,
+  CASE WHEN a.n > b.n OR (a.n = b.n AND a.id < b.id) THEN b.id ELSE a.id END AS parent_id,
   jaccard_similarity, abs(a.n - b.n)::INTEGER AS size_difference,
   CASE WHEN greatest(a.n, b.n) = 0 THEN 0.0 ELSE abs(a.n - b.n) / greatest(a.n, b.n) END::DOUBLE AS size_difference_pct
-FROM e JOIN sizes a ON a.id = child_id JOIN sizes b ON b.id = parent_id WHERE child_id < parent_id""",
+FROM e JOIN sizes a ON a.id = child_id JOIN sizes b ON b.id = parent_id WHERE child_id <> parent_id""",
         "edge_upsert": edges + f"SELECT {_E} FROM e",
         "edge_of_child": _with(_EDGES, _STORED) + f"SELECT {_E} FROM stored",
         "compare_documents": _with(_SIGNED, _EDGES)
@@ -240,6 +270,13 @@ GROUP BY dataset_id, name""",
         + f"""SELECT child_id, parent_id FROM (SELECT *, row_number() OVER (PARTITION BY child_id ORDER BY jaccard_similarity DESC, parent_id) AS rn FROM clean)
 WHERE rn = 1 AND child_id IN ({_NEW})""",
         "dupe_endpoints": edges + "SELECT DISTINCT 'child' AS side, child_id AS id FROM e UNION SELECT 'parent', parent_id FROM e",
+        "pathological_clusters": clusters + "SELECT cluster, band_count, id FROM clusters",
+        "pathological_stars": clusters
+        + """SELECT DISTINCT id AS child_id, root AS parent_id, 0.99::DOUBLE AS jaccard_similarity, 0 AS size_difference, 0.0::DOUBLE AS size_difference_pct
+FROM (SELECT *, min(id) OVER (PARTITION BY cluster) AS root FROM clusters) WHERE id <> root""",
+        "cleanup_report": clusters
+        + """SELECT count(*) AS clusters, coalesce(sum(n), 0)::BIGINT AS documents, coalesce(max(n), 0) AS largest,
+  coalesce(sum(n)::BIGINT // count(*), 0) AS mean_size, coalesce(sum(n - 1), 0)::BIGINT AS to_delete FROM (SELECT cluster, count(*) AS n FROM clusters GROUP BY cluster)""",
         "jaccard_histogram": edges
         + """SELECT bucket, count(jaccard_similarity) AS n FROM (VALUES ('0.95-1.00', 0.95, 9.0), ('0.90-0.95', 0.90, 0.95), ('0.85-0.90', 0.85, 0.90),
   ('0.80-0.85', 0.80, 0.85), ('below 0.80', -9.0, 0.80)) b(bucket, low, high)
@@ -259,4 +296,9 @@ FROM e JOIN corpus_docs c ON c.id = child_id JOIN corpus_docs p ON p.id = parent
 FROM corpus_docs WHERE is_parent IS NOT NULL""",
         "dedupe_once": once,
         "pipeline_assignments": once,
+        "pipeline_stats": _with(_RAW, _resolved("raw"), recursive=True)
+        + """SELECT *, indexed - new_children + short + boilerplate AS unique_parents FROM (
+  SELECT count(*) AS total, count(*) FILTER (verdict = 'boilerplate') AS boilerplate, count(*) FILTER (verdict = 'short') AS short,
+    count(*) FILTER (verdict = 'index') AS indexed, (SELECT count(*) FROM raw) AS edges_found, (SELECT count(*) FROM assigned) AS assignments,
+    (SELECT count(*) FROM assigned) AS new_children FROM v)""",
     }

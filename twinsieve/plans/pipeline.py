@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from twinsieve.config import DedupeConfig
 from twinsieve.operators.cleanup import pathological_clusters, star_edges
 from twinsieve.operators.edges import EdgeStore
-from twinsieve.operators.lock import RunLock
-from twinsieve.operators.lsh import LshIndex, classify, sign
-from twinsieve.operators.matching import EDGE, raw_edges
+from twinsieve.operators.lock import Locked, RunLock
+from twinsieve.operators.lsh import LshIndex, band_keys, classify, sign
+from twinsieve.operators.matching import EDGE, raw_edges, resolving_edges
 from twinsieve.operators.resolve import parents_of, resolve
 from twinsieve.operators.sync import (
     SyncProgress, assignments_requiring_write, best_parents, child_marks, parent_coverage, parent_marks,
+    write_slices,
 )
 from twinsieve.runtime import filesystem, materialize
 from twinsieve.sources.base import DocumentSource, datasets_with_unprocessed
@@ -35,7 +36,7 @@ def dedupe_frame(docs: DataFrame, config: DedupeConfig = DedupeConfig(), pattern
     """One-shot: assignments of all duplicates in a table of documents; roots are the smallest ids."""
     kept = classify(docs, config, patterns).where("verdict = 'index'")
     signed = materialize(sign(kept, config.seed), "signed")
-    return resolve(materialize(raw_edges(signed, config).select(*EDGE), "edges"))
+    return resolve(materialize(resolving_edges(signed, config), "edges"))
 
 
 @dataclass
@@ -57,11 +58,16 @@ class DedupePipeline:
     inside pathological clusters by star edges, matches the rest against everything indexed, resolves only the components
     that the batch touches, and writes what changed. Every table of a run is written under the run's name
     before the next step reads it, and documents are marked last, so a run that died is simply run
-    again: its documents are still unprocessed and its tables are replaced.
+    again: its documents are still unprocessed and its tables are replaced. ``guard`` is called before anything is
+    written to the source and may raise, as a lock that was lost does. Ids of finished runs are kept in ``processed``,
+    so that matching an index without a source can go on where it stood.
     """
 
-    def __init__(self, spark: SparkSession, source: DocumentSource, data_dir: str, config: DedupeConfig = DedupeConfig()):
-        self.spark, self.source, self.folder, self.config = spark, source, data_dir.rstrip("/"), config
+    def __init__(
+        self, spark: SparkSession, source: DocumentSource, data_dir: str, config: DedupeConfig = DedupeConfig(),
+        guard: Callable[[], None] = lambda: None,
+    ):
+        self.spark, self.source, self.folder, self.config, self.guard = spark, source, data_dir.rstrip("/"), config, guard
         if config.fresh:
             fs, at = filesystem(spark, self.folder)
             fs.delete(at, True)
@@ -73,9 +79,23 @@ class DedupePipeline:
         fs, at = filesystem(self.spark, f"{self.folder}/filtered")
         return self.spark.read.parquet(f"{self.folder}/filtered/*") if fs.exists(at) else None
 
-    def run(self, run_id: str | None = None, patterns: tuple[str, ...] = ()) -> DedupeStats:
+    def processed(self) -> DataFrame | None:
+        """``id`` of everything that a finished run matched."""
+        fs, at = filesystem(self.spark, f"{self.folder}/processed")
+        return self.spark.read.parquet(f"{self.folder}/processed/*").distinct() if fs.exists(at) else None
+
+    def _done(self, ids: DataFrame, run_id: str) -> None:
+        ids.select("id").write.mode("overwrite").parquet(f"{self.folder}/processed/{run_id}")
+
+    def reprocess(self, ids: DataFrame, run_id: str | None = None) -> DedupeStats:
+        """Match the given ids again, whatever their state."""
+        return self.run(run_id, docs=self.source.by_ids(ids))
+
+    def run(self, run_id: str | None = None, patterns: tuple[str, ...] = (), docs: DataFrame | None = None) -> DedupeStats:
+        """One run over ``docs``, by default the source's unprocessed documents."""
         run_id, config = run_id or uuid.uuid4().hex, self.config
-        docs = self.source.documents() if config.process_all or config.fresh else self.source.unprocessed()
+        if docs is None:
+            docs = self.source.documents() if config.process_all or config.fresh else self.source.unprocessed()
         sorted_docs = materialize(classify(docs.select("id", "content"), config, patterns), "batch")
         counts = {r["verdict"]: r["count"] for r in sorted_docs.groupBy("verdict").count().collect()}
         stats = DedupeStats(sum(counts.values()), counts.get("boilerplate", 0), counts.get("short", 0), counts.get("index", 0))
@@ -84,22 +104,38 @@ class DedupePipeline:
         filtered = sorted_docs.where("verdict <> 'index'").select("id")
         filtered.write.mode("overwrite").parquet(f"{self.folder}/filtered/{run_id}")
         batch = sorted_docs.where("verdict = 'index'").select("id", "content")
-        self.index.insert(batch, run_id)
+        own = self.index.insert(batch, run_id)
         signed = self.index.signatures()
         new = batch.select("id")
-        clusters = pathological_clusters(signed, config.pathological_min_bucket, config.pathological_min_bands, new)
-        clusters = materialize(clusters, "clusters")
+        # everything below reads the band keys of the batch's folders, and signatures of documents that share one
+        known_before = new.join(own.select("id"), "id", "left_anti")
+        fresh = own.join(new.distinct(), "id", "left_semi") if known_before.isEmpty() else signed.join(new.distinct(), "id", "left_semi")
+        mine = materialize(band_keys(fresh).select("bucket").distinct(), "mine")
+        met = self.index.keys(mine).join(mine, "bucket", "left_semi")
+        met = materialize(met, "met")
+        near = materialize(signed.join(met.select("id").distinct(), "id", "left_semi"), "near")
+        clusters = self._clusters(met, near, new)
         stars = star_edges(clusters)
-        todo = materialize(to_match(new, clusters, signed), "todo")
-        found = raw_edges(signed, config, todo, clusters).select(*EDGE).unionByName(stars)
+        todo = materialize(to_match(new, clusters, near), "todo")
+        found = raw_edges(near, config, todo, clusters, met).select(*EDGE).unionByName(stars)
         self.store.insert(found, run_id)
         self.store.build_adjacency()
         stats.edges_found, assignments = self.sync(new, filtered)
         stats.assignments = assignments.count()
         stats.new_children = assignments.join(new.select(F.col("id").alias("child_id")), "child_id", "left_semi").count()
         stats.unique_parents = max(0, stats.indexed - stats.new_children) + stats.short + stats.boilerplate
+        self._done(new, run_id)
         return stats
 
+    def _clusters(self, met: DataFrame, near: DataFrame, new: DataFrame) -> DataFrame:
+        """Pathological clusters that the batch is in; only buckets large enough are looked into, mostly none."""
+        least = self.config.pathological_min_bucket
+        large = materialize(met.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") >= least), "large")
+        if large.isEmpty():
+            return self.spark.createDataFrame([], f"cluster string, band_count bigint, id {near.schema['id'].dataType.simpleString()}")
+        inside = near.join(met.join(large, "bucket", "left_semi").select("id").distinct(), "id", "left_semi")
+        return materialize(pathological_clusters(inside, least, self.config.pathological_min_bands, new), "clusters")
+
     def sync(self, new: DataFrame, filtered: DataFrame) -> tuple[int, DataFrame]:
         """Resolve the components that new ids touch and write what changed."""
         edges = self.store.connected(new, self.config.edge_lookup)
@@ -117,17 +153,21 @@ class DedupePipeline:
         downs = materialize(child_marks(assignments, new, parents), "downs")
         if self.source.supports_write and not self.config.skip_write:
             promoted = assignments.select(F.col("parent_id").alias("id")).distinct()
+            due = materialize(due, "due")
+            self.guard()
             self.progress.set("writing_dupes")
-            self.source.write_dupes(materialize(due, "due"), promoted)
+            self.source.write_dupes(due, promoted)
+            self.guard()
             self.progress.set("marking_parents")
             self.source.mark(ups, downs)
             self.progress.set("completed")
         return touched.count(), assignments
 
-    def replay(self, dry_run: bool = False) -> DataFrame:
+    def replay(self, dry_run: bool = False, slice_rows: int | None = None) -> DataFrame:
         """Resolve all stored edges again and write everything; the assignments come back.
 
-        A replay that died is taken up where it stood: rows that were written whole are not written again.
+        With ``slice_rows`` they are written in slices of so many rows. A replay that died is taken up where it stood:
+        slices that were written whole are not written again.
         """
         edges = self.store.edges()
         if edges is None:
@@ -139,24 +179,34 @@ class DedupePipeline:
         covered = covered.union(parents_of(edges, assignments)).distinct()
         promoted = assignments.select(F.col("parent_id").alias("id")).distinct()
         if self.progress.get()["step"] != "marking_parents":
-            self.progress.set("writing_dupes")
-            self.source.write_dupes(assignments, promoted)
+            self.guard()
+            write = lambda rows: self.source.write_dupes(rows, promoted)
+            write_slices(assignments, write, self.progress, slice_rows or max(1, assignments.count()))
+            self.guard()
             self.progress.set("marking_parents")
         self.source.mark(covered, assignments.select(F.col("child_id").alias("id")))
         self.progress.set("completed")
         return assignments
 
-    def from_index(self, run_id: str = "from-index") -> DataFrame:
-        """Match everything indexed, without a source; the edges' assignments come back."""
+    def from_index(self, run_id: str = "from-index", resume: bool = False) -> DataFrame:
+        """Match everything indexed, without a source; the edges' assignments come back. With ``resume`` only what no
+        finished run matched is matched, against everything."""
         signed = self.index.signatures()
         if signed is None:
             raise ValueError("the index is empty")
+        ids, before = signed.select("id"), self.processed() if resume else None
+        if before is not None:
+            ids = materialize(ids.join(before, "id", "left_anti"), "ids")
         clusters = materialize(
-            pathological_clusters(signed, self.config.pathological_min_bucket, self.config.pathological_min_bands), "clusters"
+            pathological_clusters(
+                signed, self.config.pathological_min_bucket, self.config.pathological_min_bands, None if before is None else ids
+            ),
+            "clusters",
         )
-        todo = materialize(to_match(signed.select("id"), clusters, signed), "todo")
-        found = raw_edges(signed, self.config, todo, clusters).select(*EDGE).unionByName(star_edges(clusters))
+        todo = materialize(to_match(ids, clusters, signed), "todo")
+        found = raw_edges(signed, self.config, todo, clusters, self.index.keys()).select(*EDGE).unionByName(star_edges(clusters))
         self.store.insert(found, run_id)
+        self._done(ids, run_id)
         return resolve(self.store.edges())
 
 
@@ -170,12 +220,11 @@ def run_datasets(
     for row in datasets_with_unprocessed(docs, datasets).collect():
         folder = f"{data_dir.rstrip('/')}/{row['dataset_id']}"
         lock = RunLock(spark, folder)
-        if not lock.acquire():
-            continue
         try:
-            done[row["name"]] = DedupePipeline(spark, open_source(row["dataset_id"]), folder, config).run()
-        finally:
-            lock.release()
+            with lock:
+                done[row["name"]] = DedupePipeline(spark, open_source(row["dataset_id"]), folder, config, lock.check).run()
+        except Locked:
+            continue
     return done
 
 

@@ -101,7 +101,8 @@ def normalize_text(spark, sf_dir):
 def char_ngrams(spark, sf_dir):
     grams = text.char_ngrams(text.normalize_content(F.coalesce("content", F.lit(""))))
     rows = _docs(spark, sf_dir).select("id", grams.alias("g"))
-    return rows.select("id", F.size("g").alias("n_grams"), F.size(F.array_distinct("g")).alias("n_distinct"))
+    digest = F.md5(F.array_join("g", "\x1f"))  # of the sequences themselves, in order
+    return rows.select("id", F.size("g").alias("n_grams"), F.size(F.array_distinct("g")).alias("n_distinct"), digest.alias("digest"))
 
 
 @query
@@ -129,7 +130,7 @@ def lsh_buckets(spark, sf_dir):
 
 @query
 def large_buckets(spark, sf_dir):
-    return lsh.large_buckets(_signed(spark, sf_dir), 3)
+    return lsh.large_buckets(_signed(spark, sf_dir), 3, CONFIG.large_bucket_limit)
 
 
 @query
@@ -208,8 +209,8 @@ def top_m_matches(spark, sf_dir):
 @query
 def edge_orientation(spark, sf_dir):
     sizes = _docs(spark, sf_dir).select("id", F.octet_length(F.coalesce("content", F.lit(""))).alias("n"))
-    pairs = _edges(spark, sf_dir).where("child_id < parent_id").select(
-        F.col("child_id").alias("p"), F.col("parent_id").alias("c"), "jaccard_similarity"
+    pairs = _edges(spark, sf_dir).where("child_id <> parent_id").select(
+        F.least("child_id", "parent_id").alias("p"), F.greatest("child_id", "parent_id").alias("c"), "jaccard_similarity"
     )
     pairs = pairs.join(sizes.select(F.col("id").alias("p"), F.col("n").alias("len_p")), "p")
     pairs = pairs.join(sizes.select(F.col("id").alias("c"), F.col("n").alias("len_c")), "c")
@@ -342,14 +343,20 @@ def parent_coverage(spark, sf_dir):
 
 @query
 def sync_resume_offset(spark, sf_dir):
-    return sync.rows_after(_assignments(spark, sf_dir), 25)
+    """What a write that had noted 25 rows writes when it goes on, in slices of 1,000."""
+    found = materialize(_assignments(spark, sf_dir), "assignments")
+    folder = new_path(spark, "sync")
+    source, progress = TableSource(spark, f"{folder}/tables"), sync.SyncProgress(spark, folder)
+    progress.set("writing_dupes", done=25)
+    sync.write_slices(found, source.write_dupes, progress, 1000)
+    return source.dupes()
 
 
 @query
 def delete_documents(spark, sf_dir):
-    source = FrameSource(_docs(spark, sf_dir))
-    gone = _stored(spark, sf_dir).select(F.col("child_id").alias("id"))
-    return source.documents().select("id").join(gone, "id", "left_anti")
+    source = TableSource.create(spark, new_path(spark, "deleted"), _docs(spark, sf_dir).select("id", "content", "is_parent"))
+    source.delete(_stored(spark, sf_dir).select(F.col("child_id").alias("id")))
+    return source.documents().select("id")
 
 
 # --- sources -------------------------------------------------------------------------------------

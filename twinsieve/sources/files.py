@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 
 import pandas as pd
@@ -82,8 +81,3 @@ class FileSource(DocumentSource):
         rows = assignments.join(paths.select(F.col("id").alias("child_id"), F.col("path").alias("child_path")), "child_id", "left")
         rows = rows.join(paths.select(F.col("id").alias("parent_id"), F.col("path").alias("parent_path")), "parent_id", "left")
         rows.write.mode("overwrite").json(target)
-
-
-def read_dupes_json(path: str) -> list[dict]:
-    with open(path) as f:
-        return [json.loads(line) for line in f if line.strip()]

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinsieve.operators.ledger import Ledger
 from twinsieve.operators.resolve import ASSIGNMENT
 from twinsieve.operators.sync import check_single_parent, mark_states, upsert_dupes
 from twinsieve.runtime import filesystem
@@ -16,33 +17,30 @@ DUPES = "child_id string, parent_id string, jaccard_similarity double, size_diff
 
 
 class VersionedTable:
-    """A table rewritten as a whole: a new version is written beside, then named by one rename."""
+    """A table rewritten as a whole: a new version is written beside, then named by one record of a ledger.
+    Of two writers that began with one version the second fails, so that no change is lost."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self.ledger = Ledger(spark, f"{self.folder}/versions")
 
-    def _current(self) -> str | None:
-        fs, at = filesystem(self.spark, f"{self.folder}/versions")
-        if not fs.exists(at):
-            return None
-        names = sorted(s.getPath().getName() for s in fs.listStatus(at))
-        return names[-1].split("~", 1)[1] if names else None
+    def version(self) -> int:
+        return self.ledger.last()[0]
 
     def read(self) -> DataFrame | None:
-        name = self._current()
-        return self.spark.read.parquet(f"{self.folder}/data/{name}") if name else None
+        _, last = self.ledger.last()
+        return self.spark.read.parquet(f"{self.folder}/data/{last['name']}") if last else None
 
-    def replace(self, df: DataFrame) -> None:
-        name = uuid.uuid4().hex
+    def replace(self, df: DataFrame, after: int | None = None) -> None:
+        """``after`` is the version that ``df`` was made from, by default the last one."""
+        name, number = uuid.uuid4().hex, self.version() if after is None else after
         df.write.parquet(f"{self.folder}/data/{name}")
-        fs, at = filesystem(self.spark, f"{self.folder}/versions")
-        fs.mkdirs(at)
-        names = sorted(s.getPath().getName() for s in fs.listStatus(at))
-        number = int(names[-1].split("~")[0]) + 1 if names else 1
-        fs.mkdirs(filesystem(self.spark, f"{self.folder}/versions/{number:09d}~{name}")[1])
-        for old in names[:-1]:  # the version before stays for readers that began with it
-            fs.delete(filesystem(self.spark, f"{self.folder}/data/{old.split('~', 1)[1]}")[1], True)
-            fs.delete(filesystem(self.spark, f"{self.folder}/versions/{old}")[1], True)
+        self.ledger.add(number + 1, {"name": name})
+        for old in self.ledger.numbers():
+            if old < number:  # the version before stays for readers that began with it
+                fs, at = filesystem(self.spark, f"{self.folder}/data/{self.ledger.read(old)['name']}")
+                fs.delete(at, True)
+                self.ledger.forget(old)
 
 
 class TableSource(DocumentSource):
@@ -83,14 +81,23 @@ class TableSource(DocumentSource):
             ids = ids.join(docs.select("id", "is_parent").dropDuplicates(["id"]), "id")
         else:
             ids = ids.withColumn("is_parent", F.lit(None).cast("boolean"))
+        version = self.states.version()
         new, old = ids.withColumn("part", F.lit(part)), self.states.read()
         if old is not None:
             new = old.join(new.select("id"), "id", "left_anti").unionByName(new)
-        self.states.replace(new)
+        self.states.replace(new, version)
 
     def documents(self) -> DataFrame:
-        contents = self.spark.read.parquet(f"{self.folder}/contents")
-        return scoped(contents.join(self.states.read(), ["id", "part"]).drop("part"), self.where, self.dataset_id)
+        return self._of(self.states.read())
+
+    def unprocessed(self) -> DataFrame:
+        """Only the parts that hold unprocessed documents are read."""
+        return self._of(self.states.read().where("is_parent is null"))
+
+    def _of(self, states: DataFrame) -> DataFrame:
+        parts = [r["part"] for r in states.select("part").distinct().collect()]  # one for each time documents were added
+        contents = self.spark.read.parquet(f"{self.folder}/contents").where(F.col("part").isin(parts))
+        return scoped(contents.join(states, ["id", "part"]).drop("part"), self.where, self.dataset_id)
 
     def dupes(self) -> DataFrame:
         found = self.matches.read()
@@ -98,16 +105,19 @@ class TableSource(DocumentSource):
 
     def write_dupes(self, assignments: DataFrame, promoted: DataFrame | None = None) -> None:
         check_single_parent(assignments)
-        self.matches.replace(upsert_dupes(self.dupes(), assignments, promoted))
+        version = self.matches.version()
+        self.matches.replace(upsert_dupes(self.dupes(), assignments, promoted), version)
 
     def mark(self, parents: DataFrame, children: DataFrame) -> None:
-        self.states.replace(mark_states(self.states.read(), parents, children).drop("changed"))
+        version = self.states.version()
+        self.states.replace(mark_states(self.states.read(), parents, children).drop("changed"), version)
 
     def existing_parents(self, ids: DataFrame) -> DataFrame:
         return self.states.read().where("is_parent").select("id").join(ids.select("id").distinct(), "id", "left_semi")
 
     def delete(self, ids: DataFrame) -> None:
-        self.states.replace(self.states.read().join(ids.select("id").distinct(), "id", "left_anti"))
+        version = self.states.version()
+        self.states.replace(self.states.read().join(ids.select("id").distinct(), "id", "left_anti"), version)
 
 
 class FrameSource(DocumentSource):
