@@ -158,7 +158,7 @@ SUBJECT = re.compile(
 )
 NEXT_WORD = re.compile(rf"{_B}(?:&{_B})?([\p{{L}}]+)")
 INITIAL_AFTER = re.compile(rf"(?:{_B}{_INIT})+")
-BLANK, DIGIT = re.compile(r"\s+"), re.compile(r"\d")
+DIGIT = re.compile(r"\d")
 #: Words around a street word that an address can reach; the longest pattern has nine.
 REACH = 12
 #: Signs that a telephone number can begin with.
@@ -197,7 +197,8 @@ class Finder:
             for word in words:
                 tags.setdefault(word.lower(), set()).add(kind)
         for word, kinds in tags.items():
-            self.anchors.add_word(word, (len(word), tuple(sorted(kinds))))
+            # most hits are digits, which need no more than their place
+            self.anchors.add_word(word, None if kinds == {"number"} else (len(word), tuple(sorted(kinds))))
         self.anchors.make_automaton()
 
     def find(self, text: str | None) -> list[tuple[str, int, int]]:
@@ -207,10 +208,13 @@ class Finder:
         low = text.lower()
         if len(low) != len(text):  # a few letters grow in lower case; positions must stay
             low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
-        hits: dict[str, list[tuple[int, int]]] = {k: [] for k in ("at", "id", "number", "street", "person", "of", "known")}
-        for end, (size, kinds) in self.anchors.iter(low):
-            if kinds == ("number",) and end and low[end - 1].isdecimal():
-                continue  # only the first digit of several can begin a number
+        hits: dict[str, list[tuple[int, int]]] = {k: [] for k in ("at", "id", "street", "person", "of", "known")}
+        numbers = []
+        for end, value in self.anchors.iter(low):
+            if value is None:
+                numbers.append(end)
+                continue
+            size, kinds = value
             for kind in kinds:
                 hits[kind].append((end + 1 - size, end + 1))
         spans: list[tuple[str, int, int]] = []
@@ -225,8 +229,8 @@ class Finder:
             take("email", self._emails(text, hits["at"]))
         if hits["id"]:
             take("idno", self._ids(text, low, hits["id"]))
-        if hits["number"]:
-            take("phone", self._phones(text, low, hits["number"]))
+        if numbers:
+            take("phone", self._phones(text, low, numbers))
         if hits["street"]:
             take("address", self._addresses(text, hits["street"]))
         take("name", self._names(text, low, hits["person"], hits["of"], hits["known"]))
@@ -265,10 +269,12 @@ class Finder:
                         yield value.start(), value.end()
                     break
 
-    def _phones(self, text: str, low: str, hits: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-        done = 0
-        for start, _ in hits:
-            if start < done or not (m := PHONE.match(text, start)):
+    def _phones(self, text: str, low: str, starts: list[int]) -> Iterator[tuple[int, int]]:
+        done, last = 0, -2
+        for start in starts:
+            follows, last = start == last + 1 and text[start] not in "(+", start
+            # only the first digit of several can begin a number
+            if follows and text[start - 1] not in "(+" or start < done or not (m := PHONE.match(text, start)):
                 continue
             a, b = m.span()
             done = b
@@ -290,20 +296,26 @@ class Finder:
     @staticmethod
     def _around(text: str, hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
         """Stretches of ``REACH`` words to both sides of the hits, within lines, those that meet made one."""
-        blanks = [m.span() for m in BLANK.finditer(text)]
-        starts = [a for a, _ in blanks]
-        lines = [-1, *(m.start() for m in re.finditer("\n", text)), len(text)]
         out: list[tuple[int, int]] = []
         for a, b in hits:
-            line = bisect_left(lines, a)
-            left, right = lines[line - 1] + 1 if line else 0, lines[line]
-            at = bisect_left(starts, a) - 1 - REACH
-            if at >= 0:
-                left = max(left, blanks[at][1])
-            at = bisect_left(starts, b) + REACH
-            if at < len(blanks):
-                right = min(right, starts[at])
-            if out and left <= out[-1][1] + 1:
+            inside = out and a <= out[-1][1]
+            if inside:
+                left = out[-1][0]
+            else:
+                left, line = a, text.rfind("\n", 0, a) + 1
+                for _ in range(REACH):
+                    left = text.rfind(" ", line, left)
+                    if left < 0:
+                        left = line
+                        break
+            right, end = b, text.find("\n", b)
+            end = len(text) if end < 0 else end
+            for _ in range(REACH):
+                right = text.find(" ", right + 1, end)
+                if right < 0:
+                    right = end
+                    break
+            if inside or out and left <= out[-1][1]:
                 out[-1] = out[-1][0], max(out[-1][1], right)
             else:
                 out.append((left, right))
