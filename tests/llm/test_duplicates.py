@@ -295,6 +295,8 @@ def test_survivors(spark):
     assert got == [
         ("a", "content", "c"), ("a", "filename", "c"), ("e", "content", "e"), ("h", "content", "i"), ("h", "filename", "i"),
     ]
+    groups = consolidate.match_groups(spark.createDataFrame(links, "child_id string, parent_id string")).withColumn("rank", F.lit(1))
+    assert rows(survivor.survivors(None, frame, groups)) == got
     built = rows(survivor.surviving_records(spark.createDataFrame(links, "child_id string, parent_id string"), frame))
     assert built == [("a", "trusted", "x.html"), ("e", None, None), ("h", "a😀", "k.tar.gz")]
 

@@ -41,8 +41,9 @@ def combinations(bins: int) -> np.ndarray:
     return np.array(rows, np.int64)
 
 
-def nonnegative_least_squares(combos: np.ndarray, target: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """x >= 0 that brings the use of each bin near ``target``, by accelerated projected gradients."""
+def nonnegative_least_squares(combos: np.ndarray, target: np.ndarray, rounds: int = 4000, near: float = 1e-5) -> np.ndarray:
+    """x >= 0 that brings the use of each bin near ``target``, by accelerated projected gradients, until a round
+    changes no count by more than ``near`` of the largest."""
     bins = len(target)
     flat = combos.ravel()
     used = flat > 0
@@ -69,7 +70,10 @@ def nonnegative_least_squares(combos: np.ndarray, target: np.ndarray, rounds: in
         new = np.maximum(0.0, z - back(weight * (apply(z) - want)) / norm)
         t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
         z = new + (t - 1) / t_new * (new - x)
+        still = np.abs(new - x).max() <= near * new.max()
         x, t = new, t_new
+        if still:
+            break
     return x * scale
 
 

@@ -17,15 +17,16 @@ def top_per_group(rows: DataFrame, order: list[Column], group: str = "group_id")
     return ranked.where("_rank = 1").drop("_rank")
 
 
-def survivors(dupes: DataFrame, corpus: DataFrame) -> DataFrame:
+def survivors(dupes: DataFrame | None, corpus: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """``group_id, field_name, from_id``: the id whose value survives, for groups of two or more.
 
     content: trusted rows (is_parent true) first, then the longest content (code points, null is 0),
     the latest loaded_at (null is earliest), the smallest id. filename: among names that end in a dot
     and 2 to 5 ASCII letters or digits, the latest loaded_at, then the smallest id; none, no row.
-    Ids that corpus lacks can't survive; a group without any row in corpus gives no row.
+    Ids that corpus lacks can't survive; a group without any row in corpus gives no row. ``groups`` (``id,
+    group_id``) are taken where they are there already, else those of the matches in ``dupes``.
     """
-    groups = match_groups(dupes)
+    groups = match_groups(dupes) if groups is None else groups.select("id", "group_id")
     several = groups.where("id <> group_id").select("group_id").distinct()
     known = corpus.where(F.col("id").isNotNull()).select(
         "id",
