@@ -24,6 +24,7 @@ from twinsieve.sources.base import (
     DocumentSource, NotSupported, dataset_id_of, dataset_name_of, datasets_with_unprocessed, scoped, upsert_documents,
     validate_table_name,
 )
+from twinsieve.sources.generate import demo_documents
 from twinsieve.sources.files import FileConfig, FileSource
 from twinsieve.sources.postgres import PostgresConfig, PostgresSource, id_ranges
 from twinsieve.sources.sqlite import SqliteSource
@@ -524,3 +525,30 @@ def test_entry_survives_a_missing_package(monkeypatch):
     monkeypatch.setattr(entry.importlib, "import_module", gone)
     with pytest.warns(UserWarning):
         assert "dedupe_once" in entry.queries() and "p2_found" not in entry.queries()
+
+
+def test_generated_documents(spark, tmp_path):
+    docs = demo_documents(spark, groups=4, copies=3, singles=5)
+    assert rows(docs) == rows(demo_documents(spark, groups=4, copies=3, singles=5)) and docs.count() == 17
+    found = {r["child_id"]: r["parent_id"] for r in dedupe_frame(docs).collect()}
+    number = lambda i: int(i.split("-")[1])
+    assert found and all(number(c) // 3 == number(p) // 3 and number(c) < 12 for c, p in found.items())
+    assert cli.main(["generate", "--tables", f"file://{tmp_path}/t", "--generate", "2", "2", "1"], spark) == 0
+    assert TableSource(spark, f"file://{tmp_path}/t").count_unprocessed() == 5
+
+
+def test_other_bands_and_rows(spark):
+    """Short bands make candidates of texts that share few slots; an index keeps its own shape."""
+    config = DedupeConfig(num_bands=32, rows_per_band=4)
+    sig = list(range(128))
+    half = [x if k % 8 < 4 else -x - 1 for k, x in enumerate(sig)]
+    signed = spark.createDataFrame([("a", sig, 600), ("b", half, 600)], "id string, sig array<bigint>, content_len bigint")
+    assert candidate_pairs(signed).count() == 0 and candidate_pairs(signed, config=config).count() == 1
+    folder = new_path(spark, "shape")
+    index = LshIndex(spark, folder, config)
+    index.insert(docs_frame(spark, [("1", A)]), "one")
+    assert index.keys().count() == 32
+    with pytest.raises(MetadataMismatch):
+        LshIndex(spark, folder)
+    with pytest.raises(ValueError):
+        DedupeConfig(num_bands=40, rows_per_band=4)

@@ -20,13 +20,14 @@ from twinsieve.plans.inspect import jaccard_histogram, samples
 from twinsieve.plans.pipeline import DedupePipeline, run_datasets
 from twinsieve.runtime import scratch
 from twinsieve.sources.base import validate_table_name
+from twinsieve.sources.generate import demo_documents
 
 log = logging.getLogger("twinsieve")
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="twinsieve", description=__doc__)
-    p.add_argument("mode", choices=("run", "daemon", "sync", "from-index", "inspect", "build-adjacency", "cleanup"))
+    p.add_argument("mode", choices=("run", "daemon", "sync", "from-index", "inspect", "build-adjacency", "cleanup", "generate"))
     p.add_argument("--sqlite", help="SQLite file with the documents")
     p.add_argument("--postgres", help="URL of a PostgreSQL database")
     p.add_argument("--id-type", default="uuid", help="type of the ids in PostgreSQL")
@@ -47,6 +48,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--threshold", type=float, default=0.8)
     p.add_argument("--size-diff", type=float, default=0.3)
     p.add_argument("--seed", type=int, default=42)
+    p.add_argument("--num-bands", type=int, default=16)
+    p.add_argument("--rows-per-band", type=int, default=8)
     p.add_argument("--min-content-len", type=int, default=500)
     p.add_argument("--max-matches-per-doc", type=int, default=0, help="0 is off")
     p.add_argument("--edge-lookup", choices=("scan", "index", "auto", "shadow"), default="auto")
@@ -61,6 +64,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--error-backoff", type=float, default=30.0, help="seconds after a failed round, doubled up to an hour")
     p.add_argument("--run-once", action="store_true")
     p.add_argument("--inspect-limit", type=int, default=20)
+    p.add_argument("--inspect-sample", type=float, default=0.0, help="inspect edges of at least this similarity")
+    p.add_argument("--generate", type=int, nargs=3, default=(50, 3, 50), metavar=("GROUPS", "COPIES", "SINGLES"), help="invented documents for --tables or --sqlite")
     p.add_argument("--cleanup-action", default="report")
     p.add_argument("--cleanup-min-bucket", type=int, default=10_000)
     p.add_argument("--cleanup-min-bands", type=int, default=14)
@@ -96,6 +101,8 @@ def config_of(args: argparse.Namespace) -> DedupeConfig:
         threshold=args.threshold,
         size_diff=args.size_diff,
         seed=args.seed,
+        num_bands=args.num_bands,
+        rows_per_band=args.rows_per_band,
         min_content_length=args.min_content_len,
         process_all=whole,
         fresh=whole,
@@ -166,6 +173,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if args.mode == "daemon":
         daemon(spark, args)
         return 0
+    if args.mode == "generate":
+        docs = demo_documents(spark, *args.generate)
+        if args.sqlite:
+            source_of(spark, args).insert(tuple(r)[:4] for r in docs.toLocalIterator())
+        elif args.tables:
+            source_of(spark, args).add(docs, uuid.uuid4().hex)
+        else:
+            raise SystemExit("generate needs --tables or --sqlite")
+        return 0
     if args.mode == "inspect":
         return _mode(spark, args, DedupePipeline(spark, source_of(spark, args), args.data_dir, config_of(args)))
     with RunLock(spark, args.data_dir) as lock:
@@ -188,7 +204,7 @@ def _mode(spark: SparkSession, args: argparse.Namespace, pipeline: DedupePipelin
             print(json.dumps({"edges": 0}))
         else:
             jaccard_histogram(edges).show(truncate=False)
-            samples(edges, 0.0, None, args.inspect_limit).show(args.inspect_limit, truncate=False)
+            samples(edges, args.inspect_sample, None, args.inspect_limit).show(args.inspect_limit, truncate=False)
     else:
         signed = pipeline.index.signatures()
         if signed is None:

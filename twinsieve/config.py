@@ -22,6 +22,8 @@ class DedupeConfig:
     threshold: float = 0.8
     size_diff: float = 0.3
     seed: int = SEED
+    num_bands: int = NUM_BANDS
+    rows_per_band: int = ROWS_PER_BAND
     min_content_length: int = 500
     process_all: bool = False
     fresh: bool = False
@@ -43,7 +45,9 @@ class DedupeConfig:
             (self.batch_size > 0, "batch_size must be positive"),
             (self.edge_lookup in ("scan", "index", "auto", "shadow"), "edge_lookup is scan, index, auto or shadow"),
             (self.pathological_min_bucket > 1, "pathological_min_bucket must be above 1"),
-            (1 <= self.pathological_min_bands <= NUM_BANDS, "pathological_min_bands must lie in 1..16"),
+            (self.num_bands > 0 and self.rows_per_band > 0, "num_bands and rows_per_band must be positive"),
+            (self.num_bands * self.rows_per_band <= NUM_PERM, "bands hold more rows than a signature has"),
+            (1 <= self.pathological_min_bands <= max(NUM_BANDS, self.num_bands), "pathological_min_bands must not exceed the bands"),
         )
         for good, message in checks:
             if not good:

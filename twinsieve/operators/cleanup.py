@@ -7,6 +7,7 @@ from enum import Enum
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from twinsieve.config import DedupeConfig
 from twinsieve.operators.lsh import bands, large_buckets
 from twinsieve.runtime import materialize
 
@@ -56,7 +57,7 @@ def first_apart(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def pathological_clusters(
-    signed: DataFrame, min_bucket: int = 1000, min_bands: int = 14, batch: DataFrame | None = None
+    signed: DataFrame, min_bucket: int = 1000, min_bands: int = 14, batch: DataFrame | None = None, config: DedupeConfig = DedupeConfig()
 ) -> DataFrame:
     """``cluster, band_count, id``: members of each cluster, one row each.
 
@@ -67,9 +68,9 @@ def pathological_clusters(
     With ``batch`` only buckets that hold one of its ids are looked at: a cluster's new member lies in all
     its bands. All large buckets take part, however many, and everything stays in tables.
     """
-    big = large_buckets(signed, min_bucket, None, batch)
+    big = large_buckets(signed, min_bucket, None, batch, config)
     big = materialize(big.withColumn("bucket", F.concat_ws(":", "band", "key")).select("bucket", "band", "key", "size"), "big")
-    members = materialize(bands(signed).join(big, ["band", "key"]).select("bucket", "band", "size", "id"), "members")
+    members = materialize(bands(signed, config).join(big, ["band", "key"]).select("bucket", "band", "size", "id"), "members")
     a = members.select(F.col("bucket").alias("start"), F.col("band").alias("band_a"), F.col("size").alias("size_a"), "id")
     b = members.select(F.col("bucket").alias("other"), F.col("band").alias("band_b"), "id")
     shared = a.join(b, "id").groupBy("start", "band_a", "size_a", "other", "band_b").agg(F.count("*").alias("n"))

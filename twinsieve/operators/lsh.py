@@ -6,10 +6,10 @@ import json
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from twinsieve.config import HASH_VERSION, NUM_BANDS, NUM_PERM, ROWS_PER_BAND, SEED, TOKENIZER_VERSION, DedupeConfig
+from twinsieve.config import HASH_VERSION, NUM_PERM, SEED, TOKENIZER_VERSION, DedupeConfig
 from twinsieve.functions.minhash import band_hashes, band_slices, signature_udf
 from twinsieve.functions.text import is_boilerplate, normalize_content, size_within
 from twinsieve.operators.skew import hot_keys, pairs_within
@@ -39,9 +39,9 @@ def sign(docs: DataFrame, seed: int = SEED) -> DataFrame:
     )
 
 
-def bands(signed: DataFrame) -> DataFrame:
+def bands(signed: DataFrame, config: DedupeConfig = DedupeConfig()) -> DataFrame:
     """``id, band, key`` with the slots themselves as key."""
-    return signed.select("id", F.inline(band_slices(F.col("sig"))))
+    return signed.select("id", F.inline(band_slices(F.col("sig"), config.num_bands, config.rows_per_band)))
 
 
 def buckets(signed: DataFrame) -> DataFrame:
@@ -49,26 +49,37 @@ def buckets(signed: DataFrame) -> DataFrame:
     return bands(signed).groupBy("band", "key").agg(F.sort_array(F.collect_set("id")).alias("doc_ids"))
 
 
-def large_buckets(signed: DataFrame, min_size: int, limit: int | None = 10_000, batch: DataFrame | None = None) -> DataFrame:
+def large_buckets(
+    signed: DataFrame, min_size: int, limit: int | None = 10_000, batch: DataFrame | None = None, config: DedupeConfig = DedupeConfig()
+) -> DataFrame:
     """``band, key, size``: the ``limit`` largest buckets of at least ``min_size`` documents, or all with
     None; with ``batch`` only of those that hold one of its ids."""
-    rows = bands(signed)
+    rows = bands(signed, config)
     if batch is not None:
-        mine = bands(signed.join(batch.select("id").distinct(), "id", "left_semi")).select("band", "key").distinct()
+        mine = bands(signed.join(batch.select("id").distinct(), "id", "left_semi"), config).select("band", "key").distinct()
         rows = rows.join(mine, ["band", "key"], "left_semi")
     sizes = rows.groupBy("band", "key").agg(F.count("*").alias("size")).where(F.col("size") >= min_size)
     return sizes if limit is None else sizes.orderBy(F.col("size").desc(), "band", "key").limit(limit)
 
 
-def band_keys(signed: DataFrame) -> DataFrame:
+def bucket_samples(signed: DataFrame, found: DataFrame, most: int = 5) -> DataFrame:
+    """The given ``band, key`` rows with ``samples``: their ``most`` smallest ids, joined by commas."""
+    members = bands(signed).join(found.select("band", "key"), ["band", "key"], "left_semi")
+    rank = F.row_number().over(Window.partitionBy("band", "key").orderBy("id"))
+    few = members.withColumn("_rank", rank).where(F.col("_rank") <= most)
+    listed = few.groupBy("band", "key").agg(F.array_join(F.sort_array(F.collect_list("id")), ",").alias("samples"))  # at most `most`
+    return found.join(listed, ["band", "key"])
+
+
+def band_keys(signed: DataFrame, config: DedupeConfig = DedupeConfig()) -> DataFrame:
     """``id, content_len, bucket``: a 64-bit number for each band of each document."""
     kept = [c for c in ("content_len",) if c in signed.columns]
-    return signed.select("id", *kept, F.explode(band_hashes(F.col("sig"))).alias("bucket"))
+    return signed.select("id", *kept, F.explode(band_hashes(F.col("sig"), config.num_bands, config.rows_per_band)).alias("bucket"))
 
 
 def candidate_pairs(
     signed: DataFrame, batch: DataFrame | None = None, size_diff: float | None = None, linked: DataFrame | None = None,
-    known: DataFrame | None = None,
+    known: DataFrame | None = None, config: DedupeConfig = DedupeConfig(),
 ) -> DataFrame:
     """``p, c``: pairs that share a band, each once. Without ``batch``, ``p`` is the smaller id of every
     pair; with it, ``p`` runs over the batch's ids and ``c`` over everything, and a pair inside the
@@ -78,9 +89,9 @@ def candidate_pairs(
     Buckets of many documents are split over tasks."""
     clusters = None if linked is None else linked.groupBy("id").agg(F.min("cluster").alias("cluster"))
     tag = lambda rows: rows.withColumn("cluster", F.lit(None).cast("string")) if clusters is None else rows.join(clusters, "id", "left")
-    right = tag(band_keys(signed) if known is None else known.select("id", "content_len", "bucket"))
+    right = tag(band_keys(signed, config) if known is None else known.select("id", "content_len", "bucket"))
     ids = None if batch is None else batch.select("id").distinct()
-    left = right if ids is None else tag(band_keys(signed.join(ids, "id", "left_semi")))
+    left = right if ids is None else tag(band_keys(signed.join(ids, "id", "left_semi"), config))
     side = lambda rows, s: rows.select(F.col("id").alias(s), F.col("content_len").alias(f"len_{s}"), F.col("cluster").alias(f"cluster_{s}"), "bucket")
     left, right = side(left, "p"), side(right, "c")
     # a small batch is broadcast at run time, and history is only scanned
@@ -113,8 +124,8 @@ class LshIndex:
         self.metadata = {
             "seed": config.seed,
             "num_perm": NUM_PERM,
-            "num_bands": NUM_BANDS,
-            "rows_per_band": ROWS_PER_BAND,
+            "num_bands": config.num_bands,
+            "rows_per_band": config.rows_per_band,
             "tokenizer_version": TOKENIZER_VERSION,
             "hash_version": HASH_VERSION,
         }
@@ -147,7 +158,7 @@ class LshIndex:
         return F.pmod("bucket", F.lit(SLOTS)).cast("int")
 
     def _write_keys(self, batch: str) -> None:
-        rows = band_keys(self.spark.read.parquet(f"{self.folder}/signatures/{batch}")).withColumn("slot", self._slot())
+        rows = band_keys(self.spark.read.parquet(f"{self.folder}/signatures/{batch}"), self.config).withColumn("slot", self._slot())
         rows.repartition("slot").write.mode("overwrite").partitionBy("slot").parquet(f"{self.folder}/bands/{batch}")
 
     def keys(self, wanted: DataFrame | None = None) -> DataFrame | None:
@@ -191,14 +202,14 @@ class LshIndex:
 
     def bucket_docs(self, wanted: DataFrame) -> DataFrame:
         """``band, key, id``: the members of the given ``band, key`` rows."""
-        return bands(self.signatures()).join(wanted.select("band", "key").distinct(), ["band", "key"], "left_semi")
+        return bands(self.signatures(), self.config).join(wanted.select("band", "key").distinct(), ["band", "key"], "left_semi")
 
     def query(self, docs: DataFrame) -> DataFrame:
         """``id, other``: indexed documents that share a band with the given ones, themselves left out.
 
         The given documents need not be in the index.
         """
-        asked = band_keys(sign(docs, self.config.seed)).select("id", "bucket")
+        asked = band_keys(sign(docs, self.config.seed), self.config).select("id", "bucket")
         known = self.keys(asked).select(F.col("id").alias("other"), "bucket")
         return asked.join(known, "bucket").where("id <> other").select("id", "other").distinct()
 

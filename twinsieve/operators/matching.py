@@ -43,10 +43,12 @@ def top_matches(edges: DataFrame, most: int, owner: str = "p") -> DataFrame:
 
 def raw_edges(
     signed: DataFrame, config: DedupeConfig = DedupeConfig(), batch: DataFrame | None = None, linked: DataFrame | None = None,
-    known: DataFrame | None = None,
+    known: DataFrame | None = None, pairs: DataFrame | None = None,
 ) -> DataFrame:
-    """Edges above the threshold with sizes close enough, and their owner ``p``; none inside a cluster of ``linked``."""
-    pairs = candidate_pairs(signed, batch, config.size_diff, linked, known)
+    """Edges above the threshold with sizes close enough, and their owner ``p``; none inside a cluster of ``linked``.
+    ``pairs`` are the candidates where they are there already."""
+    if pairs is None:
+        pairs = candidate_pairs(signed, batch, config.size_diff, linked, known, config)
     edges = orient(score(pairs, signed).where(F.col("jaccard_similarity") >= config.threshold))
     return top_matches(edges, config.max_matches_per_doc) if config.max_matches_per_doc else edges
 
@@ -71,7 +73,7 @@ def resolving_edges(signed: DataFrame, config: DedupeConfig = DedupeConfig()) ->
     edge = lambda p, c: (F.col(p).alias("p"), F.col(c).alias("c"))
     size = lambda a, b: (F.col(a).alias("len_p"), F.col(b).alias("len_c"), "jaccard_similarity")
     within = others.select(*edge("first", "id"), *size("content_len", "content_len")[:2], F.lit(1.0).alias("jaccard_similarity"))
-    pairs = candidate_pairs(classes.select("id", "sig", "content_len"), size_diff=config.size_diff)
+    pairs = candidate_pairs(classes.select("id", "sig", "content_len"), size_diff=config.size_diff, config=config)
     scored = materialize(score(pairs, classes).where(F.col("jaccard_similarity") >= config.threshold), "scored")
     copies = others.select("id", "first")
     left = scored.join(copies, F.col("p") == F.col("first")).select(*edge("id", "c"), *size("len_p", "len_c"))

@@ -100,6 +100,10 @@ clusters AS (
   SELECT i.start AS cluster, i.band_count, i.id FROM inside i JOIN ranked USING (start)
   WHERE list_contains((SELECT kept FROM pick ORDER BY k DESC LIMIT 1), k))"""
 
+_COMPARED = """pairs_ AS (
+  SELECT p, c FROM cand JOIN signed a ON a.id = p JOIN signed b ON b.id = c WHERE a.content_len = 0 OR b.content_len = 0
+     OR (greatest(a.content_len, b.content_len) - least(a.content_len, b.content_len)) / greatest(a.content_len, b.content_len) <= 0.3)"""
+
 _E = "child_id, parent_id, jaccard_similarity, size_difference, size_difference_pct"
 
 _EDGES = f"""clean AS (
@@ -190,7 +194,8 @@ FROM seg JOIN whole USING (bucket_key) GROUP BY bucket_key, n_docs""",
         "minhash_signature": signed + "SELECT id, array_to_string(sig, '-') AS signature, content_len::BIGINT AS content_len FROM signed",
         "band_keys": signed + "SELECT id, band, key FROM bands",
         "lsh_buckets": signed + "SELECT band, key, string_agg(id, ',' ORDER BY id) AS doc_ids, count(*)::INTEGER AS n FROM bands GROUP BY band, key",
-        "large_buckets": signed + "SELECT band, key, count(*) AS size FROM bands GROUP BY band, key HAVING count(*) >= 3 ORDER BY size DESC, band, key LIMIT 10000",
+        "large_buckets": signed + """SELECT band, key, count(*) AS size, array_to_string(list(id ORDER BY id)[1:5], ',') AS samples FROM bands
+GROUP BY band, key HAVING count(*) >= 3 ORDER BY size DESC, band, key LIMIT 10000""",
         "lsh_candidates": _with(_SIGNED, _CANDIDATES) + "SELECT p, c FROM cand",
         "incremental_candidates": _with(_SIGNED, _NEW_CANDIDATES) + "SELECT p, c FROM newc",
         "exact_ngram_jaccard": _with(_TEXT, _GRAMS.format(source="t"), _EDGES)
@@ -296,9 +301,10 @@ FROM e JOIN corpus_docs c ON c.id = child_id JOIN corpus_docs p ON p.id = parent
 FROM corpus_docs WHERE is_parent IS NOT NULL""",
         "dedupe_once": once,
         "pipeline_assignments": once,
-        "pipeline_stats": _with(_RAW, _resolved("raw"), recursive=True)
+        "pipeline_stats": _with(_RAW, _resolved("raw"), _COMPARED, recursive=True)
         + """SELECT *, indexed - new_children + short + boilerplate AS unique_parents FROM (
   SELECT count(*) AS total, count(*) FILTER (verdict = 'boilerplate') AS boilerplate, count(*) FILTER (verdict = 'short') AS short,
-    count(*) FILTER (verdict = 'index') AS indexed, (SELECT count(*) FROM raw) AS edges_found, (SELECT count(*) FROM assigned) AS assignments,
+    count(*) FILTER (verdict = 'index') AS indexed, 0::BIGINT AS skipped, (SELECT count(*) FROM pairs_) AS candidates,
+    (SELECT count(*) FROM raw) AS edges_found, (SELECT count(*) FROM assigned) AS assignments,
     (SELECT count(*) FROM assigned) AS new_children FROM v)""",
     }

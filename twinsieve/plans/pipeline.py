@@ -13,7 +13,7 @@ from twinsieve.config import DedupeConfig
 from twinsieve.operators.cleanup import pathological_clusters, star_edges
 from twinsieve.operators.edges import EdgeStore
 from twinsieve.operators.lock import Locked, RunLock
-from twinsieve.operators.lsh import LshIndex, band_keys, classify, sign
+from twinsieve.operators.lsh import LshIndex, band_keys, candidate_pairs, classify, sign
 from twinsieve.operators.matching import EDGE, raw_edges, resolving_edges
 from twinsieve.operators.resolve import parents_of, resolve
 from twinsieve.operators.sync import (
@@ -41,10 +41,14 @@ def dedupe_frame(docs: DataFrame, config: DedupeConfig = DedupeConfig(), pattern
 
 @dataclass
 class DedupeStats:
+    """``skipped``: documents that an earlier batch had signed; ``candidates``: pairs whose signatures were compared."""
+
     total: int = 0
     boilerplate: int = 0
     short: int = 0
     indexed: int = 0
+    skipped: int = 0
+    candidates: int = 0
     edges_found: int = 0
     assignments: int = 0
     new_children: int = 0
@@ -108,16 +112,18 @@ class DedupePipeline:
         signed = self.index.signatures()
         new = batch.select("id")
         # everything below reads the band keys of the batch's folders, and signatures of documents that share one
-        known_before = new.join(own.select("id"), "id", "left_anti")
-        fresh = own.join(new.distinct(), "id", "left_semi") if known_before.isEmpty() else signed.join(new.distinct(), "id", "left_semi")
-        mine = materialize(band_keys(fresh).select("bucket").distinct(), "mine")
+        stats.skipped = new.distinct().join(own.select("id"), "id", "left_anti").count()
+        fresh = own.join(new.distinct(), "id", "left_semi") if not stats.skipped else signed.join(new.distinct(), "id", "left_semi")
+        mine = materialize(band_keys(fresh, config).select("bucket").distinct(), "mine")
         met = self.index.keys(mine).join(mine, "bucket", "left_semi")
         met = materialize(met, "met")
         near = materialize(signed.join(met.select("id").distinct(), "id", "left_semi"), "near")
         clusters = self._clusters(met, near, new)
         stars = star_edges(clusters)
         todo = materialize(to_match(new, clusters, near), "todo")
-        found = raw_edges(near, config, todo, clusters, met).select(*EDGE).unionByName(stars)
+        pairs = materialize(candidate_pairs(near, todo, config.size_diff, clusters, met, config), "pairs")
+        stats.candidates = pairs.count()
+        found = raw_edges(near, config, pairs=pairs).select(*EDGE).unionByName(stars)
         self.store.insert(found, run_id)
         self.store.build_adjacency()
         stats.edges_found, assignments = self.sync(new, filtered)
@@ -134,7 +140,7 @@ class DedupePipeline:
         if large.isEmpty():
             return self.spark.createDataFrame([], f"cluster string, band_count bigint, id {near.schema['id'].dataType.simpleString()}")
         inside = near.join(met.join(large, "bucket", "left_semi").select("id").distinct(), "id", "left_semi")
-        return materialize(pathological_clusters(inside, least, self.config.pathological_min_bands, new), "clusters")
+        return materialize(pathological_clusters(inside, least, self.config.pathological_min_bands, new, self.config), "clusters")
 
     def sync(self, new: DataFrame, filtered: DataFrame) -> tuple[int, DataFrame]:
         """Resolve the components that new ids touch and write what changed."""
@@ -199,7 +205,7 @@ class DedupePipeline:
             ids = materialize(ids.join(before, "id", "left_anti"), "ids")
         clusters = materialize(
             pathological_clusters(
-                signed, self.config.pathological_min_bucket, self.config.pathological_min_bands, None if before is None else ids
+                signed, self.config.pathological_min_bucket, self.config.pathological_min_bands, None if before is None else ids, self.config
             ),
             "clusters",
         )

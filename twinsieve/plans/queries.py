@@ -130,7 +130,8 @@ def lsh_buckets(spark, sf_dir):
 
 @query
 def large_buckets(spark, sf_dir):
-    return lsh.large_buckets(_signed(spark, sf_dir), 3, CONFIG.large_bucket_limit)
+    signed = materialize(_signed(spark, sf_dir), "signed")
+    return lsh.bucket_samples(signed, lsh.large_buckets(signed, 3, CONFIG.large_bucket_limit))
 
 
 @query

@@ -212,11 +212,3 @@ def spread(df: DataFrame) -> DataFrame:
     ship(df.sparkSession)  # what is spread goes to Python workers
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def fingerprint(df: DataFrame) -> tuple[int, int]:
-    """Row count and an order-free checksum of a table without repeated rows; equal means unchanged."""
-    row = df.select(F.xxhash64(*df.columns).alias("h")).agg(
-        F.count("*").alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s")
-    ).first()
-    return row["n"], int(row["s"] or 0)
