@@ -357,7 +357,7 @@ def test_two_writers_of_one_table(spark):
 
 
 def test_publish_once_and_scratch(spark):
-    path = f"{shared_dir(spark)}/once.json"
+    path = f"{new_path(spark, 'once')}/once.json"
     assert publish(spark, path, "a") and not publish(spark, path, "b") and read_text(spark, path) == "a"
     with scratch():
         kept = materialize(spark.range(3))
