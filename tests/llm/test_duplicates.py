@@ -2,9 +2,11 @@
 
 import datetime
 import random
+import time
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -102,6 +104,91 @@ def test_many_copies_of_one_text(spark):
     assert rows(found) == [("d000000", 1, 100_002)]
 
 
+def alike(rng, n):
+    """Texts of one small vocabulary: more than a third similar by chance, none near."""
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(150)]
+    return [" ".join(rng.choice(words) for _ in range(130)) for _ in range(n)]
+
+
+def shuffled(spark):
+    """Records that each stage wrote to shuffles, and the shuffle files that are there."""
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty(30_000)
+    none = spark.sparkContext._gateway.new_array(jvm.double, 0)
+    stages = context.statusStore().stageList(jvm.java.util.ArrayList(), False, False, none, jvm.java.util.ArrayList())
+    written = {s.stageId(): s.shuffleWriteRecords() for s in (stages.apply(k) for k in range(stages.size()))}
+    files = jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return written, {n for k in range(files.size()) if (n := files.apply(k).getName()).startswith("shuffle")}
+
+
+def test_pairs_alike_by_chance_are_not_written(spark):
+    """What shares a band by chance grows with the square of the texts; it ends in the task that meets it."""
+    texts = alike(random.Random(21), 2400)
+    docs = spark.createDataFrame([(f"d{k:04}", t) for k, t in enumerate(texts)], "id string, content string")
+    before = shuffled(spark)
+    members, links = neardup.near_duplicates(docs)
+    assert links.count() == 0 and members.count() == 2400
+    after = shuffled(spark)
+    written = sum(n for stage, n in after[0].items() if stage not in before[0])
+    assert neardup.BANDS * 2400 <= written < 1.5 * neardup.BANDS * 2400  # the bands of a text and a few rows more
+
+
+def test_shuffle_files_go_with_the_steps(spark):
+    docs = corpus(spark, sample(22)[:60])
+    before = shuffled(spark)
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    kept = spark.conf.get(name)
+    neardup.near_duplicates(docs)
+    after = shuffled(spark)
+    assert sum(after[0][s] for s in set(after[0]) - set(before[0])) > 0
+    assert spark.conf.get(name) == kept
+    for _ in range(20):  # executors remove them a little later
+        if not (left := shuffled(spark)[1] - before[1]):
+            break
+        time.sleep(0.5)
+    assert not left
+
+
+def test_candidates_of_rounds_and_hot_keys(spark, monkeypatch):
+    """Parts of the bands, and keys cut into shards, give the pairs that the bands give at once."""
+    rng = random.Random(23)
+    base = prose(rng)
+    data = [(f"h{k:02}", edited(rng, base, rng.randrange(1, 6)), None) for k in range(40)] + sample(24)
+    classes = neardup.sign_classes(grams.comparable(corpus(spark, data)))
+    whole = rows(neardup.candidates(classes.df))
+    assert len(whole) == len(set(whole)) > 500 and all(a < b for a, b in whole)
+    assert rows(neardup.candidates(classes.df, rounds=5)) == whole
+    monkeypatch.setattr(neardup, "HOT_ROWS", 7)
+    monkeypatch.setattr(neardup, "HOT_SAMPLE", 1)
+    assert rows(neardup.candidates(classes.df)) == whole
+    near = {tuple(r)[:2] for r in neardup.class_pairs(classes).collect()}
+    assert near <= set(whole)
+
+
+def test_runs_go_on_over_batches():
+    """Keys of many rows that several Arrow batches hold, against all pairs of each key."""
+    rng = np.random.default_rng(25)
+    n = 600
+    band = np.sort(rng.choice([1, 2, 3, 9, 9, 9], n)).astype(np.int64)
+    size = rng.integers(80, 120, n).astype(np.int32)
+    order = np.lexsort([size, band])
+    band, size = band[order], size[order]
+    flips = rng.random((n, 256)) < rng.choice([0.02, 0.2], (n, 1))
+    bits = (rng.random(256) < 0.5)[None, :] ^ flips
+    words = np.packbits(bits, axis=1).view(np.int64)
+    table = pa.table({"band": band, "no": rng.permutation(n).astype(np.int64), "grams": size, **{f"w{k}": words[:, k] for k in range(4)}})
+    no, most = table["no"].to_numpy(), 25 + neardup.CARRIED_SLACK
+    want = {
+        (int(min(no[x], no[y])), int(max(no[x], no[y])))
+        for x in range(n)
+        for y in range(x)
+        if band[x] == band[y] and min(size[x], size[y]) >= 0.8 * max(size[x], size[y]) and (bits[x] ^ bits[y]).sum() <= most
+    }
+    for step in (1, 7, 100, n):
+        got = [r for b in neardup._bucket_pairs(iter(table.to_batches(step)), ["band"], 0.8) for r in zip(*(c.to_pylist() for c in b.columns))]
+        assert len(got) == len(set(got)) and set(got) == want and want
+
+
 def test_accepted_duplicates(spark):
     data = sample(3)
     want = {(a, b) for a, b, p, q in brute_pairs(data) if {p, q} == {None, True}}

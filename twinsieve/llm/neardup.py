@@ -10,13 +10,21 @@ far below the threshold are dropped by it, and the rest are compared exactly.
 A pair of similarity s is missed with probability (1 - s^ROWS)^BANDS: 8e-9 at 0.81, 3e-12 at 0.85. Keys that many
 classes share are split over tasks.
 
+Texts of one language are about 0.3 similar by chance, so pairs that share a key grow with the square of the
+texts. Rows of a band therefore hold half of the signature and the number of sequences, and pairs that these exclude end
+where they are met; only the others are written. Large tables take the bands in ``ROUNDS`` parts and candidates in slices of as
+many pairs as there are texts. Shuffle files go as each step ends and tables once nothing reads them, so disk
+is a few times the text, whatever the number of bands and candidates.
+
 The operator's result is :func:`near_duplicates`: links between different texts, and the class of every document.
 :func:`near_duplicate_pairs` expands it to pairs of documents, which for n copies of a text are n (n - 1) / 2.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +34,20 @@ from pyspark.sql import functions as F
 from twinsieve.functions.grams import gram_set
 from twinsieve.llm.grams import SIMILAR, comparable, exact_pairs
 from twinsieve.operators.graph import connected_components
-from twinsieve.operators.skew import hot_keys, pairs_within
-from twinsieve.runtime import materialize
+from twinsieve.operators.skew import HOT_ROWS, hot_keys, pairs_within
+from twinsieve.runtime import Written, materialize, shuffles_dropped, write_out
 
 BANDS, ROWS, SEED = 72, 7, 20240229
 WORDS = 8  # 64-bit words of the one-bit signature; 512 bits hold the 504 minima
 #: Differing bits of 504 at similarity s are about 252 (1 - s) with a deviation of at most 7 at 0.8.
 SLACK_BITS = 36
+#: Words that the rows of a band hold. About 128 (1 - s) of their 256 bits differ; more than this slack above those
+#: at 0.8 with probability 1e-9 at 0.8 and 1e-10 at 0.81.
+CARRIED, CARRIED_SLACK = 4, 33
+#: Parts in which the bands are taken, from how many rows of bands on, and pairs that a task holds before it passes them on.
+ROUNDS, ONE_ROUND, HELD_PAIRS = 4, 1_000_000, 200_000
+#: One class in so many is counted to find hot keys.
+HOT_SAMPLE = 16
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -107,17 +122,20 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel())
             )
             yield pa.RecordBatch.from_arrays(
-                [kept.column("key"), kept.column("plain"), lists, *(pa.array(words[:, i]) for i in range(WORDS))],
-                names=["key", "plain", "bands", *(f"w{i}" for i in range(WORDS))],
-            )
+                [
+                    kept.column("key"), kept.column("plain"), pa.array([len(sets[i]) for i in some], pa.int32()), lists,
+                    *(pa.array(words[:, i]) for i in range(WORDS)),
+                ],
+                names=["key", "plain", "grams", "bands", *(f"w{i}" for i in range(WORDS))],
+            )
 
 
-def sign_classes(docs: DataFrame) -> DataFrame:
-    """``no, key, plain, bands, w0..w7`` of the distinct plain texts, written. ``docs`` is from ``comparable``."""
+def sign_classes(docs: DataFrame) -> Written:
+    """``no, key, plain, grams, bands, w0..w7`` of the distinct plain texts. ``docs`` is from ``comparable``."""
     distinct = docs.groupBy("key").agg(F.first("plain").alias("plain"))
-    schema = "key binary, plain string, bands array<bigint>, " + ", ".join(f"w{i} bigint" for i in range(WORDS))
+    schema = "key binary, plain string, grams int, bands array<bigint>, " + ", ".join(f"w{i} bigint" for i in range(WORDS))
     signed = distinct.mapInArrow(_sign, schema)
-    return materialize(signed.withColumn("no", F.monotonically_increasing_id()), "classes")
+    return write_out(signed.withColumn("no", F.monotonically_increasing_id()), "classes")
 
 
 def differing_bits() -> Column:
@@ -127,30 +145,133 @@ def differing_bits() -> Column:
     return total
 
 
-def class_pairs(classes: DataFrame, threshold: float = SIMILAR) -> DataFrame:
-    """``a, b, similarity`` of different texts at or above the threshold, ``a < b``, written."""
-    keys = classes.select("no", F.explode("bands").alias("band"))
-    left, right = keys.withColumnRenamed("no", "a"), keys.withColumnRenamed("no", "b")
-    pairs = pairs_within(left, right, "band", F.col("a"), hot_keys(keys, "band")).where("a < b").select("a", "b").distinct()
+def _near_in_runs(rows: dict[str, np.ndarray], by: list[str], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of the rows of one key that size and carried words allow. Rows are sorted by key, then by size, so a row
+    meets the rows after it until one is too large; each step takes one such meeting of all rows at once."""
+    most = int(64 * CARRIED * (1 - threshold) / 2) + CARRIED_SLACK
+    no, grams, mine = rows["no"], rows["grams"], rows.get("mine")
+    words = [rows[f"w{i}"].view(np.uint64) for i in range(CARRIED)]
+    starts = np.flatnonzero(np.append(True, _key_changes(rows, by)))
+    ends = np.repeat(np.append(starts[1:], len(no)), np.diff(np.append(starts, len(no))))
+    i, step, found, held = np.arange(len(no)), 0, [], 0
+
+    def batch() -> pa.RecordBatch:
+        x, y = (np.concatenate(part) for part in zip(*found))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    while True:
+        step += 1
+        i = i[i + step < ends[i]]
+        i = i[grams[i] >= threshold * grams[i + step] - 1e-6]
+        if not len(i):
+            break
+        j = i + step
+        differ = reduce(np.add, (np.bitwise_count(w[i] ^ w[j]).astype(np.uint16) for w in words))
+        met = np.flatnonzero(differ <= most)
+        x, y = i[met], j[met]
+        if mine is not None:  # a pair is that of its smaller number's shard
+            own = np.where(no[x] < no[y], mine[x], mine[y])
+            x, y = x[own], y[own]
+        if len(x):
+            found.append((no[x], no[y]))
+            held += len(x)
+        if held >= HELD_PAIRS:
+            yield batch()
+            found, held = [], 0
+    if found:
+        yield batch()
+
+
+def _key_changes(rows: dict[str, np.ndarray], by: list[str]) -> np.ndarray:
+    return reduce(np.logical_or, (rows[c][1:] != rows[c][:-1] for c in by))
+
+
+def _bucket_pairs(batches: Iterator[pa.RecordBatch], by: list[str], threshold: float) -> Iterator[pa.RecordBatch]:
+    """``a, b`` of sorted rows; those of a key that goes on in the next batch are kept for it."""
+    held: list[dict[str, np.ndarray]] = []
+
+    def all_held() -> dict[str, np.ndarray]:
+        return {c: np.concatenate([part[c] for part in held]) for c in held[0]}
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
+        changes = np.flatnonzero(_key_changes(rows, by))
+        last = int(changes[-1]) + 1 if len(changes) else 0
+        goes_on = held and all(held[-1][c][-1] == rows[c][0] for c in by)
+        if last or not goes_on:
+            if last:
+                held.append({c: v[:last] for c, v in rows.items()})
+            if held:
+                yield from _near_in_runs(all_held(), by, threshold)
+            held = []
+        held.append({c: v[last:] for c, v in rows.items()})
+    if held:
+        yield from _near_in_runs(all_held(), by, threshold)
+
+
+def bucket_pairs(rows: DataFrame, threshold: float) -> DataFrame:
+    """``a, b`` of rows (``band, no, grams, w0..``) of one band that may be as similar as ``threshold``; ``a < b``, repeats
+    possible. The rows of a hot key, found by a sample of classes, are copied to its shards, where each meets those whose
+    own shard it is."""
+    sample = rows.where(F.pmod(F.xxhash64("no"), F.lit(HOT_SAMPLE)) == 0)
+    hot = hot_keys(sample, "band", max(1, HOT_ROWS // HOT_SAMPLE))
+    by = ["band"]
+    if hot is not None:
+        by = ["band", "shard"]
+        shards = F.coalesce("_shards", F.lit(1))
+        rows = rows.join(hot, "band", "left").withColumn("own", F.pmod(F.xxhash64("no"), shards).cast("int"))
+        rows = rows.withColumn("shard", F.explode(F.sequence(F.lit(0), shards - 1))).withColumn("mine", F.col("shard") == F.col("own"))
+        rows = rows.drop("own", "_shards")
+    runs = rows.repartition(*by).sortWithinPartitions(*by, "grams")
+    return runs.mapInArrow(lambda batches: _bucket_pairs(batches, by, threshold), "a bigint, b bigint")
+
+
+def candidates(classes: DataFrame, threshold: float = SIMILAR, rounds: int | None = None) -> DataFrame:
+    """``a, b`` of classes that share a band and whose signatures allow the threshold, ``a < b``, written."""
+    if rounds is None:
+        rounds = ROUNDS if classes.count() * BANDS > ONE_ROUND else 1
+    size = math.ceil(BANDS / rounds)
+    carried = [f"w{i}" for i in range(CARRIED)]
+    found = []
+    for at in range(0, BANDS, size):
+        rows = classes.select(F.explode(F.slice("bands", at + 1, size)).alias("band"), "no", "grams", *carried)
+        found.append(materialize(bucket_pairs(rows, threshold).distinct(), "met"))
+    pairs = reduce(DataFrame.union, found).distinct()
     words = [f"w{i}" for i in range(WORDS)]
     sa = classes.select(F.col("no").alias("a"), *(F.col(w).alias("a" + w[1:]) for w in words))
     sb = classes.select(F.col("no").alias("b"), *(F.col(w).alias("b" + w[1:]) for w in words))
     most = int(BANDS * ROWS * (1 - threshold) / 2) + SLACK_BITS
-    likely = pairs.join(sa, "a").join(sb, "b").where(differing_bits() <= most).select("a", "b")
-    return materialize(exact_pairs(likely, classes.select("no", "plain"), threshold), "pairs")
+    return materialize(pairs.join(sa, "a").join(sb, "b").where(differing_bits() <= most).select("a", "b"), "likely")
+
+
+def class_pairs(classes: Written, threshold: float = SIMILAR) -> DataFrame:
+    """``a, b, similarity`` of different texts at or above the threshold, ``a < b``, written. ``classes`` is dropped."""
+    likely = candidates(classes.df, threshold)
+    texts = write_out(classes.df.select("no", "plain"), "texts")
+    classes.drop()
+    slices = max(1, math.ceil(likely.count() / max(1, texts.df.count())))
+    slice_of = F.pmod(F.xxhash64("a", "b"), F.lit(slices))
+    found = [materialize(exact_pairs(likely.where(slice_of == k), texts.df, threshold), "pairs") for k in range(slices)]
+    texts.drop()
+    return reduce(DataFrame.union, found)
 
 
 def near_duplicates(corpus: DataFrame, threshold: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
-    """``members, links``: ``id, key, no`` of all documents above 500 bytes, and ``a, b, similarity`` of the
+    """``members, links``, written: ``id, key, no`` of all documents above 500 bytes, and ``a, b, similarity`` of the
     different texts (by ``no``) at or above the threshold. Documents of one ``key`` are the same text.
 
     Null contents and contents of at most 500 UTF-8 bytes take no part. Contents without letter or
     digit have no ``no`` and equal only identical ones. Very long texts are compared whole.
     """
-    docs = materialize(comparable(corpus), "docs")
-    classes = sign_classes(docs)
-    links = class_pairs(classes, threshold)
-    return docs.select("id", "key").join(classes.select("key", "no"), "key", "left").select("id", "key", "no"), links
+    with shuffles_dropped(corpus.sparkSession):
+        docs = write_out(comparable(corpus), "docs")
+        classes = sign_classes(docs.df)
+        members = docs.df.select("id", "key").join(classes.df.select("key", "no"), "key", "left").select("id", "key", "no")
+        members = materialize(members, "members")
+        docs.drop()
+        return members, class_pairs(classes, threshold)
 
 
 def same_text_pairs(members: DataFrame) -> DataFrame:
@@ -168,7 +289,6 @@ def near_duplicate_pairs(corpus: DataFrame, threshold: float = SIMILAR) -> DataF
     id gives no pair with itself. An empty table gives no row.
     """
     members, links = near_duplicates(corpus, threshold)
-    members = materialize(members, "members")
     classed = members.where("no is not null")
     crossed = (
         links.join(classed.select(F.col("no").alias("a"), F.col("id").alias("ia")), "a")

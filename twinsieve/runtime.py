@@ -168,6 +168,19 @@ def materialize(df: DataFrame, tag: str = "t") -> DataFrame:
     return write_out(df, tag).df
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Removes the shuffle files of each query that runs within as the query ends, not when the driver's garbage is
+    collected. A DataFrame that ran within must not run a second time; go on from what it wrote."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _clean() -> None:
     for path, spark in list(_written.items()):
         try:
