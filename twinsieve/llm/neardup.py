@@ -44,8 +44,8 @@ SLACK_BITS = 36
 #: Words that the rows of a band hold. About 128 (1 - s) of their 256 bits differ; more than this slack above those
 #: at 0.8 with probability 1e-9 at 0.8 and 1e-10 at 0.81.
 CARRIED, CARRIED_SLACK = 4, 33
-#: Parts in which the bands are taken, from how many rows of bands on, and pairs that a task holds before it passes them on.
-ROUNDS, ONE_ROUND, HELD_PAIRS = 4, 1_000_000, 200_000
+#: Parts in which the bands are taken, by rows of bands that there are at most, and pairs that a task holds before it passes them on.
+ROUNDS, HELD_PAIRS = ((1_000_000, 1), (20_000_000, 4), (math.inf, 8)), 200_000
 #: One class in so many is counted to find hot keys.
 HOT_SAMPLE = 16
 
@@ -231,7 +231,8 @@ def bucket_pairs(rows: DataFrame, threshold: float) -> DataFrame:
 def candidates(classes: DataFrame, threshold: float = SIMILAR, rounds: int | None = None) -> DataFrame:
     """``a, b`` of classes that share a band and whose signatures allow the threshold, ``a < b``, written."""
     if rounds is None:
-        rounds = ROUNDS if classes.count() * BANDS > ONE_ROUND else 1
+        n = classes.count() * BANDS
+        rounds = next(r for most, r in ROUNDS if n <= most)
     size = math.ceil(BANDS / rounds)
     carried = [f"w{i}" for i in range(CARRIED)]
     found = []
